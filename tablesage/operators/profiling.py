@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablesage.operators.numbering import top_per_group
 from tablesage.sources.catalog import column_metadata
@@ -20,10 +21,23 @@ SHAPE_SHARE = 0.8
 KEYS = ["table_name", "column_name"]
 
 
+def _kind(data_type: T.DataType) -> str:
+    """How values of a type are ordered: as integers, as reals, or as text."""
+    if isinstance(data_type, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return "integer"
+    return "real" if isinstance(data_type, T.NumericType) else "text"
+
+
 def _long_form(table: str, df: DataFrame) -> DataFrame:
-    """(table, column, value as text), one row per cell. A map-side generator: no shuffle."""
+    """(table, column, kind, value as text), one row per cell. A map-side generator: no shuffle."""
     cells = F.array(
-        *[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in df.columns]
+        *[
+            F.struct(
+                F.lit(f.name).alias("column_name"), F.lit(_kind(f.dataType)).alias("kind"),
+                F.col(f"`{f.name}`").cast("string").alias("value"),
+            )
+            for f in df.schema.fields
+        ]
     )
     return df.select(F.lit(table).alias("table_name"), F.inline(cells))
 
@@ -33,41 +47,38 @@ def _union(frames) -> DataFrame:
 
 
 def value_frequencies(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table_name, column_name, value, count). Hot values collapse on the map side before the one shuffle."""
-    cells = _union([_long_form(t, df) for t, df in tables.items()])
-    return cells.groupBy(*KEYS, "value").agg(F.count(F.lit(1)).alias("count"))
+    """(table_name, column_name, kind, value, count): the one scan and the one shuffle of all profiling.
 
-
-def column_extremes(tables: dict[str, DataFrame]) -> DataFrame:
-    """Typed minimum and maximum per column, as text: one aggregate per table that yields one row."""
-    frames = []
-    for table, df in tables.items():
-        extremes = df.agg(
-            *[F.min(F.col(f"`{c}`")).cast("string").alias(f"lo_{i}") for i, c in enumerate(df.columns)],
-            *[F.max(F.col(f"`{c}`")).cast("string").alias(f"hi_{i}") for i, c in enumerate(df.columns)],
-        )
-        rows = F.array(
-            *[
-                F.struct(
-                    F.lit(c).alias("column_name"), F.col(f"lo_{i}").alias("min_value"), F.col(f"hi_{i}").alias("max_value")
-                )
-                for i, c in enumerate(df.columns)
-            ]
-        )
-        frames.append(extremes.select(F.lit(table).alias("table_name"), F.inline(rows)))
-    return _union(frames)
+    Hot values collapse on the map side before the shuffle.
+    """
+    cells = _union([_long_form(t, df) for t, df in tables.items()])
+    return cells.groupBy(*KEYS, "kind", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
 def column_counts(frequencies: DataFrame) -> DataFrame:
-    """Row, null and distinct counts per column, from the frequency table."""
+    """Row, null and distinct counts and the extremes of every column, from the frequency table.
+
+    Numbers and counts are aggregated in fixed-width buffers (a hash aggregate); only text
+    columns take the aggregate that needs sorting.
+    """
     rows = F.sum("count")
     nulls = F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("count"))), F.lit(0))
-    return frequencies.groupBy(*KEYS).agg(
+    whole = F.when(F.col("kind") == "integer", F.col("value").try_cast("bigint"))
+    real = F.when(F.col("kind") == "real", F.col("value").try_cast("double"))
+    counts = frequencies.groupBy(*KEYS).agg(
         rows.alias("total_rows"),
         nulls.alias("null_count"),
         F.when(rows > 0, nulls / rows).otherwise(F.lit(0.0)).alias("null_ratio"),
         F.count("value").alias("distinct_count"),
+        F.coalesce(F.min(whole).cast("string"), F.min(real).cast("string")).alias("min_number"),
+        F.coalesce(F.max(whole).cast("string"), F.max(real).cast("string")).alias("max_number"),
+    )
+    texts = frequencies.filter(F.col("kind") == "text").groupBy(*KEYS).agg(
+        F.min("value").alias("min_text"), F.max("value").alias("max_text")
     )
+    return counts.join(texts, KEYS, "left").withColumns(
+        {"min_value": F.coalesce("min_number", "min_text"), "max_value": F.coalesce("max_number", "max_text")}
+    ).drop("min_number", "max_number", "min_text", "max_text")
 
 
 def top_values(frequencies: DataFrame, k: int = 20) -> DataFrame:
@@ -123,7 +134,6 @@ def profile_tables(tables: dict[str, DataFrame], db_id: str, k: int = 20, exact:
     values = F.coalesce(F.col("top_values"), F.array().cast("array<struct<value:string,count:bigint>>"))
     return (
         columns.join(measured, KEYS, "left")
-        .join(column_extremes(tables), KEYS, "left")
         .withColumns({c: F.coalesce(c, F.lit(0)) for c in ("total_rows", "null_count", "distinct_count")})
         .withColumns({"null_ratio": F.coalesce("null_ratio", F.lit(0.0)), "top_values": values})
         .withColumns(
@@ -146,6 +156,8 @@ def _sketched(table: str, df: DataFrame, k: int) -> DataFrame:
             F.count(text).alias(f"n_{i}"),
             F.approx_count_distinct(text).alias(f"d_{i}"),
             F.expr(f"approx_top_k(cast(`{c}` as string), {k})").alias(f"t_{i}"),
+            F.min(F.col(f"`{c}`")).cast("string").alias(f"lo_{i}"),
+            F.max(F.col(f"`{c}`")).cast("string").alias(f"hi_{i}"),
         ]
     wide = df.agg(F.count(F.lit(1)).alias("total_rows"), *measures)
 
@@ -159,6 +171,8 @@ def _sketched(table: str, df: DataFrame, k: int) -> DataFrame:
             F.coalesce(F.try_divide(nulls, F.col("total_rows")), F.lit(0.0)).alias("null_ratio"),
             F.col(f"d_{i}").alias("distinct_count"),
             F.transform(known, lambda e: F.struct(e["item"].alias("value"), e["count"].alias("count"))).alias("top_values"),
+            F.col(f"lo_{i}").alias("min_value"),
+            F.col(f"hi_{i}").alias("max_value"),
         )
 
     return wide.select(F.lit(table).alias("table_name"), F.inline(F.array(*[entry(i, c) for i, c in enumerate(df.columns)])))
@@ -200,6 +214,6 @@ def values_exist(probes: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     for are deduplicated.
     """
     keys = [*KEYS, "value"]
-    cells = _union([_long_form(t, df) for t, df in tables.items()])
+    cells = _union([_long_form(t, df).drop("kind") for t, df in tables.items()])
     found = cells.join(probes.select(*keys).distinct(), keys, "left_semi").distinct().withColumn("value_exists", F.lit(True))
     return probes.join(found, keys, "left").withColumn("value_exists", F.coalesce("value_exists", F.lit(False)))

@@ -9,9 +9,10 @@ from tablesage.plans.inputs import COLUMNS, DB, STAR, cells_sql, columns_sql, st
 from tablesage.plans.registry import query
 
 EXTREMES = "\nUNION ALL ".join(
-    f"SELECT '{t}' AS table_name, '{c}' AS column_name, CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) AS max_value FROM {t}"
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, CAST(min({e}) AS VARCHAR) AS min_value, CAST(max({e}) AS VARCHAR) AS max_value FROM {t}"
     for t in STAR
-    for c, _ in COLUMNS[t]
+    # Adding 0.0 keeps the oracle from answering -0.0 out of file statistics.
+    for c, e in [(c, f"{c} + 0.0::DOUBLE" if k == "double" else c) for c, k in COLUMNS[t]]
 )
 RANKED = f"""freq AS (SELECT table_name, column_name, value, count(*) AS cnt FROM ({cells_sql(STAR)}) WHERE value IS NOT NULL GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY table_name, column_name ORDER BY cnt DESC, value) AS rank FROM freq),
