@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablesage.functions.binding import let
 from tablesage.functions.text import clean_sql
 
 # Words that are never column names.
@@ -19,10 +22,11 @@ AGGREGATES = ["SUM", "COUNT", "AVG", "MIN", "MAX"]
 
 NAME = r"[A-Za-z_]\w*"
 TABLE_REF = rf"(?i)\b(?:from|join)\s+({NAME})"
-TABLE_ALIAS = rf"(?i)\b(?:from|join)\s+({NAME})\s+(?:as\s+)?({NAME})"
-COLUMN_ALIAS = rf"(?i)\bas\s+({NAME})"
-# A name or a qualified name that is not called as a function.
-COLUMN_REF = rf"\b{NAME}(?:\.{NAME})?\b(?!\s*\()(?!\.)"
+NO_KEYWORD = rf"(?!(?:{'|'.join(KEYWORDS)})\b)"
+TABLE_ALIAS = rf"(?i)\b(?:from|join)\s+({NAME})\s+(?:as\s+)?{NO_KEYWORD}({NAME})"
+GIVEN_NAME = rf"(?i)(?:\bas|\b(?:from|join)(?:\s+{NAME})?)\s+{NO_KEYWORD}({NAME})"
+# A name or a qualified name that is no keyword and is not called as a function.
+COLUMN_REF = rf"(?i)(?<![\w.]){NO_KEYWORD}{NAME}(?:\.{NAME})?\b(?!\s*\()(?!\.)"
 STRING_LITERAL = r"'(?:[^']|'')*'"
 ANY_LITERAL = r"'((?:[^']|'')*)'|(?<![\w.])(\d+(?:\.\d+)?)(?![\w.])"
 CLAUSE_END = r"(?=\s+(?:where|group\s+by|having|order\s+by|limit|union|intersect|except)\b|\s*\)|\s*;|\s*$)"
@@ -31,24 +35,25 @@ JOIN_ON = (
     r"|\s+(?:where|group\s+by|having|order\s+by|limit|union|intersect|except)\b|\s*\)\s*(?:where|group|order|limit|as)\b|\s*;|\s*$)"
 )
 SELECT_LIST = r"(?is)\bselect\s+(.+?)\s+from\b"
+AGGREGATE_CALL = rf"(?i)\b({'|'.join(AGGREGATES)})\s*\("
 
 
 def normalized(sql: Column) -> Column:
-    """Fence-free text with single blanks and one style of quoted names (the quotes dropped)."""
+    """Fence-free text with single blanks; quotes around plain names are dropped."""
     text = F.regexp_replace(clean_sql(sql), r"\s+", " ")
-    # Brackets, backticks and double quotes around a name are dropped when the name is a plain word.
     return F.regexp_replace(text, rf'\[({NAME})\]|`({NAME})`|"({NAME})"', "$1$2$3")
 
 
-def without_strings(sql: Column) -> Column:
-    return F.regexp_replace(sql, STRING_LITERAL, "''")
+def blanked(text: Column) -> Column:
+    """The text with its string literals emptied, so that no word inside one is taken for a name."""
+    return F.regexp_replace(text, STRING_LITERAL, "''")
 
 
-def parse_error(sql: Column) -> Column:
-    """A lexical check: a query starts with SELECT or WITH, and its quotes and brackets are balanced."""
-    bare = without_strings(clean_sql(sql))
-    depth = F.length(F.regexp_replace(bare, r"[^(]", "")) - F.length(F.regexp_replace(bare, r"[^)]", ""))
-    odd_quotes = F.length(F.regexp_replace(bare, r"[^']", "")) % 2 != 0
+def parse_error(bare: Column) -> Column:
+    """A lexical check of a blanked text: it starts with SELECT or WITH and its brackets and quotes are balanced."""
+    marks = F.regexp_replace(bare, r"[^()']", "")
+    depth = F.length(F.replace(marks, F.lit("("))) - F.length(F.replace(marks, F.lit(")")))
+    odd_quotes = F.length(F.regexp_replace(marks, "[()]", "")) % 2 != 0
     return ~bare.rlike(r"(?is)^\s*\(?\s*(?:select|with)\b") | (depth != 0) | odd_quotes
 
 
@@ -60,60 +65,67 @@ def sorted_set(items: Column) -> Column:
     return F.array_sort(F.array_distinct(items))
 
 
-def table_names(sql: Column) -> Column:
-    return sorted_set(_all(without_strings(sql), TABLE_REF, 1))
+def table_names(bare: Column) -> Column:
+    return sorted_set(_all(bare, TABLE_REF, 1))
 
 
-def alias_names(sql: Column) -> Column:
-    bare = without_strings(sql)
-    return F.filter(_all(bare, TABLE_ALIAS, 2), lambda a: ~F.lower(a).isin(KEYWORDS))
+def alias_map(bare: Column) -> Column:
+    """map<alias, table>; a table without alias stands for itself."""
+    pairs = F.zip_with(
+        _all(bare, TABLE_ALIAS, 2), _all(bare, TABLE_ALIAS, 1), lambda a, t: F.struct(a.alias("alias"), t.alias("table"))
+    )
+    plain = F.transform(_all(bare, TABLE_REF, 1), lambda t: F.struct(t.alias("alias"), t.alias("table")))
 
+    def first_of_each(entries: Column) -> Column:
+        return let(
+            entries.getField("alias"),
+            lambda names: F.filter(entries, lambda e, i: F.array_position(names, e["alias"]) == i + 1),
+        )
 
-def alias_map(sql: Column) -> Column:
-    """map<alias, table>; a table without alias stands for itself."""
-    bare = without_strings(sql)
-    aliases, tables = _all(bare, TABLE_ALIAS, 2), _all(bare, TABLE_ALIAS, 1)
-    named = F.filter(F.arrays_zip(aliases.alias("alias"), tables.alias("table")), lambda p: ~F.lower(p["alias"]).isin(KEYWORDS))
-    plain = F.transform(F.array_distinct(_all(bare, TABLE_REF, 1)), lambda t: F.struct(t.alias("alias"), t.alias("table")))
-    entries = F.concat(named, F.filter(plain, lambda p: ~F.array_contains(F.transform(named, lambda n: n["alias"]), p["alias"])))
-    first = F.filter(entries, lambda e, i: F.array_position(F.transform(entries, lambda x: x["alias"]), e["alias"]) == i + 1)
-    return F.map_from_entries(first)
+    return F.map_from_entries(let(F.concat(pairs, plain), first_of_each))
 
 
-def column_refs(clause: Column, skip: Column | None = None) -> Column:
-    """Column names as written in a piece of SQL, in order, with repeats."""
-    found = _all(without_strings(clause), COLUMN_REF, 0)
-    kept = F.filter(found, lambda c: ~F.lower(c).isin(KEYWORDS))
-    if skip is not None:
-        kept = F.filter(kept, lambda c: c.contains(".") | ~F.array_contains(skip, c))
-    return kept
+def given_names(bare: Column) -> Column:
+    """Bare names that are tables or aliases, hence no columns."""
+    return F.array_distinct(F.concat(_all(bare, TABLE_REF, 1), _all(bare, TABLE_ALIAS, 2), _all(bare, GIVEN_NAME, 1)))
 
 
-def not_columns(sql: Column) -> Column:
-    """Bare names that are tables or aliases."""
-    bare = without_strings(sql)
-    return F.array_distinct(F.concat(_all(bare, TABLE_REF, 1), alias_names(sql), _all(bare, COLUMN_ALIAS, 1)))
+def column_refs(bare: Column, given: Column) -> Column:
+    """Column names as written in a piece of SQL, in order, with repeats."""
+    return F.filter(_all(bare, COLUMN_REF, 0), lambda c: c.contains(".") | ~F.array_contains(given, c))
 
 
-def column_names(sql: Column) -> Column:
-    return sorted_set(column_refs(sql, not_columns(sql)))
+def column_names(bare: Column) -> Column:
+    return sorted_set(let(given_names(bare), lambda given: column_refs(bare, given)))
 
 
-def join_predicates(sql: Column) -> Column:
-    return _all(sql, JOIN_ON, 1)
+def join_predicates(text: Column) -> Column:
+    return _all(text, JOIN_ON, 1)
 
 
-def clause(sql: Column, opening: str) -> Column:
+def clause(text: Column, opening: str) -> Column:
     """The text after ``opening`` up to the next clause, or NULL; the first one in the text."""
-    body = F.regexp_extract(sql, rf"(?is)\b{opening}\s+(.+?){CLAUSE_END}", 1)
+    body = F.regexp_extract(text, rf"(?is)\b{opening}\s+(.+?){CLAUSE_END}", 1)
     return F.when(body != "", body)
 
 
-def aggregate_functions(sql: Column) -> Column:
-    return F.transform(_all(without_strings(sql), rf"(?i)\b({'|'.join(AGGREGATES)})\s*\(", 1), lambda f: F.upper(f))
+def aggregate_functions(bare: Column) -> Column:
+    return F.transform(_all(bare, AGGREGATE_CALL, 1), lambda f: F.upper(f))
 
 
-def literals(sql: Column) -> Column:
+def literals(text: Column) -> Column:
     """String and number literals, quotes dropped, in order of appearance."""
-    marked = _all(sql, ANY_LITERAL, 0)
-    return F.transform(marked, lambda v: F.regexp_replace(v, "^'|'$", ""))
+    return F.transform(_all(text, ANY_LITERAL, 0), lambda v: F.regexp_replace(v, "^'|'$", ""))
+
+
+def read(sql: Column, fields: Callable[[Column, Column], dict[str, Column]]) -> Column:
+    """One struct of features per text: ``fields`` gets the normalized text and its blanked form, each made once."""
+    def made(text: Column) -> Column:
+        return let(blanked(text), lambda bare: F.struct(*[c.alias(n) for n, c in fields(text, bare).items()]))
+
+    return let(normalized(sql), made)
+
+
+def with_features(rows: DataFrame, sql: str, fields: Callable[[Column, Column], dict[str, Column]]) -> DataFrame:
+    """Rows with the features of ``sql`` as columns. The generator keeps the struct from being built once per field."""
+    return rows.select("*", F.inline(F.array(read(F.col(sql), fields))))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tablesage.functions.binding import let
+
 # What is cut from answers, which words open a useless phrase, what a phrase is made of.
 QUOTED_SPAN = r"""['"]([^'"]+)['"]"""
 PHRASE_TOKEN = r"(?U)\b[A-Za-z0-9\-\.\,\(\)]+\b"
@@ -57,8 +59,10 @@ def overlap_words(text: Column) -> Column:
 
 def word_overlap(a: Column, b: Column) -> Column:
     """Share of the words of ``a`` that also occur in ``b``; 0 when ``a`` has no words."""
-    wa, wb = overlap_words(a), overlap_words(b)
-    return F.when(F.size(wa) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(wa, wb)) / F.size(wa))
+    def share(wa: Column) -> Column:
+        return F.when(F.size(wa) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(wa, overlap_words(b))) / F.size(wa))
+
+    return let(overlap_words(a), share)
 
 
 def _word_runs(words: Column, n: int) -> Column:
@@ -72,14 +76,14 @@ def phrases(question: Column, evidence: Column) -> Column:
     """Distinct phrases worth looking up: quoted spans and runs of two to four words."""
     text = F.concat(F.coalesce(question, F.lit("")), F.lit(" "), F.coalesce(evidence, F.lit("")))
     quoted = F.regexp_extract_all(text, F.lit(QUOTED_SPAN), F.lit(1))
-    words = F.regexp_extract_all(text, F.lit(PHRASE_TOKEN), F.lit(0))
 
     def wanted(run: Column) -> Column:
-        keep = F.length(run) > 4
-        for opening in STOP_OPENINGS:
-            keep = keep & ~F.lower(run).startswith(opening)
-        return keep
+        opening = "|".join(STOP_OPENINGS)
+        return (F.length(run) > 4) & ~run.rlike(f"(?i)^(?:{opening})")
 
-    runs = F.filter(F.concat(*[_word_runs(words, n) for n in (2, 3, 4)]), wanted)
+    runs = let(
+        F.regexp_extract_all(text, F.lit(PHRASE_TOKEN), F.lit(0)),
+        lambda words: F.filter(F.concat(*[_word_runs(words, n) for n in (2, 3, 4)]), wanted),
+    )
     stripped = F.transform(F.concat(quoted, runs), lambda p: F.btrim(p, F.lit(PHRASE_STRIP)))
     return F.array_distinct(F.filter(stripped, lambda p: F.length(p) >= 3))

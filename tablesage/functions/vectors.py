@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tablesage.functions.binding import let
+
 # Fixed values of the stand-in embedding.
 HASH_DIMENSIONS = 1536
 HASH_BYTES = 32
@@ -27,13 +29,12 @@ def cosine(a: Column, b: Column) -> Column:
 
 def hash_levels(text: Column) -> Column:
     """The unscaled entries of the stand-in embedding, as integers 0 to 99."""
-    digest = F.sha2(F.coalesce(text, F.lit("")), 256)
-    octets = F.transform(
-        F.sequence(F.lit(0), F.lit(HASH_BYTES - 1)),
-        lambda i: F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("int"),
-    )
+    def octets(digest: Column) -> Column:
+        places = F.sequence(F.lit(0), F.lit(HASH_BYTES - 1))
+        return F.transform(places, lambda i: F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
+
     # Entry i is (byte[i mod 32] * (i + 1)) mod 100, so the byte array is read cyclically.
-    cyclic = F.flatten(F.array_repeat(octets, HASH_DIMENSIONS // HASH_BYTES))
+    cyclic = F.flatten(F.array_repeat(let(F.sha2(F.coalesce(text, F.lit("")), 256), octets), HASH_DIMENSIONS // HASH_BYTES))
     return F.transform(cyclic, lambda octet, i: F.pmod(octet * (i + 1), F.lit(100)))
 
 
@@ -43,5 +44,7 @@ def hash_embedding(text: Column) -> Column:
 
 
 def scaled_to_unit(vector: Column) -> Column:
-    length = norm(vector)
-    return F.when(length == 0, vector).otherwise(F.transform(vector, lambda v: v / length))
+    def divided(v: Column) -> Column:
+        return let(norm(v), lambda length: F.when(length == 0, v).otherwise(F.transform(v, lambda x: x / length)))
+
+    return let(vector, divided)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablesage.functions.binding import let
 from tablesage.operators.numbering import top_per_group
 from tablesage.sources.catalog import column_metadata
 
@@ -106,12 +107,14 @@ def value_shape(values: Column) -> Column:
             .otherwise(F.lit("text_phrase"))
         )
 
-    kinds = F.transform(texts, kind)
-    shape = F.lit("text_phrase")
-    for name in ["code", "boolean", "date", "numeric"]:
-        share = F.try_divide(F.size(F.filter(kinds, _equals(name))), F.size(kinds))
-        shape = F.when(share > SHAPE_SHARE, F.lit(name)).otherwise(shape)
-    return shape
+    def shape(kinds: Column) -> Column:
+        found = F.lit("text_phrase")
+        for name in ["code", "boolean", "date", "numeric"]:
+            share = F.try_divide(F.size(F.filter(kinds, _equals(name))), F.size(kinds))
+            found = F.when(share > SHAPE_SHARE, F.lit(name)).otherwise(found)
+        return found
+
+    return let(F.transform(texts, kind), shape)
 
 
 def _equals(name: str):

@@ -6,28 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablesage.functions import sqltext
+from tablesage.functions.binding import let
+from tablesage.functions.text import clean_sql
 from tablesage.operators.numbering import top_per_group
 from tablesage.operators.value_links import contained_in
 
 
 def log_features(log: DataFrame, sql: str = "sql") -> DataFrame:
     """Add tables, columns, joins, where, group_by and parse_error to every log row."""
-    text = sqltext.normalized(F.col(sql))
-    broken = sqltext.parse_error(F.col(sql))
-
-    def unless_broken(value: Column) -> Column:
-        return F.when(~broken, value)
-
-    return log.withColumns(
-        {
-            "tables": unless_broken(sqltext.table_names(text)),
-            "columns": unless_broken(sqltext.column_names(text)),
-            "joins": unless_broken(sqltext.join_predicates(text)),
-            "where": unless_broken(F.concat(F.lit("WHERE "), sqltext.clause(text, "where"))),
-            "group_by": unless_broken(F.concat(F.lit("GROUP BY "), sqltext.clause(text, r"group\s+by"))),
-            "parse_error": broken,
+    def fields(text: Column, bare: Column) -> dict[str, Column]:
+        good = ~sqltext.parse_error(bare)
+        found = {
+            "tables": sqltext.table_names(bare),
+            "columns": sqltext.column_names(bare),
+            "joins": sqltext.join_predicates(text),
+            "where": F.concat(F.lit("WHERE "), sqltext.clause(text, "where")),
+            "group_by": F.concat(F.lit("GROUP BY "), sqltext.clause(text, r"group\s+by")),
         }
-    )
+        return {n: F.when(good, c) for n, c in found.items()} | {"parse_error": ~good}
+
+    return sqltext.with_features(log, sql, fields)
 
 
 def clause_roles(log: DataFrame, sql: str = "sql") -> DataFrame:
@@ -36,40 +34,45 @@ def clause_roles(log: DataFrame, sql: str = "sql") -> DataFrame:
     Names are qualified by table where an alias says which one, as in ``orders.o_custkey``.
     Rows that fail the lexical check get NULLs and ``parse_error`` true, to be routed aside.
     """
-    text = sqltext.normalized(F.col(sql))
-    broken = sqltext.parse_error(F.col(sql))
-    rows = log.withColumn("_text", text).withColumn("_broken", broken)
-    rows = rows.withColumn("_alias", sqltext.alias_map(F.col("_text"))).withColumn("_skip", sqltext.not_columns(F.col("_text")))
-    t = F.col("_text")
-
-    def qualified(refs: Column) -> Column:
-        def name(ref: Column) -> Column:
-            owner = F.substring_index(ref, ".", 1)
-            column = F.substring_index(ref, ".", -1)
-            return F.when(~ref.contains("."), ref).otherwise(
-                F.concat(F.coalesce(F.try_element_at("_alias", owner), owner), F.lit("."), column)
-            )
+    def fields(text: Column, bare: Column) -> dict[str, Column]:
+        def qualified(refs: Column, aliases: Column) -> Column:
+            def name(ref: Column) -> Column:
+                owner = F.substring_index(ref, ".", 1)
+                full = F.concat(F.coalesce(F.try_element_at(aliases, owner), owner), F.lit("."), F.substring_index(ref, ".", -1))
+                return F.when(ref.contains("."), full).otherwise(ref)
+
+            return sqltext.sorted_set(F.transform(refs, name))
+
+        pieces = {
+            "columns_used": bare,
+            "selected_columns": F.regexp_extract(bare, sqltext.SELECT_LIST, 1),
+            "where_columns": sqltext.clause(bare, "where"),
+            "group_by_columns": sqltext.clause(bare, r"group\s+by"),
+            "order_by_columns": sqltext.clause(bare, r"order\s+by"),
+        }
 
-        return sqltext.sorted_set(F.transform(refs, name))
+        def by_clause(given: Column) -> Column:
+            return let(
+                sqltext.alias_map(bare),
+                lambda aliases: F.struct(
+                    *[
+                        qualified(sqltext.column_refs(F.coalesce(piece, F.lit("")), given), aliases).alias(name)
+                        for name, piece in pieces.items()
+                    ]
+                ),
+            )
 
-    def role(piece: Column) -> Column:
-        return qualified(sqltext.column_refs(F.coalesce(piece, F.lit("")), F.col("_skip")))
+        good = ~sqltext.parse_error(bare)
+        found = {
+            "tables_used": sqltext.table_names(bare),
+            "by_clause": let(sqltext.given_names(bare), by_clause),
+            "join_predicates": sqltext.join_predicates(text),
+            "aggregation_functions": sqltext.aggregate_functions(bare),
+            "literals_used": sqltext.literals(text),
+        }
+        return {n: F.when(good, c) for n, c in found.items()} | {"parse_error": ~good}
 
-    roles = {
-        "tables_used": sqltext.table_names(t),
-        "columns_used": qualified(sqltext.column_refs(t, F.col("_skip"))),
-        "selected_columns": role(F.regexp_extract(t, sqltext.SELECT_LIST, 1)),
-        "where_columns": role(sqltext.clause(t, "where")),
-        "join_predicates": sqltext.join_predicates(t),
-        "group_by_columns": role(sqltext.clause(t, r"group\s+by")),
-        "order_by_columns": role(sqltext.clause(t, r"order\s+by")),
-        "aggregation_functions": sqltext.aggregate_functions(t),
-        "literals_used": sqltext.literals(t),
-    }
-    good = ~F.col("_broken")
-    return rows.withColumns({n: F.when(good, c) for n, c in roles.items()}).withColumn(
-        "parse_error", F.col("_broken")
-    ).drop("_text", "_broken", "_alias", "_skip")
+    return sqltext.with_features(log, sql, fields).select("*", "by_clause.*").drop("by_clause")
 
 
 def distinct_texts(log: DataFrame, sql: str = "sql", by: list[str] = ()) -> DataFrame:
@@ -79,17 +82,21 @@ def distinct_texts(log: DataFrame, sql: str = "sql", by: list[str] = ()) -> Data
 
 def join_edges(log: DataFrame, sql: str = "sql", by: list[str] = ()) -> DataFrame:
     """(left_column, right_column, uses): how often the log joins two columns, as table.column names in order."""
-    texts = distinct_texts(log, sql, by).filter(~sqltext.parse_error(F.col("sql"))).withColumn("_text", sqltext.normalized(F.col("sql")))
-    texts = texts.withColumn("_alias", sqltext.alias_map(F.col("_text")))
     equality = r"(\w+)\.(\w+)\s*=\s*(\w+)\.(\w+)"
-    edges = texts.select(*by, "uses", "_alias", F.explode(sqltext.join_predicates(F.col("_text"))).alias("predicate"))
-    edges = edges.select(
-        *by, "uses", "_alias", F.explode(F.regexp_extract_all("predicate", F.lit(equality), F.lit(0))).alias("edge")
-    )
+
+    def fields(text: Column, bare: Column) -> dict[str, Column]:
+        predicates = F.when(~sqltext.parse_error(bare), F.array_join(sqltext.join_predicates(text), "\n"))
+        return {
+            "edges": F.regexp_extract_all(predicates, F.lit(equality), F.lit(0)),
+            "aliases": sqltext.alias_map(bare),
+        }
+
+    texts = sqltext.with_features(distinct_texts(log, sql, by), "sql", fields)
+    edges = texts.select(*by, "uses", "aliases", F.explode("edges").alias("edge"))
 
     def end(table_group: int, column_group: int) -> Column:
         owner = F.regexp_extract("edge", equality, table_group)
-        return F.concat(F.coalesce(F.try_element_at("_alias", owner), owner), F.lit("."), F.regexp_extract("edge", equality, column_group))
+        return F.concat(F.coalesce(F.try_element_at("aliases", owner), owner), F.lit("."), F.regexp_extract("edge", equality, column_group))
 
     ends = edges.select(*by, "uses", end(1, 2).alias("a"), end(3, 4).alias("b"))
     return ends.groupBy(*by, F.least("a", "b").alias("left_column"), F.greatest("a", "b").alias("right_column")).agg(
@@ -99,13 +106,15 @@ def join_edges(log: DataFrame, sql: str = "sql", by: list[str] = ()) -> DataFram
 
 def item_frequencies(log: DataFrame, sql: str = "sql") -> DataFrame:
     """(kind, name, uses): how many log rows use each table and column."""
-    texts = distinct_texts(log, sql).filter(~sqltext.parse_error(F.col("sql")))
-    text = sqltext.normalized(F.col("sql"))
-    named = F.concat(
-        F.transform(sqltext.table_names(text), lambda n: F.struct(F.lit("table").alias("kind"), n.alias("name"))),
-        F.transform(sqltext.column_names(text), lambda n: F.struct(F.lit("column").alias("kind"), n.alias("name"))),
-    )
-    return texts.select("uses", F.inline(named)).groupBy("kind", "name").agg(F.sum("uses").alias("uses"))
+    def fields(text: Column, bare: Column) -> dict[str, Column]:
+        named = F.concat(
+            F.transform(sqltext.table_names(bare), lambda n: F.struct(F.lit("table").alias("kind"), n.alias("name"))),
+            F.transform(sqltext.column_names(bare), lambda n: F.struct(F.lit("column").alias("kind"), n.alias("name"))),
+        )
+        return {"items": F.when(~sqltext.parse_error(bare), named)}
+
+    texts = sqltext.with_features(distinct_texts(log, sql), "sql", fields)
+    return texts.select("uses", F.inline("items")).groupBy("kind", "name").agg(F.sum("uses").alias("uses"))
 
 
 def top_joins(edges: DataFrame, k: int = 10) -> DataFrame:
@@ -115,21 +124,25 @@ def top_joins(edges: DataFrame, k: int = 10) -> DataFrame:
     return ranked.groupBy("db_id").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["join"]).alias("top_joins"))
 
 
-def column_log_support(columns: DataFrame, features: DataFrame) -> DataFrame:
+def column_log_support(columns: DataFrame, log: DataFrame, sql: str = "sql") -> DataFrame:
     """Add ``query_log_support``: the share of log rows whose column names contain the column's name.
 
-    ``features`` comes from :func:`log_features`. A text that contains ``table.column`` also
-    contains ``column``, so the bare name decides. Rows are first collapsed to distinct
-    column texts with counts.
+    A text that contains ``table.column`` also contains ``column``, so the bare name
+    decides. The log is collapsed to distinct texts, and those to distinct lists of columns,
+    before names are looked up in them.
     """
-    listed = F.lower(F.array_join(F.coalesce("columns", F.array().cast("array<string>")), " "))
-    texts = features.groupBy(listed.alias("hay")).agg(F.count(F.lit(1)).alias("uses")).withColumn("hay_id", F.col("hay"))
-    log_rows = texts.agg(F.sum("uses")).scalar()
+    def fields(text: Column, bare: Column) -> dict[str, Column]:
+        names = F.when(~sqltext.parse_error(bare), F.array_join(sqltext.column_names(bare), " "))
+        return {"hay": F.lower(F.coalesce(names, F.lit("")))}
+
+    read = sqltext.with_features(distinct_texts(log, sql), "sql", fields)
+    lists = read.groupBy("hay").agg(F.sum("uses").alias("uses")).withColumn("hay_id", F.col("hay"))
+    log_rows = log.agg(F.count(F.lit(1))).scalar()
     needles = columns.select(F.lower("column_name").alias("needle")).distinct()
-    used = contained_in(needles, texts, [], {"uses": F.sum("uses")})
-    counted = columns.withColumn("needle", F.lower("column_name")).join(used, "needle", "left").drop("needle")
+    used = contained_in(needles, lists, [], {"uses": F.sum("uses")})
     share = F.coalesce(F.try_divide(F.col("uses"), log_rows), F.lit(0.0))
-    return counted.withColumn("query_log_support", share).drop("uses")
+    counted = columns.withColumn("needle", F.lower("column_name")).join(used, "needle", "left")
+    return counted.withColumn("query_log_support", share).drop("needle", "uses")
 
 
 def validate_samples(samples: DataFrame, known_databases: DataFrame, split: str = "train") -> DataFrame:
@@ -147,7 +160,7 @@ def validate_samples(samples: DataFrame, known_databases: DataFrame, split: str
         F.when(missing("question"), F.lit("missing question")),
         F.when(missing("SQL"), F.lit("missing SQL")),
         F.when(F.col("db_id").isNotNull() & F.col("_known").isNull(), F.lit("unknown database")),
-        F.when(~missing("SQL") & sqltext.parse_error(F.col("SQL")), F.lit("SQL parsing failed")),
+        F.when(~missing("SQL") & sqltext.parse_error(sqltext.blanked(clean_sql(F.col("SQL")))), F.lit("SQL parsing failed")),
     )
     return (
         samples.join(known, "db_id", "left")

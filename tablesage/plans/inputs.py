@@ -11,10 +11,6 @@ from pyspark.sql import functions as F
 
 from tablesage.operators.numbering import Along, numbered
 
-TABLES = [
-    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
-    "benchmark", "labels", "conversations",
-]
 STAR = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
 LINKED = ["part", "customer", "nation", "region"]
 DB = "tpch"
@@ -80,29 +76,55 @@ FROM part JOIN customer ON p_partkey = c_custkey"""
 EVENTS_PER_CHUNK = 1 << 20
 
 
-def views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The given tables, also visible by name to SQL texts."""
-    tables = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in TABLES}
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    return tables
+_READ: dict[tuple, DataFrame] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A scan of one given table; its schema is looked up once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _READ:
+        _READ[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _READ[key]
+
+
+def tables_of(spark: SparkSession, sf_dir: str, names: list[str]) -> dict[str, DataFrame]:
+    return {name: table(spark, sf_dir, name) for name in names}
+
+
+class Given(dict):
+    """The given tables by name, each read when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__()
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __missing__(self, name: str) -> DataFrame:
+        return table(self.spark, self.sf_dir, name)
+
+
+def given(spark: SparkSession, sf_dir: str) -> Given:
+    return Given(spark, sf_dir)
+
+
+def select(spark: SparkSession, sf_dir: str, sql: str, names: list[str]) -> DataFrame:
+    """A SQL text over given tables, which it sees as views."""
+    for name in names:
+        table(spark, sf_dir, name).createOrReplaceTempView(name)
+    return spark.sql(sql)
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    views(spark, sf_dir)
-    return spark.sql(QST)
+    return select(spark, sf_dir, QST, ["part", "customer"])
 
 
 def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    views(spark, sf_dir)
-    return spark.sql(QLOG)
+    return select(spark, sf_dir, QLOG, ["orders"])
 
 
 def unnumbered_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates without positions, for operators that do not look at positions."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
     key = "CASE WHEN success THEN concat(CAST(row_count AS STRING), '|', CAST(column_count AS STRING)) ELSE 'failed' END AS result_key"
-    return spark.sql(f"SELECT {CAND_COLUMNS} FROM {{e}}", e=events).selectExpr("*", "row_count = 0 AS is_empty", key)
+    return select(spark, sf_dir, f"SELECT {CAND_COLUMNS} FROM events", ["events"]).selectExpr("*", "row_count = 0 AS is_empty", key)
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,19 +134,18 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def intents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    views(spark, sf_dir)
-    return spark.sql(INTENT).select(
+    return select(spark, sf_dir, INTENT, ["part", "customer"]).select(
         "question_id", "db_id", "output_phrase", F.array("filter_text").alias("filter_phrases"),
         F.array("literal_1", "literal_2").alias("literals"),
     )
 
 
 def linked_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in LINKED}
+    return tables_of(spark, sf_dir, LINKED)
 
 
 def star_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in STAR}
+    return tables_of(spark, sf_dir, STAR)
 
 
 def cells_sql(tables: list[str]) -> str:

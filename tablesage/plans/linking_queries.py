@@ -10,9 +10,10 @@ from tablesage.functions.vectors import cosine, hash_levels, scaled_to_unit
 from tablesage.operators import column_ranking, context, literals, profiling, query_logs, value_links
 from tablesage.operators.numbering import top_per_group
 from tablesage.plans.inputs import (
-    DB, INTENT, LINKED, QLOG, QST, cells_sql, columns_sql, intents, linked_tables, query_log, questions, views,
+    DB, INTENT, LINKED, QLOG, QST, cells_sql, columns_sql, intents, linked_tables, query_log, questions, given, select,
 )
 from tablesage.plans.registry import query
+from tablesage.session import stable
 
 RAW_PHRASES = """SELECT question_id, db_id, unnest(regexp_extract_all(t, '[''"]([^''"]+)[''"]', 1)) AS p FROM texts
  UNION ALL SELECT question_id, db_id, p FROM (SELECT question_id, db_id, unnest(flatten(list_transform([2, 3, 4], lambda n:
@@ -53,8 +54,7 @@ UNION ALL SELECT concat('c', CAST(c_custkey AS STRING)), 'tpch', lower(c_mktsegm
 
 
 def _typo_literals(spark, sf_dir):
-    views(spark, sf_dir)
-    return spark.sql(TYPO_LITERALS)
+    return select(spark, sf_dir, TYPO_LITERALS, ["part", "customer"])
 
 
 @query("link_literals_fuzzy")
@@ -129,10 +129,11 @@ def _matches(spark, sf_dir, profiles):
 
 
 def _features(spark, sf_dir):
-    profiles = profiling.profile_tables(linked_tables(spark, sf_dir), DB)
+    tables = linked_tables(spark, sf_dir)
+    profiles = profiling.profile_tables(tables, DB)
     retrieved = column_ranking.retrieve_columns(intents(spark, sf_dir), profiles, similarity=word_overlap)
-    log = query_logs.log_features(query_log(spark, sf_dir))
-    support = query_logs.column_log_support(profiles.select("table_name", "column_name"), log)
+    columns = profiling.column_metadata(spark, tables, DB).select("table_name", "column_name")
+    support = query_logs.column_log_support(columns, query_log(spark, sf_dir))
     return column_ranking.column_features(retrieved, _matches(spark, sf_dir, profiles), support), profiles
 
 
@@ -152,7 +153,7 @@ def rank_columns(spark, sf_dir):
 
 @query("rank_columns_ml")
 def rank_columns_ml(spark, sf_dir):
-    features = _features(spark, sf_dir)[0]
+    features = stable(_features(spark, sf_dir)[0])
     labeled = features.withColumn("label", (F.col("literal_match") == 1).cast("double"))
     ranked = column_ranking.ColumnRanker().fit(labeled).rank(features)
     return ranked.select("question_id", "table_name", "column_name", F.round("relevance_score", 6).alias("relevance_score"), "rank")
@@ -162,7 +163,7 @@ def rank_columns_ml(spark, sf_dir):
 SELECT table_name, column_name, round(avg(contains(cols, lower(column_name))::INT), 6) AS query_log_support FROM ({columns_sql(LINKED)}), log_cols GROUP BY ALL""".replace("\\\\", "\\"))
 def qlog_support(spark, sf_dir):
     columns = profiling.column_metadata(spark, linked_tables(spark, sf_dir), DB).select("table_name", "column_name")
-    support = query_logs.column_log_support(columns, query_logs.log_features(query_log(spark, sf_dir)))
+    support = query_logs.column_log_support(columns, query_log(spark, sf_dir))
     return support.withColumn("query_log_support", F.round("query_log_support", 6))
 
 
@@ -216,7 +217,7 @@ def context_package(spark, sf_dir):
 @query("cosine_pairs", """SELECT a.vec_id, b.vec_id AS next_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS similarity
 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
 def cosine_pairs(spark, sf_dir):
-    e = views(spark, sf_dir)["embeddings"]
+    e = given(spark, sf_dir)["embeddings"]
     a = e.select("vec_id", F.col("embedding").alias("a"), (F.col("vec_id") + 1).alias("next_id"))
     b = e.select(F.col("vec_id").alias("next_id"), F.col("embedding").alias("b"))
     return a.join(b, "next_id").select("vec_id", "next_id", F.round(cosine(F.col("a"), F.col("b")), 5).alias("similarity"))
@@ -228,7 +229,7 @@ scored AS (SELECT e.label, vec_id, list_cosine_similarity(embedding::DOUBLE[], c
 ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(s, 9) DESC, vec_id) AS rank FROM scored)
 SELECT label, vec_id, CAST(rank AS INT) AS rank, round(s, 5) AS similarity FROM ranked WHERE rank <= 5""")
 def cosine_topk(spark, sf_dir):
-    e = views(spark, sf_dir)["embeddings"]
+    e = given(spark, sf_dir)["embeddings"]
     means = e.select("label", F.posexplode("embedding").alias("d", "x")).groupBy("label", "d").agg(F.avg(F.col("x").cast("double")).alias("m"))
     centers = means.groupBy("label").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda p: p["m"]).alias("center")
@@ -246,7 +247,7 @@ SELECT doc_id, CAST(len(levels) AS INT) AS dimensions, CAST(list_sum(levels) AS
  round(levels[1] / 100.0::DOUBLE / len, 8) AS first, round(levels[1536] / 100.0::DOUBLE / len, 8) AS last FROM n""")
 def hash_embedding(spark, sf_dir):
     levels = hash_levels(F.col("text"))
-    d = views(spark, sf_dir)["documents"].select("doc_id", levels.alias("levels"))
+    d = given(spark, sf_dir)["documents"].select("doc_id", levels.alias("levels"))
     d = d.withColumn("v", scaled_to_unit(F.transform("levels", lambda x: x / F.lit(100.0))))
     return d.select(
         "doc_id", F.size("v").alias("dimensions"),

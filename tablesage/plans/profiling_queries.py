@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablesage.operators import profiling
-from tablesage.plans.inputs import COLUMNS, DB, STAR, cells_sql, columns_sql, star_tables
+from tablesage.plans.inputs import COLUMNS, DB, STAR, cells_sql, columns_sql, select, star_tables
 from tablesage.plans.registry import query
 
 EXTREMES = "\nUNION ALL ".join(
@@ -78,5 +78,4 @@ SELECT p.table_name, p.column_name, p.value, c.value IS NOT NULL AS value_exists
 FROM probes p LEFT JOIN cells c USING (table_name, column_name, value)""")
 def value_exists(spark, sf_dir):
     tables = star_tables(spark, sf_dir)
-    tables["customer"].createOrReplaceTempView("customer")
-    return profiling.values_exist(spark.sql(PROBES).distinct(), tables)
+    return profiling.values_exist(select(spark, sf_dir, PROBES, ["customer"]).distinct(), tables)
