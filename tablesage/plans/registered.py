@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from tablesage.plans import linking_queries, profiling_queries, relational  # noqa: F401
+from tablesage.plans import linking_queries, log_queries, profiling_queries, relational  # noqa: F401
 from tablesage.plans.registry import ORACLES, QUERIES  # noqa: F401
