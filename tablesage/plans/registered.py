@@ -1,4 +1,6 @@
 """All registered queries."""
 
-from tablesage.plans import linking_queries, log_queries, profiling_queries, relational  # noqa: F401
+from tablesage.plans import (  # noqa: F401
+    evaluation_queries, linking_queries, log_queries, profiling_queries, relational, selection_queries, training_queries,
+)
 from tablesage.plans.registry import ORACLES, QUERIES  # noqa: F401
