@@ -254,3 +254,22 @@ def hash_embedding(spark, sf_dir):
         F.aggregate("levels", F.lit(0).cast("bigint"), lambda acc, x: acc + x).alias("level_sum"),
         F.round(F.element_at("v", 1), 8).alias("first"), F.round(F.element_at("v", -1), 8).alias("last"),
     )
+
+
+@query("question_tables", f"""WITH {FEATURES}, tabs AS (SELECT question_id, table_name, min(rank) AS position, arg_min(relevance_score, rank) AS score FROM ranked WHERE rank <= 30 GROUP BY question_id, table_name),
+{PHRASES}, vals AS (SELECT DISTINCT table_name, column_name, ordinal, value FROM ({cells_sql(LINKED)})),
+found AS (SELECT p.phrase, table_name, column_name, ordinal, min(value) AS value FROM (SELECT DISTINCT phrase FROM asked) p
+ JOIN vals v ON contains(lower(v.value), lower(p.phrase)) GROUP BY ALL),
+once AS (SELECT *, row_number() OVER (PARTITION BY question_id, table_name, column_name, value ORDER BY phrase) AS n FROM asked JOIN found USING (phrase)),
+hints AS (SELECT question_id, table_name, count(*) AS value_hints FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY phrase, table_name, ordinal, value) AS r FROM once WHERE n = 1) WHERE r <= 10 GROUP BY ALL)
+SELECT question_id, table_name, CAST(position AS INT) AS position, round(score, 6) AS score, coalesce(value_hints, 0) AS value_hints FROM tabs LEFT JOIN hints USING (question_id, table_name)""")
+def question_tables(spark, sf_dir):
+    """The flagship: which tables does each question need, and how many of its words are values in them?"""
+    features, profiles = _features(spark, sf_dir)
+    tables = context.context_tables(column_ranking.rank_by_rule(features))
+    columns = profiling.column_metadata(spark, linked_tables(spark, sf_dir), DB)
+    links = value_links.link_values(questions(spark, sf_dir), _values(linked_tables(spark, sf_dir)), columns)
+    hints = links.groupBy("question_id", "table_name").agg(F.count(F.lit(1)).alias("value_hints"))
+    return tables.join(hints, ["question_id", "table_name"], "left").select(
+        "question_id", "table_name", "position", F.round("score", 6).alias("score"), F.coalesce("value_hints", F.lit(0)).alias("value_hints")
+    )

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablesage.operators import profiling, query_logs, selection, training_sets
+from tablesage.operators import profiling, query_logs, training_sets
 from tablesage.operators.preference import PreferenceModel
 from tablesage.plans.inputs import (
-    CAND, COLUMNS, DB, LINKED, QLOG, QST, candidates, columns_sql, cells_sql, given, linked_tables, query_log, questions,
-    select, star_tables, unnumbered_candidates,
+    CAND, COLUMNS, DB, LINKED, QLOG, QST, candidates, cells_sql, columns_sql, given, linked_tables, query_log, questions,
+    unnumbered_candidates,
 )
 from tablesage.plans.registry import query
 from tablesage.session import stable
@@ -115,8 +115,8 @@ def preference_model(spark, sf_dir):
     pairs = stable(training_sets.pairwise_rows(candidates(spark, sf_dir), fields))
     split = training_sets.hash_split(pairs)
     model = PreferenceModel().fit(split.filter("split = 'train'"))
-    judged = model.judge(split.filter("split = 'dev'"))
-    return judged.select("question_id", "a_candidate_id", "b_candidate_id", "winner", F.round("confidence", 4).alias("confidence"))
+    judged = model.judge(split)
+    return judged.select("question_id", "split", "a_candidate_id", "b_candidate_id", "winner", F.round("confidence", 4).alias("confidence"))
 
 
 @query("train_dev_split", f"""SELECT question_id, candidate_id, CASE WHEN row_number() OVER (ORDER BY candidate_id) - 1 < (SELECT CAST(floor(count(*) * 0.9::DOUBLE) AS BIGINT) FROM events) THEN 'train' ELSE 'dev' END AS split,

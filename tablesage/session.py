@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +43,18 @@ def stable(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="tablesage-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the package to the Python workers, once per application; they need it for the few Python steps."""
+    application = spark.sparkContext.applicationId
+    if application not in _SHIPPED:
+        root = Path(__file__).resolve().parent
+        archive = shutil.make_archive(
+            str(Path(tempfile.mkdtemp(prefix="tablesage-package-")) / "tablesage"), "zip", root.parent, root.name
+        )
+        spark.sparkContext.addPyFile(archive)
+        _SHIPPED.add(application)
