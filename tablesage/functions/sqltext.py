@@ -22,7 +22,11 @@ AGGREGATES = ["SUM", "COUNT", "AVG", "MIN", "MAX"]
 
 NAME = r"[A-Za-z_]\w*"
 TABLE_REF = rf"(?i)\b(?:from|join)\s+({NAME})"
-NO_KEYWORD = rf"(?!(?:{'|'.join(KEYWORDS)})\b)"
+# The keywords by first letter, so that a name is compared with few of them.
+BY_LETTER = "|".join(
+    f"{letter}(?:{'|'.join(k[1:] for k in KEYWORDS if k[0] == letter)})" for letter in sorted({k[0] for k in KEYWORDS})
+)
+NO_KEYWORD = rf"(?!(?:{BY_LETTER})\b)"
 TABLE_ALIAS = rf"(?i)\b(?:from|join)\s+({NAME})\s+(?:as\s+)?{NO_KEYWORD}({NAME})"
 GIVEN_NAME = rf"(?i)(?:\bas|\b(?:from|join)(?:\s+{NAME})?)\s+{NO_KEYWORD}({NAME})"
 # A name or a qualified name that is no keyword and is not called as a function.

@@ -56,6 +56,15 @@ def value_frequencies(tables: dict[str, DataFrame]) -> DataFrame:
     return cells.groupBy(*KEYS, "kind", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
+def _seen(column: str) -> Column:
+    """A grouping column behind its count, for filters.
+
+    A filter on the bare column would be pushed below the aggregation, which then differs
+    from the one the other measures use: the scan and the shuffle would run again for it.
+    """
+    return F.when(F.col("count") > 0, F.col(column))
+
+
 def column_counts(frequencies: DataFrame) -> DataFrame:
     """Row, null and distinct counts and the extremes of every column, from the frequency table.
 
@@ -74,7 +83,7 @@ def column_counts(frequencies: DataFrame) -> DataFrame:
         F.coalesce(F.min(whole).cast("string"), F.min(real).cast("string")).alias("min_number"),
         F.coalesce(F.max(whole).cast("string"), F.max(real).cast("string")).alias("max_number"),
     )
-    texts = frequencies.filter(F.col("kind") == "text").groupBy(*KEYS).agg(
+    texts = frequencies.filter(_seen("kind") == "text").groupBy(*KEYS).agg(
         F.min("value").alias("min_text"), F.max("value").alias("max_text")
     )
     return counts.join(texts, KEYS, "left").withColumns(
@@ -85,7 +94,7 @@ def column_counts(frequencies: DataFrame) -> DataFrame:
 def top_values(frequencies: DataFrame, k: int = 20) -> DataFrame:
     """The ``k`` most frequent values per column in order, ties broken by the value."""
     ranked = top_per_group(
-        frequencies.filter(F.col("value").isNotNull()), KEYS, [F.col("count").desc(), F.col("value")], k
+        frequencies.filter(_seen("value").isNotNull()), KEYS, [F.col("count").desc(), F.col("value")], k
     )
     entries = F.array_sort(F.collect_list(F.struct("rank", "value", "count")))
     return ranked.groupBy(*KEYS).agg(
@@ -121,16 +130,20 @@ def _equals(name: str):
     return lambda x: x == name
 
 
-def profile_tables(tables: dict[str, DataFrame], db_id: str, k: int = 20, exact: bool = True) -> DataFrame:
+def profile_tables(
+    tables: dict[str, DataFrame], db_id: str, k: int = 20, exact: bool = True, frequencies: DataFrame | None = None
+) -> DataFrame:
     """One profile row per column of every table.
 
+    A caller that also needs the values passes the ``frequencies`` it has materialized.
+
     ``exact=False`` replaces the frequency table by sketches in one wide aggregate per
     table, for columns with so many distinct values that shuffling them is not worth it.
     """
     spark = next(iter(tables.values())).sparkSession
     columns = column_metadata(spark, tables, db_id).drop("not_null", "primary_key")
     if exact:
-        frequencies = value_frequencies(tables)
+        frequencies = value_frequencies(tables) if frequencies is None else frequencies
         measured = column_counts(frequencies).join(top_values(frequencies, k), KEYS, "left")
     else:
         measured = _union([_sketched(t, df, k) for t, df in tables.items()])

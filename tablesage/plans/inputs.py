@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablesage.operators.numbering import Along, numbered
+from tablesage.sources.catalog import spread
 
 STAR = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
 LINKED = ["part", "customer", "nation", "region"]
@@ -87,6 +88,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _READ[key]
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table as :func:`spread` leaves it, for queries with much work per row."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, "spread")
+    if key not in _READ:
+        _READ[key] = spread(table(spark, sf_dir, name))
+    return _READ[key]
+
+
 def tables_of(spark: SparkSession, sf_dir: str, names: list[str]) -> dict[str, DataFrame]:
     return {name: table(spark, sf_dir, name) for name in names}
 
@@ -109,7 +118,7 @@ def given(spark: SparkSession, sf_dir: str) -> Given:
 def select(spark: SparkSession, sf_dir: str, sql: str, names: list[str]) -> DataFrame:
     """A SQL text over given tables, which it sees as views."""
     for name in names:
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
+        spread_table(spark, sf_dir, name).createOrReplaceTempView(name)
     return spark.sql(sql)
 
 
@@ -141,11 +150,11 @@ def intents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def linked_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return tables_of(spark, sf_dir, LINKED)
+    return {name: spread_table(spark, sf_dir, name) for name in LINKED}
 
 
 def star_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return tables_of(spark, sf_dir, STAR)
+    return {name: spread_table(spark, sf_dir, name) for name in STAR}
 
 
 def cells_sql(tables: list[str]) -> str:

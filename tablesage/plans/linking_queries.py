@@ -30,8 +30,7 @@ def link_phrases(spark, sf_dir):
     return q.select("question_id", F.explode(phrases(F.col("question"), F.col("evidence"))).alias("phrase"))
 
 
-def _values(tables: dict[str, DataFrame]) -> DataFrame:
-    frequencies = profiling.value_frequencies(tables)
+def _values(frequencies: DataFrame) -> DataFrame:
     return frequencies.filter(F.col("value").isNotNull()).select(F.lit(DB).alias("db_id"), "table_name", "column_name", "value")
 
 
@@ -46,7 +45,8 @@ FROM ranked WHERE rank <= 10""")
 def link_values(spark, sf_dir):
     tables = linked_tables(spark, sf_dir)
     columns = profiling.column_metadata(spark, tables, DB)
-    return value_links.link_values(questions(spark, sf_dir), _values(tables), columns).drop("db_id")
+    values = _values(profiling.value_frequencies(tables))
+    return value_links.link_values(questions(spark, sf_dir), values, columns).drop("db_id")
 
 
 TYPO_LITERALS = """SELECT CAST(p_partkey AS STRING) AS question_id, 'tpch' AS db_id, concat(substr(p_name, 1, 2), 'x', substr(p_name, 4)) AS literal FROM part
@@ -130,11 +130,13 @@ def _matches(spark, sf_dir, profiles):
 
 def _features(spark, sf_dir):
     tables = linked_tables(spark, sf_dir)
-    profiles = profiling.profile_tables(tables, DB)
+    # Profiles are made once and used by several steps.
+    frequencies = stable(profiling.value_frequencies(tables))
+    profiles = stable(profiling.profile_tables(tables, DB, frequencies=frequencies))
     retrieved = column_ranking.retrieve_columns(intents(spark, sf_dir), profiles, similarity=word_overlap)
     columns = profiling.column_metadata(spark, tables, DB).select("table_name", "column_name")
     support = query_logs.column_log_support(columns, query_log(spark, sf_dir))
-    return column_ranking.column_features(retrieved, _matches(spark, sf_dir, profiles), support), profiles
+    return column_ranking.column_features(retrieved, _matches(spark, sf_dir, profiles), support), profiles, frequencies
 
 
 @query("column_features", f"""WITH {FEATURES} SELECT question_id, table_name, column_name, round(semantic_score, 6) AS semantic_score, literal_match,
@@ -187,10 +189,10 @@ SELECT q.question_id, q.db_id, q.question, q.evidence, top_columns, top_tables,
  round(1.0::DOUBLE / (coalesce(n, 0) + 1), 6) AS evidence_parsing
 FROM ({QST}) q JOIN lists USING (question_id) JOIN tabs USING (question_id) LEFT JOIN hints USING (question_id)""")
 def context_package(spark, sf_dir):
-    features, profiles = _features(spark, sf_dir)
+    features, profiles, frequencies = _features(spark, sf_dir)
+    features = stable(features)
     q = questions(spark, sf_dir)
-    tables = linked_tables(spark, sf_dir)
-    links = value_links.link_values(q, _values(tables), profiles)
+    links = value_links.link_values(q, _values(frequencies), profiles)
     # The evidence of these questions states one mapping each; it is taken as parsed with full confidence.
     parsed = q.select(
         "question_id",
@@ -265,10 +267,9 @@ hints AS (SELECT question_id, table_name, count(*) AS value_hints FROM (SELECT *
 SELECT question_id, table_name, CAST(position AS INT) AS position, round(score, 6) AS score, coalesce(value_hints, 0) AS value_hints FROM tabs LEFT JOIN hints USING (question_id, table_name)""")
 def question_tables(spark, sf_dir):
     """The flagship: which tables does each question need, and how many of its words are values in them?"""
-    features, profiles = _features(spark, sf_dir)
+    features, profiles, frequencies = _features(spark, sf_dir)
     tables = context.context_tables(column_ranking.rank_by_rule(features))
-    columns = profiling.column_metadata(spark, linked_tables(spark, sf_dir), DB)
-    links = value_links.link_values(questions(spark, sf_dir), _values(linked_tables(spark, sf_dir)), columns)
+    links = value_links.link_values(questions(spark, sf_dir), _values(frequencies), profiles)
     hints = links.groupBy("question_id", "table_name").agg(F.count(F.lit(1)).alias("value_hints"))
     return tables.join(hints, ["question_id", "table_name"], "left").select(
         "question_id", "table_name", "position", F.round("score", 6).alias("score"), F.coalesce("value_hints", F.lit(0)).alias("value_hints")

@@ -16,6 +16,17 @@ def read_tables(spark: SparkSession, folder: str, names: list[str]) -> dict[str,
     return {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in names}
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain table scan over at least as many tasks as there are cores.
+
+    For work that costs much per row: a small table that comes as one file split would keep
+    a single core busy. A scan with enough splits, as any large table has, is left alone and
+    gets no shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def run_sql(spark: SparkSession, tables: dict[str, DataFrame], sql: str) -> DataFrame:
     """Run SQL text over named DataFrames without leaving views behind for other callers."""
     return spark.sql(sql, **tables) if tables else spark.sql(sql)
