@@ -57,12 +57,14 @@ def overlap_words(text: Column) -> Column:
     return F.array_distinct(split_words(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "_", " ")))
 
 
+def words_overlap(a: Column, b: Column) -> Column:
+    """Share of the words of ``a`` that also occur in ``b``, for arrays made by :func:`overlap_words`."""
+    return F.when(F.size(a) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+
+
 def word_overlap(a: Column, b: Column) -> Column:
     """Share of the words of ``a`` that also occur in ``b``; 0 when ``a`` has no words."""
-    def share(wa: Column) -> Column:
-        return F.when(F.size(wa) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(wa, overlap_words(b))) / F.size(wa))
-
-    return let(overlap_words(a), share)
+    return let(overlap_words(a), lambda words: words_overlap(words, overlap_words(b)))
 
 
 def _word_runs(words: Column, n: int) -> Column:
