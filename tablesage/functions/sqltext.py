@@ -55,10 +55,11 @@ def blanked(text: Column) -> Column:
 
 def parse_error(bare: Column) -> Column:
     """A lexical check of a blanked text: it starts with SELECT or WITH and its brackets and quotes are balanced."""
-    marks = F.regexp_replace(bare, r"[^()']", "")
-    depth = F.length(F.replace(marks, F.lit("("))) - F.length(F.replace(marks, F.lit(")")))
-    odd_quotes = F.length(F.regexp_replace(marks, "[()]", "")) % 2 != 0
-    return ~bare.rlike(r"(?is)^\s*\(?\s*(?:select|with)\b") | (depth != 0) | odd_quotes
+    def without(mark: str) -> Column:
+        return F.length(F.replace(bare, F.lit(mark)))
+
+    odd_quotes = (F.length(bare) - without("'")) % 2 != 0
+    return ~bare.rlike(r"(?is)^\s*\(?\s*(?:select|with)\b") | (without("(") != without(")")) | odd_quotes
 
 
 def _all(text: Column, pattern: str, group: int) -> Column:

@@ -13,16 +13,24 @@ PHRASE_TOKEN = r"(?U)\b[A-Za-z0-9\-\.\,\(\)]+\b"
 STOP_OPENINGS = ["what is", "how many", "list the", "where is", "of the"]
 PHRASE_STRIP = " .,'\""
 WORDS_PER_TOKEN_ESTIMATE = 1.3
+WHITE_SPACE = " \t\n\r\f\v\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
+    chr(c) for c in range(0x2000, 0x200B)
+)
 
 
 def strip_space(text: Column) -> Column:
     """Trim every kind of white space from both ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def _strip_fence(text: Column, tag: str) -> Column:
-    opened = F.regexp_replace(strip_space(text), rf"(?i)^```(?:{tag})?\s*", "")
-    return strip_space(F.regexp_replace(opened, r"\s*```$", ""))
+    def opened(t: Column) -> Column:
+        return F.when(t.startswith("```"), F.regexp_replace(t, rf"(?i)^```(?:{tag})?\s*", "")).otherwise(t)
+
+    def closed(t: Column) -> Column:
+        return F.when(t.endswith("```"), F.substring(t, F.lit(1), F.length(t) - 3)).otherwise(t)
+
+    return let(strip_space(text), lambda t: strip_space(let(opened(t), closed)))
 
 
 def clean_sql(text: Column) -> Column:

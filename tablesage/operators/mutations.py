@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablesage.functions.binding import let
+from tablesage.functions.text import strip_space
 
 # The kinds of mutation, the patterns they replace and the texts they leave.
 # (?d) lets "." and "$" treat only the newline as line end, (?U) makes \w and \b Unicode-aware.
@@ -86,7 +87,7 @@ def _mutated(sql: Column, seed: int) -> dict[str, Column]:
 
 
 def _tidy(sql: Column) -> Column:
-    return F.replace(F.regexp_replace(sql, r"^\s+|\s+$", ""), F.lit("  "), F.lit(" "))
+    return F.replace(strip_space(sql), F.lit("  "), F.lit(" "))
 
 
 def mutations(sql: Column, seed: int = 0) -> Column:

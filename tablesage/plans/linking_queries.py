@@ -10,7 +10,7 @@ from tablesage.functions.vectors import cosine, hash_levels, scaled_to_unit
 from tablesage.operators import column_ranking, context, literals, profiling, query_logs, value_links
 from tablesage.operators.numbering import top_per_group
 from tablesage.plans.inputs import (
-    DB, INTENT, LINKED, QLOG, QST, cells_sql, columns_sql, intents, linked_tables, query_log, questions, given, select,
+    DB, INTENT, LINKED, QLOG, QST, cells_sql, columns_sql, intents, linked_tables, query_log, questions, given, select, spread_table,
 )
 from tablesage.plans.registry import query
 from tablesage.session import stable
@@ -249,7 +249,7 @@ SELECT doc_id, CAST(len(levels) AS INT) AS dimensions, CAST(list_sum(levels) AS
  round(levels[1] / 100.0::DOUBLE / len, 8) AS first, round(levels[1536] / 100.0::DOUBLE / len, 8) AS last FROM n""")
 def hash_embedding(spark, sf_dir):
     levels = hash_levels(F.col("text"))
-    d = given(spark, sf_dir)["documents"].select("doc_id", levels.alias("levels"))
+    d = spread_table(spark, sf_dir, "documents").select("doc_id", levels.alias("levels"))
     d = d.withColumn("v", scaled_to_unit(F.transform("levels", lambda x: x / F.lit(100.0))))
     return d.select(
         "doc_id", F.size("v").alias("dimensions"),
