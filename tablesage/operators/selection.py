@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tablesage.functions.text import clean_sql
 from tablesage.operators.numbering import Along, numbered
+from tablesage.session import stable
 
 # How far each source is trusted, and the worth of a win and of a tie.
 SOURCE_PRIORITY = {
@@ -212,6 +213,10 @@ def final_selection(candidates: DataFrame, groups: DataFrame, ranked: DataFrame)
 
 
 def select_final(candidates: DataFrame, level: Column | None = None) -> DataFrame:
-    """Group by result, rank by the level judge, keep the winner."""
-    groups = execution_groups(candidates)
+    """Group by result, rank by the level judge, keep the winner.
+
+    The groups are far fewer than the candidates and are read by several steps: they are
+    materialized, so that the candidates are scanned once.
+    """
+    groups = stable(execution_groups(candidates))
     return final_selection(candidates, groups, level_tournament(groups, level))

@@ -119,20 +119,30 @@ def other_side(winner: Column) -> Column:
 def pairwise_rows(candidates: DataFrame, payload: list[str], k: int = PAIRS_PER_QUESTION, seed: int = 0) -> DataFrame:
     """(question_id, draw, a_*, b_*, winner, chosen, rejected) for the drawn pairs.
 
-    Positions are drawn first; both sides are then fetched by (question, position), so no
-    key is heavier than the ``k`` draws of a question.
+    Positions are drawn first; the candidates at them are then fetched by (question,
+    position) in one join for both sides, so no key is heavier than the draws that hit it.
     """
     scored = with_quality_score(candidates)
     counts = candidates.groupBy("question_id").agg(F.count(F.lit(1)).alias("n"))
     fields = list(dict.fromkeys([*payload, "score"]))
-    side_a = scored.select("question_id", F.col("pos").cast("long").alias("pos_a"), *[F.col(c).alias(f"a_{c}") for c in fields])
-    side_b = scored.select("question_id", F.col("pos").cast("long").alias("pos_b"), *[F.col(c).alias(f"b_{c}") for c in fields])
-    drawn = sampled_pair_positions(counts, k, seed)
-    winner = winner_of(F.col("a_score"), F.col("b_score"))
-    return (
-        drawn.join(side_a, ["question_id", "pos_a"]).join(side_b, ["question_id", "pos_b"])
-        .withColumns({"winner": winner, "chosen": winner, "rejected": other_side(winner)})
+    wanted = sampled_pair_positions(counts, k, seed).select(
+        "question_id", "draw",
+        F.inline(
+            F.array(
+                F.struct(F.lit("a").alias("side"), F.col("pos_a").alias("pos")),
+                F.struct(F.lit("b").alias("side"), F.col("pos_b").alias("pos")),
+            )
+        ),
     )
+    payloads = scored.select("question_id", F.col("pos").cast("long").alias("pos"), F.struct(*fields).alias("candidate"))
+    fetched = wanted.join(payloads, ["question_id", "pos"])
+    sides = fetched.groupBy("question_id", "draw").agg(
+        *[F.first(F.when(F.col("side") == s, F.col("candidate")), ignorenulls=True).alias(s) for s in ("a", "b")]
+    )
+    winner = winner_of(F.col("a_score"), F.col("b_score"))
+    return sides.select(
+        "question_id", "draw", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("a", "b") for c in fields]
+    ).withColumns({"winner": winner, "chosen": winner, "rejected": other_side(winner)})
 
 
 def pair_prompt(question: Column, evidence: Column, sides: dict[str, dict[str, Column]]) -> Column:

@@ -118,7 +118,8 @@ def given(spark: SparkSession, sf_dir: str) -> Given:
 def select(spark: SparkSession, sf_dir: str, sql: str, names: list[str]) -> DataFrame:
     """A SQL text over given tables, which it sees as views."""
     for name in names:
-        spread_table(spark, sf_dir, name).createOrReplaceTempView(name)
+        read = table if name == "events" else spread_table
+        read(spark, sf_dir, name).createOrReplaceTempView(name)
     return spark.sql(sql)
 
 

@@ -21,10 +21,11 @@ ONS_SQL = r"regexp_extract_all(sql, '\w\.\w+ = \w\.\w+_\w*key\b')"
 
 @query("qlog_features", f"""SELECT question_id, array_to_string({TABLES_SQL}, ';') AS tables, array_to_string({REFS_SQL}, ';') AS columns,
  array_to_string(regexp_extract_all(sql, 'ON (\\w\\.\\w+ = \\w\\.\\w+)', 1), ';') AS joins,
- nullif(regexp_extract(sql, '(WHERE .+?)(?: ORDER BY| GROUP BY|$)', 1), '') AS "where",
- nullif(regexp_extract(sql, '(GROUP BY .+?)(?: ORDER BY|$)', 1), '') AS group_by, false AS parse_error FROM ({QLOG})""".replace("\\\\", "\\"))
+ regexp_extract(sql, '(WHERE .+?)(?: ORDER BY| GROUP BY|$)', 1) AS "where",
+ regexp_extract(sql, '(GROUP BY .+?)(?: ORDER BY|$)', 1) AS group_by, false AS parse_error FROM ({QLOG})""".replace("\\\\", "\\"))
 def qlog_features(spark, sf_dir):
-    return query_logs.log_features(query_log(spark, sf_dir)).withColumns(_joined("tables", "columns", "joins")).drop("sql")
+    shown = _joined("tables", "columns", "joins") | {c: F.coalesce(c, F.lit("")) for c in ("where", "group_by")}
+    return query_logs.log_features(query_log(spark, sf_dir)).withColumns(shown).drop("sql")
 
 
 @query("qlog_join_edges", f"""WITH e AS (SELECT unnest(regexp_extract_all(sql, '(\\w\\.\\w+ = \\w\\.\\w+)')) AS e FROM ({QLOG}) WHERE contains(sql, ' JOIN ')),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,19 +11,14 @@ from tablesage.functions.compat import loose_real, ratio, year_text
 from tablesage.operators.numbering import Along, numbered
 from tablesage.plans.inputs import given
 from tablesage.plans.registry import query
+from tablesage.session import shared_folder
 from tablesage.sources.jsonio import read_json_lines, write_json_lines
 
 
-def scratch_folder(spark: SparkSession) -> str:
-    """A new folder name in the cluster's shared folder; a private one where none is named (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared or tempfile.mkdtemp(prefix='tablesage-')}/{uuid.uuid4().hex}"
-
-
 @query("jsonl_roundtrip", "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
 def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = given(spark, sf_dir)["customer"].select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
-    path = scratch_folder(spark)
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     write_json_lines(rows, path)
     return read_json_lines(spark, path, rows.schema)
 

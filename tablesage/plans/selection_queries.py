@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from tablesage.functions.digest import result_summary
 from tablesage.operators import batch, compare, hard_cases, selection
-from tablesage.plans.inputs import CAND, STAR, candidates, given, select, tables_of, unnumbered_candidates
+from tablesage.plans.inputs import CAND, STAR, candidates, given, tables_of
 from tablesage.plans.registry import query
+from tablesage.session import stable
 
 # Candidate texts for the batch: the shapes that occur in practice, two of them broken, one forbidden.
 BATCH = {
@@ -111,7 +112,7 @@ def rule_select(spark, sf_dir):
 
 @query("tournament_scores", f"WITH {SCORES} SELECT question_id, candidate_id, CAST(score AS DOUBLE) AS score, rank FROM ranked")
 def tournament_scores(spark, sf_dir):
-    ranked = selection.level_tournament(selection.execution_groups(candidates(spark, sf_dir)))
+    ranked = selection.level_tournament(stable(selection.execution_groups(candidates(spark, sf_dir))))
     return ranked.select("question_id", "candidate_id", F.col("score").cast("double").alias("score"), "rank")
 
 

@@ -27,22 +27,25 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "tab
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; a private one only in local mode, where none is named."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+    return tempfile.mkdtemp(prefix="tablesage-")
+
+
 def stable(df: DataFrame) -> DataFrame:
     """Materialize ``df`` once in the shared checkpoint folder.
 
-    Used after steps that must not be run twice (model answers, query timings).
-    The folder is the one named by ``spark.checkpoint.dir``; a private one is made
-    only in local mode, where no cluster has named any.
+    Used after steps that must not be run twice (model answers, query timings) and for
+    small results that several later steps read.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-            folder = tempfile.mkdtemp(prefix="tablesage-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
