@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tablesage.functions.text import clean_json, clean_sql, token_estimate
 from tablesage.operators import compare, mutations, prompts, query_logs
-from tablesage.plans.inputs import CAND, QLOG, QST, candidates, given, query_log, questions, select
+from tablesage.plans.inputs import CAND, QLOG, QST, candidates, given, query_log, select
 from tablesage.plans.registry import query
 
 
