@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesage.llm.common import lower_ascii, table
+from tablesage.llm.common import lower_ascii, stage_path, table
 from tablesage.llm.exact_dedup import exact_dedup
+from tablesage.llm.packing import pack, token_pieces
+from tablesage.llm.token_files import ids_digest, read_tokens, write_tokens
 from tablesage.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,3 +50,15 @@ def op3_exact_dedup(spark, sf_dir):
         "doc_id", "text", F.sha2(lower_ascii(F.coalesce("text", F.lit(""))), 256).alias("text_sha256")
     )
     return exact_dedup(docs, keep=["doc_id", "text_sha256"])
+
+
+@query("op4_token_files")
+def op4_token_files(spark, sf_dir):
+    path = stage_path(spark, "tokens")
+    write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return ids_digest(read_tokens(spark, path))
+
+
+@query("op5_best_fit_packing")
+def op5_best_fit_packing(spark, sf_dir):
+    return pack(token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
