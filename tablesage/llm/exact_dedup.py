@@ -24,7 +24,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Pieces are whole characters, which are equal when their UTF-8 bytes are; no digest is involved.
 
     A hot group is first counted where it is read (partial aggregation), and only pieces that repeat are joined back, so
-    that its rows may be split over any number of tasks.
+    that its rows may be split over any number of tasks. Nothing bounds how many pieces repeat, so they are never
+    broadcast: the join is a sort-merge join, whose skewed partitions adaptive execution splits.
 
     Texts are equal when identical after lower-casing A to Z. A null text counts as empty. Of equal texts the row with
     the largest id stays; a null id is smaller than any other, and of rows that tie in their id exactly one stays. Every
@@ -51,7 +52,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         )
         open_row = F.col("n").isNotNull() & ~F.col("ended")
         round_rows = materialize(
-            dealt.join(repeated, ["group", "piece", "ended"], "left").select(
+            dealt.join(repeated.hint("merge"), ["group", "piece", "ended"], "left").select(
                 "payload", "id", "row", "best", "n", open_row.alias("open"),
                 F.when(open_row, F.substring(F.col("rest"), F.lit(width + 1), F.lit(2**31 - 1))).alias("rest"),
             ),
