@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from tablesage.llm.common import lower_ascii, stage_path, table
 from tablesage.llm.exact_dedup import exact_dedup
 from tablesage.llm.packing import pack, token_pieces
+from tablesage.llm.secret_scan import KINDS, joined, secret_scan
+from tablesage.llm.token_counts import token_counts
 from tablesage.llm.token_files import ids_digest, read_tokens, write_tokens
+from tablesage.llm.toxicity import fit_toxicity
 from tablesage.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,3 +65,30 @@ def op4_token_files(spark, sf_dir):
 @query("op5_best_fit_packing")
 def op5_best_fit_packing(spark, sf_dir):
     return pack(token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+@query("op1_secret_scan")
+def op1_secret_scan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).select("doc_id", "secret_spans")
+    number = lambda kind: F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    spans = F.col("secret_spans")
+    return found.select("doc_id", *map(number, KINDS[:3]), F.sha2(joined(spans, True), 256).alias("base_sha256"), joined(spans, False).alias("spans"))
+
+
+def held_out(modulus: int, rest: int):
+    """Whether a row is kept from learning; a row without an id is."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == rest, F.lit(True))
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = fit_toxicity(docs, labels.where(~held_out(5, 0)))
+    return model.transform(docs.withColumn("held_out", held_out(5, 0))).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op9_token_counts")
+def op9_token_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"))
