@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tablesage.llm.common import lower_ascii, stage_path, table
 from tablesage.llm.exact_dedup import exact_dedup
+from tablesage.llm.language_id import fit_languages
 from tablesage.llm.packing import pack, token_pieces
 from tablesage.llm.secret_scan import KINDS, joined, secret_scan
 from tablesage.llm.token_counts import token_counts
@@ -92,3 +93,11 @@ def op7_toxicity(spark, sf_dir):
 def op9_token_counts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op10_language_id")
+def op10_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = fit_languages(docs.where(~held_out(4, 2)).select("text", "lang"))
+    texts = docs.select("doc_id", "text").withColumn("held_out", held_out(4, 2))
+    return model.transform(texts).select("doc_id", "held_out", "lang_pred", "score")
