@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablesage.llm.byte_bpe import encode_and_decode
 from tablesage.llm.common import lower_ascii, stage_path, table
 from tablesage.llm.exact_dedup import exact_dedup
 from tablesage.llm.language_id import fit_languages
@@ -101,3 +102,9 @@ def op10_language_id(spark, sf_dir):
     model = fit_languages(docs.where(~held_out(4, 2)).select("text", "lang"))
     texts = docs.select("doc_id", "text").withColumn("held_out", held_out(4, 2))
     return model.transform(texts).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op6_byte_bpe")
+def op6_byte_bpe(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return encode_and_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
