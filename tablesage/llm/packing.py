@@ -108,7 +108,8 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
             at += n
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    ranged = pieces.repartitionByRange(*order).sortWithinPartitions(*order)
+    # Range partitioning reads its input twice, first for the bounds: not through the tokenizer.
+    ranged = materialize(pieces, "packing-pieces").repartitionByRange(*order).sortWithinPartitions(*order)
     numbered = materialize(ranged.mapInArrow(number, f"{kinds}, part_no int, row_no long"), "packing-sorted")
     per_part = dict(numbered.groupBy("part_no").count().collect())
     per_length = dict(numbered.groupBy("length").count().collect())
