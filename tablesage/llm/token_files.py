@@ -64,6 +64,7 @@ def read_tokens(spark: SparkSession, path: str, columns: Sequence[str] = ("doc_i
     """Rows of token files with ``start``, the ids of all documents before each. Filters on doc_id reach the page indexes.
 
     ``start`` needs the totals of the parts: one pass over the ``n_tokens`` column, summed to a row per part.
+    These few rows are broadcast: there are as many as the writing job had partitions, so the ids are not shuffled.
     """
     files = spark.read.parquet(path)
     if "start" not in columns:
@@ -71,7 +72,7 @@ def read_tokens(spark: SparkSession, path: str, columns: Sequence[str] = ("doc_i
     totals = files.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
-    return files.join(offsets, "part").withColumn("start", F.col("offset") + F.col("start_in_part")).select(*columns)
+    return files.join(F.broadcast(offsets), "part").withColumn("start", F.col("offset") + F.col("start_in_part")).select(*columns)
 
 
 def ids_digest(tokens: DataFrame) -> DataFrame:
