@@ -13,6 +13,7 @@ from tablesage.llm.byte_bpe import encode_and_decode
 from tablesage.llm.common import lower_ascii, stage_path, table
 from tablesage.llm.exact_dedup import exact_dedup
 from tablesage.llm.language_id import fit_languages
+from tablesage.llm.ngram_join import ngram_jaccard
 from tablesage.llm.packing import pack, token_pieces
 from tablesage.llm.secret_scan import KINDS, joined, secret_scan
 from tablesage.llm.token_counts import token_counts
@@ -108,3 +109,8 @@ def op10_language_id(spark, sf_dir):
 def op6_byte_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return encode_and_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op2_ngram_jaccard")
+def op2_ngram_jaccard(spark, sf_dir):
+    return ngram_jaccard(table(spark, sf_dir, "documents"))
