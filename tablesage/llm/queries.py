@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tablesage.llm.byte_bpe import encode_and_decode
 from tablesage.llm.common import lower_ascii, stage_path, table
+from tablesage.llm.embedding_dedup import near_vectors
 from tablesage.llm.exact_dedup import exact_dedup
 from tablesage.llm.language_id import fit_languages
 from tablesage.llm.ngram_join import ngram_jaccard
@@ -114,3 +115,25 @@ def op6_byte_bpe(spark, sf_dir):
 @query("op2_ngram_jaccard")
 def op2_ngram_jaccard(spark, sf_dir):
     return ngram_jaccard(table(spark, sf_dir, "documents"))
+
+
+@query("op8_embedding_dedup", """
+WITH RECURSIVE valid AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, x -> x != 0)) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM valid a JOIN valid b ON a.label = b.label AND a.vec_id != b.vec_id AND len(a.v) = len(b.v)
+    WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.98
+), reach AS (
+    SELECT vec_id AS node, vec_id AS component FROM embeddings
+    UNION
+    SELECT links.b, reach.component FROM reach JOIN links ON links.a = reach.node
+)
+SELECT e.vec_id, coalesce(any_value(n.n), 0) AS n_links, min(r.component) AS component_id, e.vec_id = min(r.component) AS kept
+FROM embeddings e JOIN reach r ON r.node = e.vec_id
+LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n.a = e.vec_id
+GROUP BY e.vec_id
+""")
+def op8_embedding_dedup(spark, sf_dir):
+    return near_vectors(table(spark, sf_dir, "embeddings"))
