@@ -4,15 +4,65 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablesage.llm.common import materialize, table
+from tablesage.llm.common import materialize, quoted, table
+from tablesage.llm.exact_dedup import exact_dedup
+from tablesage.llm.ngram_join import ngram_jaccard
+from tablesage.llm.packing import pack, token_pieces
+from tablesage.llm.queries import held_out
+from tablesage.llm.secret_scan import secret_scan
+from tablesage.llm.toxicity import fit_toxicity
+from tablesage.session import ship_package
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+MASK = "[SECRET]"
 
-STAGES: list[tuple[str, Stage]] = []
 
-#: Toxicity, secrets and packing need learned weights, patterns and a tokenizer, which SQL does not have.
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go. It learns from the labels that no test holds out."""
+    ship_package(spark)
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels").where(~held_out(5, 0)))
+    return model.transform(docs).where("predicted = 0").select(*map(quoted, docs.columns))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the document with the largest id stays."""
+    ship_package(spark)
+    return exact_dedup(docs).where("kept").select(*map(quoted, docs.columns))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of linked documents, the one with the smallest id stays. Ids may be null; such documents stay."""
+    ship_package(spark)
+    linked = ngram_jaccard(docs).where("doc_id != component_id").select("doc_id")
+    return docs.join(linked, "doc_id", "left_anti").select(*map(quoted, docs.columns))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; secrets in its text give way to a mask."""
+    ship_package(spark)
+    masked = secret_scan(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, mask=MASK)
+    return masked.withColumn("n_chars", F.length("text").cast("long")).select(*map(quoted, docs.columns))
+
+
+def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of the documents' tokens in sequences of 2048."""
+    ship_package(spark)
+    return pack(token_pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("ngram_jaccard", drop_near_copies),
+    ("secrets", mask_secrets),
+    ("packing", pack_documents),
+]
+
+#: Toxicity, secrets and packing need learned weights, vocabularies and a tokenizer, which SQL does not have.
 ORACLE_SQL: str | None = None
 
 

@@ -33,16 +33,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     as result columns are replaced by these. ``docs`` must give the same rows each time it is read (files do).
     """
     payload = beside(docs, RESULT) if keep is None else list(keep)
+    whole = text_col in payload  # then it goes along as it is, and rounds read on at an offset
     rows = docs.select(
-        F.struct(*[quoted(c) for c in payload]).alias("payload"), quoted(id_col).alias("id"),
-        F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("rest"),
+        F.struct(*[quoted(c) for c in payload if c != text_col], F.lit(None).cast("string").alias("_none")).alias("payload"),
+        quoted(id_col).alias("id"), quoted(text_col).cast("string").alias("body"),
     ).withColumn("row", F.monotonically_increasing_id()).withColumn("group", F.lit(-1).cast("long"))
+    result = [F.col("body").alias(c) if c == text_col else F.col("payload")[c].alias(c) for c in payload]
     done: list[DataFrame] = []
-    width = first
+    width, offset = first, 0
     while True:
+        text = F.coalesce("body", F.lit(""))
         dealt = rows.withColumns({
-            "piece": lower_ascii(F.substring("rest", 1, width)),
-            "ended": F.substring(F.col("rest"), F.lit(width + 1), F.lit(1)) == "",
+            "piece": lower_ascii(F.substring(text, F.lit(offset + 1), F.lit(width))),
+            "ended": F.substring(text, F.lit(offset + width + 1), F.lit(1)) == "",
         })
         repeated = materialize(
             dealt.groupBy("group", "piece", "ended")
@@ -51,24 +54,24 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             "dedup-pieces",
         )
         open_row = F.col("n").isNotNull() & ~F.col("ended")
+        rest = F.col("body") if whole else F.when(open_row, F.substring(F.col("body"), F.lit(width + 1), F.lit(2**31 - 1)))
         round_rows = materialize(
-            dealt.join(repeated.hint("merge"), ["group", "piece", "ended"], "left").select(
-                "payload", "id", "row", "best", "n", open_row.alias("open"),
-                F.when(open_row, F.substring(F.col("rest"), F.lit(width + 1), F.lit(2**31 - 1))).alias("rest"),
-            ),
+            dealt.join(repeated.hint("merge"), ["group", "piece", "ended"], "left")
+            .select("payload", "id", "row", "best", "n", open_row.alias("open"), rest.alias("body")),
             "dedup-round",
         )
         done.append(round_rows.where(~F.col("open")).select(
-            "payload.*",
+            *result,
             F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("best.id")).alias("keep_id"),
             F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
             (F.col("n").isNull() | (F.col("best.row") == F.col("row"))).alias("kept"),
         ))
-        rows = round_rows.where("open").select("payload", "id", "rest", "row", F.col("best.row").alias("group"))
+        rows = round_rows.where("open").select("payload", "id", "body", "row", F.col("best.row").alias("group"))
         if rows.isEmpty():
             break
+        offset += width if whole else 0
         width *= growth
-    result = done[0]
+    united = done[0]
     for part in done[1:]:
-        result = result.unionByName(part)
-    return result
+        united = united.unionByName(part)
+    return united

@@ -112,7 +112,26 @@ def op6_byte_bpe(spark, sf_dir):
     return encode_and_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-@query("op2_ngram_jaccard")
+@query("op2_ngram_jaccard", f"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, [w FOR w IN string_split_regex({LOWERED}, '[ \t\n\x0B\f\r]+') IF w != ''] AS w FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [w]
+        ELSE list_distinct([w[i:i + 4] FOR i IN range(1, len(w) - 3)]) END AS s
+    FROM words
+), entries AS (
+    SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+), links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM entries a JOIN entries b ON a.g = b.g AND a.doc_id != b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reach AS (
+    SELECT doc_id AS node, doc_id AS component FROM documents
+    UNION
+    SELECT links.b, reach.component FROM reach JOIN links ON links.a = reach.node
+)
+SELECT s.doc_id, len(s.s) AS n_shingles, min(r.component) AS component_id
+FROM sets s JOIN reach r ON r.node = s.doc_id GROUP BY s.doc_id, s.s
+""")
 def op2_ngram_jaccard(spark, sf_dir):
     return ngram_jaccard(table(spark, sf_dir, "documents"))
 
@@ -120,8 +139,8 @@ def op2_ngram_jaccard(spark, sf_dir):
 @query("op8_embedding_dedup", """
 WITH RECURSIVE valid AS (
     SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
-    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-      AND len(list_filter(embedding, x -> x != 0)) > 0
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+      AND len([x FOR x IN embedding IF x != 0]) > 0
 ), links AS (
     SELECT a.vec_id AS a, b.vec_id AS b FROM valid a JOIN valid b ON a.label = b.label AND a.vec_id != b.vec_id AND len(a.v) = len(b.v)
     WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.98
