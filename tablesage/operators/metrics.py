@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablesage.operators.compare import diagnose
 from tablesage.operators.selection import merit, packed, rule_level
 
 # Prices per 1000 tokens in dollars, and the k of pass@k.
@@ -104,12 +105,11 @@ def latency_summary(details: DataFrame) -> DataFrame:
 
 
 def error_class(success: Column, error: Column, is_empty: Column, pred_rows: Column, gold_rows: Column) -> Column:
-    text = F.lower(F.coalesce(error, F.lit("")))
-    failed = ~F.coalesce(success, F.lit(False))
+    failed, found = ~F.coalesce(success, F.lit(False)), diagnose(F.coalesce(error, F.lit("")))
     return (
-        F.when(failed & text.contains("no such table"), F.lit("wrong_table"))
-        .when(failed & text.contains("no such column"), F.lit("wrong_column"))
-        .when(failed & text.contains("syntax"), F.lit("syntax_error"))
+        F.when(failed & (found == "table_missing"), F.lit("wrong_table"))
+        .when(failed & (found == "column_missing"), F.lit("wrong_column"))
+        .when(failed & ((found == "syntax_error") | F.lower(F.coalesce(error, F.lit(""))).contains("syntax")), F.lit("syntax_error"))
         .when(failed, F.lit("execution_error"))
         .when(F.coalesce(is_empty, F.lit(False)), F.lit("empty_result"))
         .when(pred_rows != gold_rows, F.lit("wrong_row_count"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tablesage.functions.compat import int_div, loose_real, ratio
 from tablesage.operators import batch, compare, mutations, prompts, query_logs
-from tablesage.operators.inference import answer_prompts, offline_model
+from tablesage.operators.inference import answer_prompts, constant_model
 from tablesage.operators.rounds import repair
 from tablesage.sources import jsonio
 
@@ -100,6 +100,39 @@ def test_run_batch(spark, tmp_path):
     assert batch.run_batch(q, path).count() == len(texts)  # nothing is run or recorded twice
 
 
+DIALECT = [
+    ("SELECT CAST(k AS TEXT) AS x FROM dialect_t WHERE k = 7", ["7"]),
+    ("SELECT CAST(16777217 AS REAL) AS x", ["1.6777217E7"]),
+    ("SELECT strftime('%Y-%m', d) AS x FROM dialect_t WHERE k = 7", ["2024-03"]),
+    ("SELECT IIF(k > 1, 'a, (b', 'LIKE') AS x FROM dialect_t WHERE k = 7", ["a, (b"]),
+    ("SELECT group_concat(v) AS x FROM dialect_t WHERE k = 7", ["x1"]),
+    ("SELECT group_concat(v, '; ') AS x FROM dialect_t WHERE k = 7", ["x1"]),
+    ("SELECT total(k) AS x FROM dialect_t WHERE k > 100", ["0.0"]),
+    ("SELECT k / 0 AS x FROM dialect_t WHERE k = 7", [None]),
+    ("SELECT CAST(v AS INTEGER) AS x FROM dialect_t WHERE k = 7", [None]),
+    ("SELECT k AS x FROM dialect_t WHERE n = 5", ["7"]),
+    ("SELECT `k` AS x FROM dialect_t WHERE v = 'as text) [v] \"v\"' OR k = 7", ["7"]),
+]
+
+
+def test_candidates_dialect_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(batch, "CHUNK", 4)  # more texts than a chunk holds, and no path
+    spark.sql("SELECT 7 AS k, 'x1' AS v, '5' AS n, DATE'2024-03-02' AS d").createOrReplaceTempView("dialect_t")
+    found = {r.sql: r.exec for r in batch.run_batch(spark.createDataFrame([(t,) for t, _ in DIALECT], "sql string")).collect()}
+    assert len(found) == len(DIALECT)
+    for text, row in DIALECT:
+        assert found[text].error is None and json.loads(found[text].sample_rows[0]) == row, (text, found[text])
+
+
+def test_own_errors_have_classes(spark):
+    from tablesage.operators.metrics import error_class
+
+    texts = [("SELECT no FROM range(1)", "wrong_column"), ("SELECT 1 FROM nowhere", "wrong_table"), ("SELECT ((1 FROM range(1)", "syntax_error"), ("DROP TABLE x", "execution_error")]
+    found = batch.run_batch(spark.createDataFrame([(t,) for t, _ in texts], "sql string")).select("sql", "exec.*")
+    got = found.select("sql", error_class(F.col("success"), F.col("error"), F.col("is_empty"), F.lit(1), F.lit(1)).alias("c")).collect()
+    assert {r.sql: r.c for r in got} == dict(texts)
+
+
 def test_batch_timeout(spark):
     spark.range(1).createOrReplaceTempView("slow_t")
     slow = "SELECT sum(a.id * b.id) FROM range(3000000) a, range(3000000) b"
@@ -126,8 +159,9 @@ def test_json_files(spark, tmp_path):
 
 def test_model_steps(spark):
     q = spark.createDataFrame([("1", "db", "what?", "x means y"), ("2", "db", "who?", "")], "question_id string, db_id string, question string, evidence string")
-    intents = prompts.intents_from_answers(answer_prompts(prompts.intent_prompts(q), offline_model, ["question_id"])).collect()
-    assert {r.intent.operation for r in intents} == {"select"}
+    intents = prompts.intents_from_answers(answer_prompts(prompts.intent_prompts(q), constant_model('{"operation": "count", "literals": ["x"]}'), ["question_id"])).collect()
+    assert {(r.intent.operation, r.intent.literals[0], r.parse_error) for r in intents} == {("count", "x", False)}
+    assert all(r.parse_error for r in prompts.intents_from_answers(answer_prompts(prompts.intent_prompts(q), constant_model(), ["question_id"])).collect())
     columns = spark.createDataFrame([("1", ["t.a"])], "question_id string, columns array<string>")
     asked = prompts.constraint_prompts(q, columns)
     assert asked.count() == 1  # no evidence, no question to the model
@@ -138,10 +172,21 @@ def test_model_steps(spark):
     assert answers("[]") == [] and answers('{"column": "t.a", "confidence": 0.5}')[0].confidence == 0.5
     assert answers("sorry")[0].parse_error and answers("sorry")[0].raw_response == "sorry"
     profile = spark.createDataFrame([("db", "t", "a", "", "")], "db_id string, table_name string, column_name string, short_description string, possible_semantic_type string")
-    told = prompts.merge_summaries(profile, answer_prompts(prompts.summary_prompts(profile), offline_model, ["column_name"])).first()
+    told = prompts.merge_summaries(profile, answer_prompts(prompts.summary_prompts(profile), constant_model('{"possible_semantic_type": "name"}'), ["column_name"])).first()
     assert told.possible_semantic_type == "name" and told.raw_response is None
 
 
+def test_one_failing_prompt_leaves_the_others(spark):
+    def model(texts, temperatures):
+        if any("bad" in t for t in texts):
+            raise ValueError("no answer to this")
+        return [t.upper() for t in texts]
+
+    asked = spark.createDataFrame([(i, "bad" if i == 3 else f"p{i}", 0.0) for i in range(6)], "i int, prompt string, temperature double")
+    got = {r.i: (r.answer, r.answer_error) for r in answer_prompts(asked, model, ["i"], partitions=1).collect()}
+    assert got[3] == (None, "ValueError: no answer to this") and got[4] == ("P4", None) and len(got) == 6
+
+
 def test_repair_rounds(spark):
     spark.createDataFrame([(1,)], "k int").createOrReplaceTempView("repair_t")
     rows = [("1", "db", "1_cand_0", 0, "s", "p", "SELECT k FROM repair_t"), ("1", "db", "1_cand_1", 1, "s", "p", "SELECT z FROM repair_t"),
