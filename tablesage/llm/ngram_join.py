@@ -15,10 +15,10 @@ from tablesage.llm.shingles import set_ids, shingle_sets
 NEEDED, SCALE = 75, 100
 #: Hashes that a task gathers before it passes them on.
 GATHERED = 2_000_000
-#: Representatives of a column that the rounds compare others with; the last round leaves out none.
-ROUNDS = (1, 8, 64, None)
-#: Sets compared with one representative in a row of a task.
-PART = 512
+#: Representatives of a column that the rounds compare others with, before what is left is compared in full.
+ROUNDS = (1, 8)
+#: Sets that a task compares with one representative; rows and columns of a block of the last product.
+PART, BLOCK_ROWS, BLOCK_COLUMNS = 512, 128, 1024
 
 SETS = "set long, size int, shared int, hashes binary, prefix array<long>"
 
@@ -172,42 +172,97 @@ def overlapping(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return sorted_rows.mapInArrow(compare, "a long, b long")
 
 
+def products(columns: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b: classes) between the sets outside the largest class of a column and all others that meet them.
+
+    Columns with one largest class form a group: its rows are the sets outside that class, its columns all of its sets.
+    A task multiplies a block of rows with a part of the columns: it holds the block's n-grams and adds up the overlaps of
+    one column after the other. Sets are dealt out, not pairs, so a group of near copies costs rows as it grows, not
+    their square.
+    """
+    members = columns.groupBy("largest", "set").agg(F.max("class").alias("class")).withColumn("outside", F.col("class") != F.col("largest"))
+    sizes = members.groupBy("largest").agg(
+        F.ceil(F.count_if("outside") / BLOCK_ROWS).cast("int").alias("blocks"), F.ceil(F.count(F.lit(1)) / BLOCK_COLUMNS).cast("int").alias("parts")
+    )
+    dealt = members.join(sizes, "largest")
+    own = lambda n: F.pmod(F.xxhash64("set"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = dealt.where("outside").select("set", "class", "largest", own("blocks").alias("block"), every("parts").alias("part"), F.lit(0).alias("role"))
+    others = dealt.select("set", "class", "largest", every("blocks").alias("block"), own("parts").alias("part"), F.lit(1).alias("role"))
+    wanted = materialize(rows.unionByName(others), "ngram-blocks")
+    task = ["largest", "block", "part"]
+    sorted_rows = wanted.join(sets.select("set", "size", "hashes"), "set").repartition(*task).sortWithinPartitions(*task, "role")
+
+    def multiply(batches):
+        key, held = None, []
+        grams = owners = sizes = classes = names = None
+        for batch in batches:
+            links = set()
+            columns_of = [batch.column(c).to_pylist() for c in (*task, "role", "set", "class", "size", "hashes")]
+            for largest, block, part, role, name, group, size, data in zip(*columns_of, strict=True):
+                if (largest, block, part) != key:
+                    key, held, grams = (largest, block, part), [], None
+                hashes = np.frombuffer(data, np.uint64)
+                if role == 0:
+                    held.append((name, group, size, hashes))
+                    continue
+                if not held:
+                    continue
+                if grams is None:
+                    grams, owners = np.concatenate([h[3] for h in held]), np.repeat(np.arange(len(held)), [len(h[3]) for h in held])
+                    order = np.argsort(grams, kind="stable")
+                    grams, owners = grams[order], owners[order]
+                    names, classes, sizes = (np.array([h[i] for h in held], np.int64) for i in range(3))
+                first, last = np.searchsorted(grams, hashes, "left"), np.searchsorted(grams, hashes, "right")
+                number = last - first
+                at = np.repeat(first - np.cumsum(number) + number, number) + np.arange(number.sum())
+                overlap = np.bincount(owners[at], minlength=len(held))
+                linked = (SCALE * overlap >= NEEDED * (sizes + size - overlap)) & (names != name) & (classes != group)
+                links.update((min(c, group), max(c, group)) for c in classes[linked].tolist())
+            a, b = zip(*links, strict=True) if links else ((), ())
+            yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return sorted_rows.mapInArrow(multiply, "a long, b long")
+
+
+def _representatives(columns: DataFrame, number: int) -> DataFrame:
+    """Pairs (one, other) of sets of different classes: those outside a column's largest class, and ``number`` sets of it."""
+    salt = F.pmod(F.xxhash64("set", F.lit(number)), F.lit(number))
+    best = columns.where("class = largest").groupBy("column", salt.alias("salt")).agg(F.min(F.struct("set", "size", "shared", "class")).alias("best"))
+    other = best.select("column", *[F.col(f"best.{c}").alias(f"other_{c}") for c in ("set", "size", "shared", "class")])
+    bound = NEEDED * (F.col("size") + F.col("other_size")) <= (NEEDED + SCALE) * F.least("shared", "other_shared")
+    return (
+        columns.where("class != largest").join(other, "column").where(bound)
+        .where(NEEDED * F.greatest("size", "other_size") <= SCALE * F.least("size", "other_size"))
+        .select(F.col("set").alias("one"), F.col("other_set").alias("other"), F.col("class").alias("class_one"), F.col("other_class").alias("class_other"))
+        .distinct()
+    )
+
+
 def linked_classes(sets: DataFrame) -> DataFrame:
     """(set, class) of linked sets.
 
     The prefixes' columns hold all pairs that may link, but sets that are known to belong together need no comparison:
-    a column's largest class is represented by 1, then 8, then 64 of its sets, against which the others are compared;
-    columns of one class are done. What is left in the end, the sets outside the largest class, is compared with every
-    set of the other classes, so no link is lost, and near copies of one text never meet in all pairs.
+    a column's largest class is represented by 1, then 8 of its sets, against which the others are compared; columns of
+    one class are done. What is left in the end, the sets outside the largest class, is multiplied with every set that
+    meets them, so no link is lost, and near copies of one text never meet in all pairs.
     """
     columns = materialize(sets.select("set", "size", "shared", F.explode("prefix").alias("column"), F.col("set").alias("class")), "ngram-columns")
     classes: DataFrame | None = None
-    for number in ROUNDS:
+    for number in (*ROUNDS, None):
         per_class = columns.groupBy("column", "class").agg(F.count(F.lit(1)).alias("n"))
         mixed = per_class.groupBy("column").agg(F.max(F.struct("n", "class")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
         columns = materialize(columns.join(mixed.select("column", F.col("top.class").alias("largest")), "column"), "ngram-columns")
         if columns.isEmpty():
             break
         if number is None:
-            chosen = columns
+            links = products(columns, sets)
         else:
-            salt = F.pmod(F.xxhash64("set", F.lit(number)), F.lit(number))
-            best = columns.where("class = largest").groupBy("column", salt.alias("salt")).agg(F.min(F.struct("set", "size", "shared", "class")).alias("best"))
-            chosen = best.select("column", "best.*").withColumn("largest", F.col("class"))
-        other = chosen.select("column", *[F.col(c).alias(f"other_{c}") for c in ("set", "size", "shared", "class", "largest")])
-        bound = NEEDED * (F.col("size") + F.col("other_size")) <= (NEEDED + SCALE) * F.least("shared", "other_shared")
-        pairs = materialize(
-            columns.where("class != largest").join(other, "column")
-            .where((F.col("class") != F.col("other_class")) & bound & ((F.col("other_class") == F.col("other_largest")) | (F.col("set") < F.col("other_set"))))
-            .where(NEEDED * F.greatest("size", "other_size") <= SCALE * F.least("size", "other_size"))
-            .select(F.col("set").alias("one"), F.col("other_set").alias("other"), F.col("class").alias("class_one"), F.col("other_class").alias("class_other"))
-            .distinct(),
-            "ngram-pairs",
-        )
-        links = overlapping(pairs.select("one", "other"), sets).join(pairs.withColumnsRenamed({"one": "a", "other": "b"}), ["a", "b"])
-        merged = materialize(components(links.select(F.col("class_one").alias("a"), F.col("class_other").alias("b"))), "ngram-classes")
+            pairs = materialize(_representatives(columns, number), "ngram-pairs")
+            found = overlapping(pairs.select("one", "other"), sets).join(pairs.withColumnsRenamed({"one": "a", "other": "b"}), ["a", "b"])
+            links = found.select(F.col("class_one").alias("a"), F.col("class_other").alias("b"))
+        merged = materialize(components(links), "ngram-classes")
         renamed = merged.select(F.col("node").alias("class"), "component")
-        columns = columns.drop("largest").join(renamed, "class", "left").withColumn("class", F.coalesce("component", "class")).drop("component")
         if classes is None:
             classes = merged.select(F.col("node").alias("set"), F.col("component").alias("class"))
         else:
@@ -215,6 +270,7 @@ def linked_classes(sets: DataFrame) -> DataFrame:
             fresh = merged.select(F.col("node").alias("set"), F.col("component").alias("class")).join(known.select("set"), "set", "left_anti")
             classes = materialize(known.unionByName(fresh), "ngram-classes")
         if number is not None:
+            columns = columns.drop("largest").join(renamed, "class", "left").withColumn("class", F.coalesce("component", "class")).drop("component")
             columns = materialize(columns, "ngram-columns")
     return classes if classes is not None else sets.select("set", F.col("set").alias("class")).limit(0)
 
