@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablesage.functions.binding import let
 from tablesage.functions.text import clean_sql
@@ -42,10 +43,62 @@ SELECT_LIST = r"(?is)\bselect\s+(.+?)\s+from\b"
 AGGREGATE_CALL = rf"(?i)\b({'|'.join(AGGREGATES)})\s*\("
 
 
-def normalized(sql: Column) -> Column:
-    """Fence-free text with single blanks; quotes around plain names are dropped."""
+# Words that stand for a quoted name or a bracketed part while patterns are at work; the number says which one.
+NAME_MARK, PART_MARK = "qzn", "qzp"
+QUOTED_NAME = r'\[[^\]\[]+\]|`[^`]+`|"[^"]+"'
+FROM_LIST = rf"(?i)(\bfrom\s+{NAME}(?:\s+(?:as\s+)?{NO_KEYWORD}{NAME})?(?:\s+join\s+{NAME}(?:\s+(?:as\s+)?{NO_KEYWORD}{NAME})?)*)\s*,\s*(?={NAME})"
+
+
+def _mark(kind: str, number: Column) -> Column:
+    return F.concat(F.lit(kind), number.cast("string"), F.lit(f"{kind[::-1]}"))
+
+
+def quoted_names(sql: Column) -> Column:
+    """Different names in quotes or brackets that are no plain words, as written."""
+    text = F.regexp_replace(sql, STRING_LITERAL, "''")
+    return F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(QUOTED_NAME), F.lit(0)), lambda n: ~n.rlike(rf"^.{NAME}.$")))
+
+
+def normalized(sql: Column, names: Column | None = None) -> Column:
+    """Fence-free text with single blanks; plain names lose their quotes, others become words that stand for them."""
     text = F.regexp_replace(clean_sql(sql), r"\s+", " ")
-    return F.regexp_replace(text, rf'\[({NAME})\]|`({NAME})`|"({NAME})"', "$1$2$3")
+    text = F.regexp_replace(text, rf'\[({NAME})\]|`({NAME})`|"({NAME})"', "$1$2$3")
+    if names is None:
+        return text
+    placed = F.transform(names, lambda n, i: F.struct(n.alias("name"), _mark(NAME_MARK, i).alias("mark")))
+    return F.aggregate(placed, text, lambda done, e: F.replace(done, e["name"], e["mark"]))
+
+
+def restored(text: Column, names: Column, quotes: bool) -> Column:
+    """Quoted names put back in place of their words, with their quotes or without."""
+    placed = F.transform(names, lambda n, i: F.struct((n if quotes else F.substring(n, F.lit(2), F.length(n) - 2)).alias("name"), _mark(NAME_MARK, i).alias("mark")))
+    return F.aggregate(placed, text, lambda done, e: F.replace(done, e["mark"], e["name"]))
+
+
+def joined_lists(bare: Column) -> Column:
+    """FROM a, b as FROM a join b, so that one pattern reads both."""
+    commas = F.length(bare) - F.length(F.replace(bare, F.lit(",")))
+    return F.when(~bare.rlike(FROM_LIST), bare).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(commas, F.lit(1))), bare, lambda done, _: F.regexp_replace(done, FROM_LIST, "$1 join ")))
+
+
+def folded(text: Column) -> Column:
+    """struct(text, parts): every bracketed part, innermost first, replaced by a word, so that clauses end where they do."""
+    def fold(state: Column, _: Column) -> Column:
+        inner = F.regexp_extract(state["text"], r"\([^()]*\)", 0)
+        at = F.locate("\u0001", F.regexp_replace(state["text"], r"\([^()]*\)", "\u0001"))
+        word = F.concat(F.lit(" "), _mark(PART_MARK, F.size(state["parts"])), F.lit(" "))
+        changed = F.concat(F.substring(state["text"], F.lit(1), at - 1), word, F.substring(state["text"], at + F.length(inner), F.length(state["text"])))
+        return F.when(inner == "", state).otherwise(F.struct(changed.alias("text"), F.concat(state["parts"], F.array(inner)).alias("parts")))
+
+    opened = F.length(text) - F.length(F.replace(text, F.lit("(")))
+    start = F.struct(text.alias("text"), F.array().cast("array<string>").alias("parts"))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(opened, F.lit(1))), start, fold)
+
+
+def unfolded(text: Column, parts: Column) -> Column:
+    """Bracketed parts put back, the last one first, since it may hold earlier ones."""
+    placed = F.reverse(F.transform(parts, lambda p, i: F.struct(p.alias("part"), F.concat(F.lit(" "), _mark(PART_MARK, i), F.lit(" ")).alias("mark"))))
+    return F.trim(F.aggregate(placed, F.concat(F.lit(" "), text, F.lit(" ")), lambda done, e: F.replace(done, e["mark"], e["part"])))
 
 
 def blanked(text: Column) -> Column:
@@ -108,12 +161,23 @@ def join_predicates(text: Column) -> Column:
     return _all(text, JOIN_ON, 1)
 
 
+def _top_level(text: Column, pattern: str) -> Column:
+    """The first group of a pattern outside all brackets, with the brackets' content; of a bracketed query, inside them."""
+    plain = F.regexp_extract(text, pattern, 1)
+    outside = let(folded(text), lambda f: F.when(f["text"].rlike(r"(?i)\bselect\b"), unfolded(F.regexp_extract(f["text"], pattern, 1), f["parts"])))
+    return F.when(text.contains("("), F.coalesce(outside, plain)).otherwise(plain)
+
+
 def clause(text: Column, opening: str) -> Column:
-    """The text after ``opening`` up to the next clause, or NULL; the first one in the text."""
-    body = F.regexp_extract(text, rf"(?is)\b{opening}\s+(.+?){CLAUSE_END}", 1)
+    """The query's own text after ``opening`` up to its next clause, or NULL. Subqueries' clauses are not looked at."""
+    body = _top_level(text, rf"(?is)\b{opening}\s+(.+?){CLAUSE_END}")
     return F.when(body != "", body)
 
 
+def select_list(text: Column) -> Column:
+    return _top_level(text, SELECT_LIST)
+
+
 def aggregate_functions(bare: Column) -> Column:
     return F.transform(_all(bare, AGGREGATE_CALL, 1), lambda f: F.upper(f))
 
@@ -123,14 +187,41 @@ def literals(text: Column) -> Column:
     return F.transform(_all(text, ANY_LITERAL, 0), lambda v: F.regexp_replace(v, "^'|'$", ""))
 
 
-def read(sql: Column, fields: Callable[[Column, Column], dict[str, Column]]) -> Column:
+def read(sql: Column, names: Column, fields: Callable[[Column, Column], dict[str, Column]]) -> Column:
     """One struct of features per text: ``fields`` gets the normalized text and its blanked form, each made once."""
     def made(text: Column) -> Column:
-        return let(blanked(text), lambda bare: F.struct(*[c.alias(n) for n, c in fields(text, bare).items()]))
+        return let(joined_lists(blanked(text)), lambda bare: F.struct(*[c.alias(n) for n, c in fields(text, bare).items()]))
+
+    return let(normalized(sql, names), made)
+
+
+# Features that are pieces of SQL in order of appearance; other lists are sorted sets of names.
+PIECES = ("joins", "join_predicates", "literals_used", "aggregation_functions")
+
+
+def _put_back(value: Column, name: str, kind: T.DataType, names: Column) -> Column:
+    """A feature with its quoted names: bare in lists of names, in quotes in pieces of SQL."""
+    if isinstance(kind, T.StringType):
+        return restored(value, names, True)
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
+        put = F.transform(value, lambda v: restored(v, names, name in PIECES))
+        return put if name in PIECES else sorted_set(put)
+    if isinstance(kind, T.StructType):
+        return F.struct(*[_put_back(value[f.name], f.name, f.dataType, names).alias(f.name) for f in kind.fields])
+    return value
 
-    return let(normalized(sql), made)
 
+def with_features(rows: DataFrame, sql: str, fields: Callable[[Column, Column], dict[str, Column]], marked: bool = False) -> DataFrame:
+    """Rows with the features of ``sql`` as columns. The generator keeps the struct from being built once per field.
 
-def with_features(rows: DataFrame, sql: str, fields: Callable[[Column, Column], dict[str, Column]]) -> DataFrame:
-    """Rows with the features of ``sql`` as columns. The generator keeps the struct from being built once per field."""
-    return rows.select("*", F.inline(F.array(read(F.col(sql), fields))))
+    With ``marked`` quoted names stay words, for further patterns, and the column ``quoted_names`` restores them.
+    """
+    named = rows.withColumn("quoted_names", quoted_names(clean_sql(F.col(sql))))
+    found = named.select("*", F.inline(F.array(read(F.col(sql), F.col("quoted_names"), fields))))
+    if marked:
+        return found
+    put = {
+        f.name: F.when(F.size("quoted_names") > 0, _put_back(F.col(f.name), f.name, f.dataType, F.col("quoted_names"))).otherwise(F.col(f.name))
+        for f in found.schema.fields if f.name not in named.columns
+    }
+    return found.withColumns(put).drop("quoted_names")

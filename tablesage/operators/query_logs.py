@@ -45,7 +45,7 @@ def clause_roles(log: DataFrame, sql: str = "sql") -> DataFrame:
 
         pieces = {
             "columns_used": bare,
-            "selected_columns": F.regexp_extract(bare, sqltext.SELECT_LIST, 1),
+            "selected_columns": sqltext.select_list(bare),
             "where_columns": sqltext.clause(bare, "where"),
             "group_by_columns": sqltext.clause(bare, r"group\s+by"),
             "order_by_columns": sqltext.clause(bare, r"order\s+by"),
@@ -91,12 +91,13 @@ def join_edges(log: DataFrame, sql: str = "sql", by: list[str] = ()) -> DataFram
             "aliases": sqltext.alias_map(bare),
         }
 
-    texts = sqltext.with_features(distinct_texts(log, sql, by), "sql", fields)
-    edges = texts.select(*by, "uses", "aliases", F.explode("edges").alias("edge"))
+    texts = sqltext.with_features(distinct_texts(log, sql, by), "sql", fields, marked=True)
+    edges = texts.select(*by, "uses", "aliases", "quoted_names", F.explode("edges").alias("edge"))
 
     def end(table_group: int, column_group: int) -> Column:
         owner = F.regexp_extract("edge", equality, table_group)
-        return F.concat(F.coalesce(F.try_element_at("aliases", owner), owner), F.lit("."), F.regexp_extract("edge", equality, column_group))
+        name = F.concat(F.coalesce(F.try_element_at("aliases", owner), owner), F.lit("."), F.regexp_extract("edge", equality, column_group))
+        return F.when(F.size("quoted_names") > 0, sqltext.restored(name, F.col("quoted_names"), False)).otherwise(name)
 
     ends = edges.select(*by, "uses", end(1, 2).alias("a"), end(3, 4).alias("b"))
     return ends.groupBy(*by, F.least("a", "b").alias("left_column"), F.greatest("a", "b").alias("right_column")).agg(

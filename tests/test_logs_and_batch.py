@@ -59,6 +59,29 @@ def test_log_features_and_roles(spark):
     assert support == {"Zip": 1 / 3, "n": 1 / 3, "nowhere": 0.0}
 
 
+QUOTED = [
+    ("SELECT `Free Meal Count (K-12)` / `Enrollment` FROM frpm ORDER BY `Free Meal Count (K-12)` DESC LIMIT 1", ["frpm"], ["Enrollment", "Free Meal Count (K-12)"], None, None),
+    ("SELECT T2.Zip FROM frpm AS T1 INNER JOIN schools AS T2 ON T1.`CDS Code` = T2.`CDS Code` WHERE T1.`Charter School (Y/N)` = 1",
+     ["frpm", "schools"], ["T1.CDS Code", "T1.Charter School (Y/N)", "T2.CDS Code", "T2.Zip"], "WHERE T1.`Charter School (Y/N)` = 1", None),
+    ("SELECT a.x FROM t1 a, t2 b, t3 WHERE a.id = b.id", ["t1", "t2", "t3"], ["a.id", "a.x", "b.id"], "WHERE a.id = b.id", None),
+    ("SELECT x FROM `my table` WHERE b IN (SELECT c FROM u WHERE d = 1 GROUP BY c) AND f > 2",
+     ["my table", "u"], ["b", "c", "d", "f", "x"], "WHERE b IN (SELECT c FROM u WHERE d = 1 GROUP BY c) AND f > 2", None),
+    ("SELECT y, MAX(z) FROM [a b] GROUP BY y HAVING COUNT(*) > (SELECT 1) ORDER BY y", ["a b"], ["y", "z"], None, "GROUP BY y"),
+    ("(SELECT p FROM q WHERE r = 'FROM a, b')", ["q"], ["p", "r"], "WHERE r = 'FROM a, b'", None),
+]
+
+
+def test_quoted_names_lists_and_nested_clauses(spark):
+    from tablesage.operators.query_logs import join_edges, log_features
+
+    log = spark.createDataFrame([(q,) for q, *_ in QUOTED], "sql string")
+    got = {r.sql: (r.tables, r.columns, r.where, r.group_by) for r in log_features(log).collect()}
+    for text, *expected in QUOTED:
+        assert got[text] == tuple(expected), text
+    edges = [(r.left_column, r.right_column, r.uses) for r in join_edges(log).collect()]
+    assert edges == [("frpm.CDS Code", "schools.CDS Code", 1)]
+
+
 def equal(a, b, mode="typed"):
     found = compare.results_equal(a, b, mode)
     return found if isinstance(found, bool) else found.first()[0]
