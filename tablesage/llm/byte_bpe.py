@@ -19,6 +19,8 @@ from tablesage.llm.common import quoted, slices, texts_of
 NEVER = 2**31 - 1
 #: Two primes; a pair of ids below 65,536 is known by its remainders, since their product exceeds 2^32.
 SPREAD, SLOTS = 65_521, 524_287
+#: Longer than any array.
+ALL = 1 << 30
 #: Pieces a task remembers before it starts anew: bounds memory, changes no result.
 REMEMBERED = 500_000
 
@@ -29,11 +31,12 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=2)
-def rank_table(path: str) -> tuple[list[int], list[int], list[int], list[bytes]]:
-    """(id of each byte, displacements, slots, bytes of each id): the rank of each pair of ids whose bytes make a word.
+def rank_table(path: str) -> dict[str, list]:
+    """The ranks of pairs of ids whose bytes make a word, as arrays of which two are looked at.
 
-    A pair's slot is (key mod SLOTS + displacement[key mod SPREAD]) mod SLOTS with key = left * 65536 + right; the slot
-    holds key * 65536 + rank, so one look tells whether the pair merges. Its size is bounded by the vocabulary.
+    A pair's slot is (key mod SLOTS + moves[key mod SPREAD]) mod SLOTS with key = left * 65536 + right; the slot holds
+    key * 65536 + rank, so one look tells whether the pair merges. Besides, ``byte_ids`` has the id of each byte,
+    ``byte_pairs`` the rank of each pair of bytes, and ``words`` the bytes of each id. The vocabulary bounds all sizes.
     """
     ranks = read_ranks(path)
     if max(ranks.values()) >= 1 << 16:
@@ -45,70 +48,77 @@ def rank_table(path: str) -> tuple[list[int], list[int], list[int], list[bytes]]
     groups: dict[int, list[int]] = {}
     for key in pairs:
         groups.setdefault(key % SPREAD, []).append(key)
-    slots, displacements = [-1] * SLOTS, [0] * SPREAD
+    slots, moves = [-1] * SLOTS, [0] * SPREAD
     for group, keys in sorted(groups.items(), key=lambda x: -len(x[1])):
         draw, move = random.Random(group), 0
         while any(slots[(key % SLOTS + move) % SLOTS] >= 0 for key in keys):
             move = draw.randrange(SLOTS)
-        displacements[group] = move
+        moves[group] = move
         for key in keys:
             slots[(key % SLOTS + move) % SLOTS] = (key << 16) + pairs[key]
     words = [b""] * (max(ranks.values()) + 1)
     for word, rank in ranks.items():
         words[rank] = word
-    return [ranks[bytes([b])] for b in range(256)], displacements, slots, words
+    return {
+        "moves": moves, "slots": slots, "words": words, "byte_ids": [ranks[bytes([b])] for b in range(256)],
+        "byte_pairs": [ranks.get(bytes([a, b]), NEVER) for a in range(256) for b in range(256)],
+    }
 
 
 def rank_map(spark: SparkSession, path: str) -> Column:
     """The rank table as one constant struct, read once and sent with the tasks; its size is the vocabulary's."""
-    byte_ids, displacements, slots, words = rank_table(path)
-    columns = {
-        "byte_ids": pa.array([byte_ids], pa.list_(pa.int32())), "moves": pa.array([displacements], pa.list_(pa.int32())),
-        "slots": pa.array([slots], pa.list_(pa.int64())), "words": pa.array([words], pa.list_(pa.binary())),
-    }
+    known = rank_table(path)
+    kinds = {"words": pa.binary(), "slots": pa.int64()}
+    columns = {name: pa.array([x], pa.list_(kinds.get(name, pa.int32()))) for name, x in known.items()}
     return spark.createDataFrame(pa.table(columns)).select(F.struct(*columns)).scalar()
 
 
-def encode_word(data: Column, ranks: Column) -> Column:
-    """Token ids of one word, given as an array of its bytes: the lowest-ranked pair, leftmost first, merges until none can.
+def encode_words(words: Column, ranks: Column) -> Column:
+    """Token ids of each word, given as an array of its bytes: the lowest-ranked pair, leftmost first, merges until none can.
 
-    The fold's state is the tokens and the rank of each neighbouring pair. A merge changes one token and at most two
-    pairs, so a step looks up two ranks; there are fewer steps than bytes.
+    The fold's state is the tokens, behind a stand-in for the start, and the rank of each token with the next. A merge
+    changes one token and two pairs, so a step looks up two ranks; there are fewer steps than bytes. The arrays of the
+    rank map are bound once for all words.
     """
 
-    def rank(left: Column, right: Column) -> Column:
-        key = left.cast("long") * 65536 + right
-        slot = F.get(ranks["slots"], ((key % SLOTS) + F.get(ranks["moves"], (key % SPREAD).cast("int"))).cast("int") % SLOTS)
-        return let(slot, lambda s: F.when(F.shiftright(s, 16) == key, s.bitwiseAND(65535).cast("int")).otherwise(NEVER))
+    def with_map(moves: Column, slots: Column, byte_ids: Column, byte_pairs: Column) -> Column:
+        def rank(left: Column, right: Column) -> Column:
+            def found(key: Column) -> Column:
+                slot = F.get(slots, ((key % SLOTS + F.get(moves, (key % SPREAD).cast("int"))) % SLOTS).cast("int"))
+                return let(slot, lambda s: F.when(F.shiftright(s, 16) == key, s.bitwiseAND(65535).cast("int")).otherwise(NEVER))
 
-    def merge(state: Column, _step: Column) -> Column:
-        def at(place: Column) -> Column:
+            return let(left * F.lit(65536).cast("long") + right, found)
+
+        def merge(state: Column, _step: Column) -> Column:
             tokens, pairs = state["tokens"], state["pairs"]
-            new = F.get(pairs, place - 1)
-            none = F.array().cast("array<int>")
-            left = F.when(place > 1, F.array(rank(F.get(tokens, place - 2), new))).otherwise(none)
-            right = F.when(place < F.size(pairs), F.array(rank(new, F.get(tokens, place + 1)))).otherwise(none)
-            return F.struct(
-                F.concat(F.slice(tokens, 1, place - 1), F.array(new), F.slice(tokens, place + 2, F.size(tokens))).alias("tokens"),
-                F.concat(F.slice(pairs, 1, F.greatest(place - 2, F.lit(0))), left, right, F.slice(pairs, place + 2, F.size(pairs))).alias("pairs"),
-            )
+            lowest = F.array_min(pairs)
+
+            def at(place: Column) -> Column:
+                new = F.get(pairs, place - 1)
+                return F.struct(
+                    F.concat(F.slice(tokens, 1, place - 1), F.array(new), F.slice(tokens, place + 2, ALL)).alias("tokens"),
+                    F.concat(
+                        F.slice(pairs, 1, place - 2), F.array(rank(F.get(tokens, place - 2), new), rank(new, F.get(tokens, place + 1))), F.slice(pairs, place + 2, ALL)
+                    ).alias("pairs"),
+                )
 
-        lowest = F.array_min(state["pairs"])
-        return F.when(F.coalesce(lowest, F.lit(NEVER)) == NEVER, state).otherwise(let(F.array_position(state["pairs"], lowest).cast("int"), at))
+            return F.when(lowest == NEVER, state).otherwise(let(F.array_position(pairs, lowest).cast("int"), at))
 
-    tokens = F.transform(data, lambda b: F.get(ranks["byte_ids"], b))
+        def encode(data: Column) -> Column:
+            start = F.concat(F.array(F.lit(None).cast("int")), F.transform(data, lambda b: F.get(byte_ids, b)))
+            first = F.transform(data, lambda b, i: F.coalesce(F.get(byte_pairs, b * 256 + F.get(data, i + 1)), F.lit(NEVER)))
+            state = F.struct(start.alias("tokens"), F.concat(F.array(F.lit(NEVER)), first).alias("pairs"))
+            return F.aggregate(F.slice(data, 2, ALL), state, merge, lambda s: F.slice(s["tokens"], 2, ALL))
 
-    def folded(start: Column) -> Column:
-        pairs = F.transform(F.slice(start, 2, F.size(start)), lambda right, i: rank(F.get(start, i), right))
-        state = F.struct(start.alias("tokens"), pairs.alias("pairs"))
-        return F.aggregate(F.slice(start, 2, F.size(start)), state, merge, lambda s: s["tokens"])
+        return F.transform(words, encode)
 
-    return let(tokens, folded)
+    names = ("moves", "slots", "byte_ids", "byte_pairs")
+    return let(ranks[names[0]], lambda a: let(ranks[names[1]], lambda b: let(ranks[names[2]], lambda c: let(ranks[names[3]], lambda d: with_map(a, b, c, d)))))
 
 
 def decode_ids(ids: Column, ranks: Column) -> Column:
-    """The bytes of token ids, joined."""
-    return F.aggregate(ids, F.lit(b""), lambda done, i: F.concat(done, F.get(ranks["words"], i)))
+    """The bytes of each list of token ids, joined."""
+    return let(ranks["words"], lambda words: F.transform(ids, lambda one: F.aggregate(one, F.lit(b""), lambda done, i: F.concat(done, F.get(words, i)))))
 
 
 def encode_and_decode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -147,15 +157,17 @@ def encode_and_decode(docs: DataFrame, vocabulary: str, pattern: str, id_col: st
                                     k = words.get(word)
                                     if k is None:
                                         k = words[word] = len(words)
-                                        new_words.append(list(word.encode()))
+                                        new_words.append(word.encode())
                                     of_piece.append(k)
                                 new_pieces.append(np.array(of_piece, np.int32).tobytes())
                             numbers[i] = number
                 documents.append(np.array(numbers, np.int32).tobytes())
             one = lambda x, kind: pa.array([x], pa.list_(kind))
+            ends = np.cumsum([0, *map(len, new_words)]).astype(np.int32)
+            data = pa.array(np.frombuffer(b"".join(new_words), np.uint8).astype(np.int32))
             yield pa.record_batch({
                 "anew": pa.array([anew]), "doc_ids": one(batch.column("doc_id").to_pylist(), pa.int64()), "documents": one(documents, pa.binary()),
-                "pieces": one(new_pieces, pa.binary()), "words": one(new_words, pa.list_(pa.int32())),
+                "pieces": one(new_pieces, pa.binary()), "words": pa.ListArray.from_arrays(pa.array([0, len(new_words)], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), data)),
             })
 
     def join(batches):
@@ -191,8 +203,8 @@ def encode_and_decode(docs: DataFrame, vocabulary: str, pattern: str, id_col: st
     ranks = rank_map(docs.sparkSession, vocabulary)
     blocks = rows.mapInArrow(cut, "anew boolean, doc_ids array<long>, documents array<binary>, pieces array<binary>, words array<array<int>>")
     known = blocks.withColumn("ranks", ranks)
-    encoded = known.withColumn("ids", F.transform("words", lambda w: encode_word(w, F.col("ranks")))).drop("words")
-    decoded = encoded.withColumn("decoded", F.transform("ids", lambda i: decode_ids(i, F.col("ranks")))).drop("ranks")
+    encoded = known.withColumn("ids", encode_words(F.col("words"), F.col("ranks"))).drop("words")
+    decoded = encoded.withColumn("decoded", decode_ids(F.col("ids"), F.col("ranks"))).drop("ranks")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded binary" if with_ids else "")
     return decoded.mapInArrow(join, schema)
 
