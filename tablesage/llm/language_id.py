@@ -29,8 +29,8 @@ SAMPLE, BUCKETS, LENGTHS = 8_000, 1 << 16, (1, 2, 3, 4)
 SWITCH, FOREIGN_SCRIPT = 12.0, 25.0
 #: A script is a language's when so large a share of its words has it.
 SCRIPT_SHARE = 0.01
-#: Words a worker remembers before it starts anew, and words of a batch.
-REMEMBERED, BATCH_WORDS = 400_000, 2_000_000
+#: Words a worker remembers before it starts anew, and bytes of text that advance together.
+REMEMBERED, TOGETHER = 250_000, 5_000_000
 UNDETERMINED = "und"
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -152,7 +152,7 @@ class LanguageModel:
 
         def label(batches):
             known = WordScores(weights, scripts)
-            for batch in slices(batches, 10_000, 24_000_000):
+            for batch in slices(batches, 4000, TOGETHER):
                 if len(known) >= REMEMBERED:
                     known = WordScores(weights, scripts)
                 numbers, sizes, lengths = [], [], []
@@ -169,7 +169,8 @@ class LanguageModel:
                 labels = viterbi(known.table[number], starts, lengths) if languages else np.zeros(len(number), np.int8)
                 owner = np.repeat(np.arange(len(lengths)), lengths)
                 share = np.zeros((len(lengths), max(1, len(languages))))
-                np.add.at(share, (owner, labels), size)
+                for k in range(share.shape[1]):
+                    share[:, k] = np.bincount(owner, np.where(labels == k, size, 0), len(lengths))
                 total = share.sum(1)
                 top = share.argmax(1)
                 found = (total > 0) & bool(languages)
