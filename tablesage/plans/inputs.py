@@ -13,7 +13,7 @@ from tablesage.operators.numbering import Along, numbered
 from tablesage.sources.catalog import spread
 
 STAR = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
-LINKED = ["part", "customer", "nation", "region"]
+LINKED = STAR
 DB = "tpch"
 
 # Column names and types of the star schema, for SQL texts that list every column.
