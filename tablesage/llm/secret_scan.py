@@ -30,6 +30,10 @@ KNOWN = re.compile(
     r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}"
     r"|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+/_=-]+|(?:[A-Za-z]*[/_=-])+[A-Za-z]*|(?:[A-Za-z]+[/_=-])+[0-9]+)$"
 )
+#: Parts of a candidate, and what glues them together; digests among them, which end a stretch of parts.
+PART = re.compile(r"[A-Za-z0-9]+")
+DIGEST = re.compile(r"(?<![A-Za-z0-9])(?:[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}))(?![A-Za-z0-9])")
+LEAST_RANDOM = 20
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
@@ -42,14 +46,77 @@ def vocabulary_of(path: str, pattern: str):
     return tiktoken.Encoding("secrets", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def several_kinds(text: str) -> bool:
+    return any(c.isdigit() for c in text) + any(c.islower() for c in text) + any(c.isupper() for c in text) > 1
+
+
 def random_string(text: str, encoding, ratio: float = RATIO) -> bool:
     """Low characters per token, two kinds of characters at least, and neither a known digest nor an identifier."""
-    kinds = any(c.isdigit() for c in text) + any(c.islower() for c in text) + any(c.isupper() for c in text)
-    return kinds > 1 and not KNOWN.match(text) and len(text) < ratio * len(encoding.encode_ordinary(text))
+    return several_kinds(text) and not KNOWN.match(text) and len(text) < ratio * len(encoding.encode_ordinary(text))
+
+
+def stretches(parts: list[tuple[int, int, float]]) -> list[list[tuple[int, int, float]]]:
+    """The stretches of consecutive (start, end, score) whose sums of scores no shorter or longer stretch beats, in linear time.
+
+    These are all maximal scoring subsequences (Ruzzo and Tompa 1999): no stretch begins or ends with parts that lower it.
+    """
+    found: list[tuple[float, float, int, int, int]] = []  # sum before, sum with, first part, part after the last, the nearest entry with less before
+    total = 0.0
+    for i, (_, _, score) in enumerate(parts):
+        before, total = total, total + score
+        if score <= 0:
+            continue
+        with_it, first, j = total, i, len(found) - 1
+        while True:
+            while j >= 0 and found[j][0] >= before:
+                j = found[j][4]
+            if j < 0 or found[j][1] >= with_it:
+                break
+            before, _, first, _, before_it = found[j]
+            del found[j:]
+            j = before_it
+        found.append((before, with_it, first, i + 1, j))
+    return [parts[first:last] for _, _, first, last, _ in found]
+
+
+def random_parts(text: str, encoding, ratio: float = RATIO) -> list[tuple[int, int]]:
+    """(start, end) of the random strings that names, paths and other readable parts are glued to in ``text``.
+
+    Each part between signs counts the characters that its tokens fall short of ``ratio``. Signs count nothing, so a
+    base64 string with signs inside is one stretch. Digests and UUIDs belong to none.
+    """
+    digests = [m.span() for m in DIGEST.finditer(text)]
+    runs: list[list[tuple[int, int, float]]] = [[]]
+    at = 0
+    for m in PART.finditer(text):
+        while at < len(digests) and digests[at][1] <= m.start():
+            at += 1
+        if at < len(digests) and digests[at][0] <= m.start():
+            runs.append([])
+        else:
+            runs[-1].append((*m.span(), ratio * len(encoding.encode_ordinary(m[0])) - len(m[0])))
+    out = []
+    for stretch in (s for run in runs for s in stretches(run)):
+        # A stretch that is an identifier may still have a random part.
+        for start, end in [(stretch[0][0], stretch[-1][1])] if not KNOWN.match(text[stretch[0][0] : stretch[-1][1]]) else [p[:2] for p in stretch if p[2] > 0]:
+            end = len(text) if not text[end:].strip("=") else end
+            if end - start >= LEAST_RANDOM and several_kinds(text[start:end]) and not KNOWN.match(text[start:end]):
+                out.append((start, end))
+    return out
+
+
+def uncovered(start: int, end: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What ``spans``, in order of their starts, leave of start to end."""
+    out = []
+    for a, b in spans:
+        if start < min(a, end):
+            out.append((start, min(a, end)))
+        start = max(start, b)
+    return [*out, (start, end)] if start < end else out
 
 
 def find_spans(text: str, encoding, ratio: float = RATIO) -> list[tuple[str, int, int]]:
-    """(kind, start, end) in code points, by start and then kind. A random string that touches a base span is part of it."""
+    """(kind, start, end) in code points, by start and then kind. Of a random string that meets base spans, what they leave."""
     found = []
     lowered = text.lower()
     if any(word in lowered for word in WORDS):
@@ -57,10 +124,16 @@ def find_spans(text: str, encoding, ratio: float = RATIO) -> list[tuple[str, int
     if "AKIA" in text:
         found += [(1, *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
     found += [(2, *m.span()) for m in HEX.finditer(text)]
-    base = list(found)
+    base = sorted((a, b) for _, a, b in found)
     for m in CANDIDATE.finditer(text):
-        if random_string(m[0], encoding, ratio) and not any(a < m.end() and m.start() < b for _, a, b in base):
+        met = [(a, b) for a, b in base if a < m.end() and m.start() < b]
+        whole = random_string(m[0], encoding, ratio)
+        if whole and not met:
             found.append((3, *m.span()))
+            continue
+        inside = [(m.start() + a, m.start() + b) for a, b in random_parts(m[0], encoding, ratio)]
+        for start, end in inside:
+            found += [(3, a, b) for a, b in uncovered(start, end, met) if PART.search(text, a, b)]
     return [(KINDS[kind], start, end) for kind, start, end in sorted(found, key=lambda x: (x[1], x[0], x[2]))]
 
 
