@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablesage.operators.compare import diagnose
-from tablesage.operators.selection import merit, packed, rule_level
+from tablesage.operators.selection import execution_groups, judged_tournament, merit, packed, rule_level
+from tablesage.session import stable
 
 # Prices per 1000 tokens in dollars, and the k of pass@k.
 INPUT_PRICE, OUTPUT_PRICE = 0.003, 0.015
@@ -135,8 +136,16 @@ class Variant:
     without_sources: tuple[str, ...] = field(default_factory=tuple)
     use_repair: bool = True
     use_refinement: bool = True
+    hidden: tuple[str, ...] = field(default_factory=tuple)
 
+    @property
+    def setting(self) -> tuple:
+        """All that the variant changes: every field but its name."""
+        return tuple(getattr(self, f.name) for f in fields(self) if f.name != "name")
 
+
+# Methods whose winner a judge decides that reads the candidates; the others need the candidates only.
+JUDGED = ("llm_pairwise", "trained_prm", "prm_llm_tiebreaker", "no_execution")
 VARIANTS = [
     Variant("A0_majority_voting", "majority_voting"),
     Variant("A1_execution_grouping", "execution_grouping"),
@@ -146,8 +155,8 @@ VARIANTS = [
     Variant("A5_prm_llm_tiebreaker", "prm_llm_tiebreaker"),
     Variant("A6_prm_hardcase"),
     Variant("A7_prm_no_execution", "no_execution"),
-    Variant("A8_prm_no_evidence"),
-    Variant("A9_prm_no_matched_values"),
+    Variant("A8_prm_no_evidence", hidden=("evidence",)),
+    Variant("A9_prm_no_matched_values", hidden=("matched_values",)),
     Variant("full"),
     Variant("wo_evidence_focused_gen", without_sources=("evidence_focused_generator",)),
     Variant("wo_join_focused_gen", without_sources=("join_focused_generator",)),
@@ -177,17 +186,37 @@ def ablation_accuracy(candidates: DataFrame, variants: list[Variant] | None = No
     two groupings, instead of one copy of the candidates per variant. Under the level judge a
     round robin is won by the highest level, so its winner needs no scores here. Expects flat
     candidates with ``is_correct``; a question without any allowed candidate is wrong.
+
+    No judge and no refinement is known here: all methods of a judge stand for the level judge, and variants that differ
+    in the judge, in what it reads or in refinement come out equal. :func:`variant_accuracy` tells them apart.
     """
     variants = variants or VARIANTS
+    chosen, shared = _level_choices(candidates, variants)
+    totals = chosen.agg(F.count(F.lit(1)).alias("total"), *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in shared.values()])
+    rows = F.array(
+        *[
+            F.struct(F.lit(v.name).alias("variant"), F.col(shared[(v.method, v.without_sources, v.use_repair)]).alias("correct"))
+            for v in variants
+        ]
+    )
+    return totals.select("total", F.inline(rows)).withColumn("accuracy", F.coalesce(F.try_divide("correct", "total"), F.lit(0.0)))
+
+
+def _takes_part(without: tuple[str, ...], use_repair: bool) -> Column:
+    allowed = ~F.col("source").isin(list(without)) if without else F.lit(True)
+    # Without repair, a candidate that runs only thanks to it does not take part.
+    return allowed if use_repair else allowed & (F.col("num_repairs") == 0)
+
+
+def _level_choices(candidates: DataFrame, variants: list[Variant]) -> tuple[DataFrame, dict[tuple, str]]:
+    """(question_id, one column per key with 1 where the choice is right), and the columns by (method, sources, repair)."""
     shared: dict[tuple, str] = {}
     for v in variants:
         shared.setdefault((v.method, v.without_sources, v.use_repair), f"v{len(shared)}")
     worth = merit(F.col("source"), F.col("num_repairs"))
     group_aggs, question_aggs = [], []
     for (method, without, use_repair), name in shared.items():
-        allowed = ~F.col("source").isin(list(without)) if without else F.lit(True)
-        if not use_repair:  # a candidate that runs only thanks to repair does not take part
-            allowed = allowed & (F.col("num_repairs") == 0)
+        allowed = _takes_part(without, use_repair)
         order = packed(worth, F.col("pos"))
         taken = F.when(allowed, order)
         # The right answer travels in the lowest bit, the order above it.
@@ -211,11 +240,68 @@ def ablation_accuracy(candidates: DataFrame, variants: list[Variant] | None = No
     chosen = (
         candidates.groupBy("question_id", "result_key").agg(*group_aggs).groupBy("question_id").agg(*question_aggs)
     )
-    totals = chosen.agg(F.count(F.lit(1)).alias("total"), *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in shared.values()])
-    rows = F.array(
-        *[
-            F.struct(F.lit(v.name).alias("variant"), F.col(shared[(v.method, v.without_sources, v.use_repair)]).alias("correct"))
-            for v in variants
-        ]
+    return chosen, shared
+
+
+def told_apart(variants: list[Variant] | None = None) -> list[Variant]:
+    """The first variant of each setting: A6 and full change nothing that A4 does not."""
+    kept: dict[tuple, Variant] = {}
+    for v in variants or VARIANTS:
+        kept.setdefault(v.setting, v)
+    return list(kept.values())
+
+
+def variant_accuracy(candidates: DataFrame, comparisons: DataFrame, refined: DataFrame, variants: list[Variant] | None = None) -> DataFrame:
+    """(variant, total, correct, accuracy) of the variants that their settings tell apart.
+
+    ``comparisons`` is (variant, question_id, a_candidate_id, b_candidate_id, winner, confidence): what the judge of a
+    variant said of representatives of distinct results; those of other candidates do not count. ``refined`` is
+    (variant, question_id, is_correct), a row for each selection that refinement replaced. A variant whose method needs
+    a judge and has no comparisons has NULL as ``correct``. A question without any allowed candidate is wrong.
+    """
+    variants = told_apart(variants)
+    judged, plain = [v for v in variants if v.method in JUDGED], [v for v in variants if v.method not in JUDGED]
+    questions = candidates.select("question_id").distinct()
+    outcomes = []
+    if plain:
+        chosen, shared = _level_choices(candidates, plain)
+        each = [F.struct(F.lit(v.name).alias("variant"), F.col(shared[(v.method, v.without_sources, v.use_repair)]).alias("correct")) for v in plain]
+        outcomes.append(chosen.select("question_id", F.inline(F.array(*each))))
+    if judged:
+        outcomes.append(_judged_choices(candidates, comparisons, judged))
+    if renewing := [v.name for v in variants if v.use_refinement]:
+        renewed = refined.filter(F.col("variant").isin(renewing)).join(questions, "question_id", "left_semi")
+        outcomes.append(renewed.select("question_id", "variant", F.coalesce("is_correct", F.lit(False)).cast("long").alias("correct")).withColumn("_after", F.lit(1)))
+    rows = outcomes[0]
+    for more in outcomes[1:]:
+        rows = rows.unionByName(more, allowMissingColumns=True)
+    last = rows.groupBy("variant", "question_id").agg(F.max(F.struct(F.coalesce("_after", F.lit(0)), F.coalesce("correct", F.lit(0)).alias("c")))["c"].alias("correct")) if renewing else rows
+    sums = last.groupBy("variant").agg(F.sum("correct").alias("correct"))
+    listed = questions.agg(F.count(F.lit(1)).alias("total")).select(
+        "total", F.inline(F.array(*[F.struct(F.lit(v.name).alias("variant"), F.lit(v.method in JUDGED).alias("_judged")) for v in variants]))
     )
-    return totals.select("total", F.inline(rows)).withColumn("accuracy", F.coalesce(F.try_divide("correct", "total"), F.lit(0.0)))
+    heard = comparisons.select("variant", F.lit(True).alias("_heard")).distinct()
+    found = F.when(~F.col("_judged") | F.col("_heard"), F.coalesce("correct", F.lit(0)))
+    return listed.join(sums, "variant", "left").join(heard, "variant", "left").select(
+        "variant", "total", found.alias("correct")
+    ).withColumn("accuracy", F.when(F.col("correct").isNotNull(), F.coalesce(F.try_divide("correct", "total"), F.lit(0.0))))
+
+
+def _judged_choices(candidates: DataFrame, comparisons: DataFrame, judged: list[Variant]) -> DataFrame:
+    """(question_id, variant, correct): winners of the judged tournaments; variants with the same candidates share their groups."""
+    pools: dict[tuple, list[str]] = {}
+    for v in judged:
+        pools.setdefault((v.without_sources, v.use_repair), []).append(v.name)
+    names = F.array(*[F.array(*map(F.lit, x)) for x in pools.values()])
+    taken = F.array(*[F.when(_takes_part(*key), F.lit(i)) for i, key in enumerate(pools)])
+    pooled = candidates.withColumn("_pool", F.explode(F.filter(taken, lambda i: i.isNotNull())))
+    right = F.max_by((F.col("is_correct") & F.col("success")).cast("long"), packed(merit(F.col("source"), F.col("num_repairs")), F.col("pos")))
+    groups = execution_groups(pooled.withColumn("question_id", F.struct("_pool", "question_id")), [right.alias("correct")])
+    # From here on, a question of a variant is a question of its own.
+    each = groups.withColumn("variant", F.explode(names[F.col("question_id._pool")]))
+    each = stable(each.withColumn("question_id", F.struct("variant", F.col("question_id.question_id").alias("question_id"))).drop("variant"))
+    said = comparisons.withColumn("question_id", F.struct("variant", "question_id"))
+    for side in ("a", "b"):
+        said = said.join(each.select("question_id", F.col("candidate_id").alias(f"{side}_candidate_id")), ["question_id", f"{side}_candidate_id"], "left_semi")
+    first = judged_tournament(each, said).filter("rank = 1")
+    return first.select("question_id.question_id", "question_id.variant", "correct")

@@ -190,3 +190,26 @@ def test_plans_have_no_pair_joins(spark, sf_dir):
         plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
         assert "Python" not in plan, name
+
+
+def test_variants_differ_by_judge_and_refinement(spark):
+    rows = frame(spark, [
+        cand("q", 0, "x", "reasoning_generator"), cand("q", 1, "y", "icl_generator", correct=True), cand("r", 0, "x", correct=True), cand("r", 1, "z"),
+        cand("s", 0, "x", repairs=1, correct=True), cand("s", 1, "x", repairs=1, correct=True), cand("t", 0, "failed"),
+    ])
+    said = [
+        ("A3_llm_pairwise", "q", "q_0", "q_1", "B", 0.8), ("A4_trained_prm", "q", "q_0", "q_1", "A", 0.8), ("A4_trained_prm", "r", "r_0", "r_1", "B", 0.8),
+        ("A8_prm_no_evidence", "r", "r_0", "r_1", "A", 0.8), ("wo_hard_case", "r", "r_0", "r_1", "B", 0.8), ("wo_hard_case", "q", "q_1", "unknown", "A", 1.0),
+        ("wo_repair", "q", "q_0", "q_1", "B", 0.8),
+    ]
+    comparisons = spark.createDataFrame(said, "variant string, question_id string, a_candidate_id string, b_candidate_id string, winner string, confidence double")
+    refined = [(v, q, ok) for v in ("A4_trained_prm", "wo_hard_case", "A0_majority_voting") for q, ok in (("t", True), ("gone", True))] + [("A3_llm_pairwise", "q", False)]
+    found = metrics.variant_accuracy(rows, comparisons, spark.createDataFrame(refined, "variant string, question_id string, is_correct boolean"))
+    got = {r.variant: r.correct for r in found.collect()}
+    assert len(got) == 13 and "full" not in got and "A6_prm_hardcase" not in got  # A4 under other names
+    assert {r.total for r in found.collect()} == {4}
+    assert got["A3_llm_pairwise"] == 2  # q is lost to refinement, r and s stand without a word
+    assert got["A4_trained_prm"] == 2 and got["wo_hard_case"] == 1  # t comes from refinement
+    assert got["A8_prm_no_evidence"] == 2 and got["wo_repair"] == 2  # without repair, s has no candidate
+    assert got["A9_prm_no_matched_values"] is None and got["A5_prm_llm_tiebreaker"] is None
+    assert got["A0_majority_voting"] == 3 and got["A1_execution_grouping"] == 2
