@@ -9,12 +9,15 @@ from tablesage.functions.similarity import best_ratio
 from tablesage.functions.text import split_words
 from tablesage.operators.catalog_join import join_catalog
 from tablesage.operators.numbering import Along, listed, numbered
-from tablesage.operators.selection import SOURCE_PRIORITY
+from tablesage.operators.selection import POSITIONS_PER_CHUNK, SOURCE_PRIORITY
+from tablesage.session import stable
 
 # Scores, rewards, labels and formats of the training rows.
 SLOWEST_USEFUL_SEC = 10.0
 EXECUTABLE_REWARD = 0.2
 PAIRS_PER_QUESTION = 20
+PARTNERS_PER_CLASS = 2
+ASKERS_PER_KEY = 1024
 CONTEXT_COLUMNS, CONTEXT_JOINS, CONTEXT_RULES = 30, 10, 10
 SFT_SYSTEM = "You are a Text-to-SQL model. Generate valid SQLite SQL only."
 NO_EVIDENCE = "No evidence provided."
@@ -173,6 +176,10 @@ def label_candidates(candidates: DataFrame, gold: DataFrame) -> DataFrame:
     return candidates.join(gold, "question_id").withColumn("label", label).drop("gold_key", "gold_rows", "gold_columns")
 
 
+def _family() -> Column:
+    return F.when(F.col("source").isin(list(SOURCE_PRIORITY)), F.col("source")).otherwise(F.lit("other"))
+
+
 def preference_pairs(labeled: DataFrame) -> DataFrame:
     """Labelled pairs of a question, one row per pair of candidate classes with the pairs it stands for.
 
@@ -181,8 +188,9 @@ def preference_pairs(labeled: DataFrame) -> DataFrame:
     labels and the known sources (others count as one) bound a question to
     3 * (sources + 1) classes, whatever its number of candidates. ``n_pairs`` adds up to all
     pairs of the question. The first and last candidate stand for the pairs inside a class.
+    An overview of the classes; for rows with every candidate see :func:`preference_rows`.
     """
-    family = F.when(F.col("source").isin(list(SOURCE_PRIORITY)), F.col("source")).otherwise(F.lit("other"))
+    family = _family()
     classes = labeled.groupBy("question_id", "label", family.alias("class_source")).agg(
         F.count(F.lit(1)).alias("n"),
         F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"),
@@ -214,6 +222,58 @@ def preference_pairs(labeled: DataFrame) -> DataFrame:
     return rows.withColumn("winner", winner_of(F.col("label_a"), F.col("label_b")))
 
 
+def preference_rows(labeled: DataFrame, k: int = PARTNERS_PER_CLASS, seed: int = 0) -> DataFrame:
+    """Labelled pairs of candidates in which every candidate meets every class (label, source) of its question.
+
+    Of two classes, each candidate of the larger one gets ``k`` seeded partners in the smaller one (all, if it has
+    fewer), which reaches all of the smaller one; inside a class each gets ``k`` at seeded distances. So the rows are
+    linear in the candidates, no pair occurs twice, and no candidate is left out unless it is alone. ``n_pairs`` is the
+    number of pairs that a row stands for; it adds up to all pairs of the question. Partners are found by their rank
+    in the class; those whom many ask are repeated, so that no key has more than about ``k * ASKERS_PER_KEY`` rows.
+    """
+    own = ["question_id", "label", "class_source"]
+    rows = labeled.select("question_id", "candidate_id", F.col("pos").cast("long").alias("pos"), "label", _family().alias("class_source"))
+    placed = numbered(rows, own, [Along(F.floor(F.col("pos") / POSITIONS_PER_CHUNK))], [F.col("pos")], "_rank")
+    classes = rows.groupBy(*own).agg(F.count(F.lit(1)).alias("n")).groupBy("question_id").agg(
+        F.sum("n").alias("_all"), F.collect_list(F.struct("n", "label", "class_source")).alias("_classes")
+    )
+    met = join_catalog(placed, classes, ["question_id"], ["candidate_id"])
+    mine = F.filter("_classes", lambda c: (c["label"] == F.col("label")) & (c["class_source"] == F.col("class_source")))[0]
+    met = stable(met.withColumn("_own", mine))
+
+    asks = met.withColumn("_to", F.explode(F.filter("_classes", lambda c: c <= F.col("_own")))).withColumns(
+        {"n": F.col("_own.n"), "m": F.col("_to.n"), "_inside": F.col("_to") == F.col("_own")}
+    )
+    # Partners are told apart by a step from the own rank: 0 to m-1 across, 1 to (n-1)/2 inside, where the step n/2 is one for both sides.
+    asks = asks.withColumn("_steps", F.when(F.col("_inside"), F.expr("(n - 1) div 2")).otherwise(F.col("m"))).withColumn("_k", F.least(F.col("_steps"), F.lit(k)))
+    asks = asks.withColumn("_half", F.col("_inside") & (F.col("n") % 2 == 0) & (F.col("_steps") < k))
+    asks = asks.withColumn("_draws", (F.col("_k") + (F.col("_half") & (F.col("_rank") < F.expr("n div 2"))).cast("int")).cast("int"))
+    drawn = asks.filter("_draws > 0").withColumn("_draw", F.explode(F.sequence(F.lit(0), F.col("_draws") - 1)))
+    low, high = F.expr("_draw * _steps div greatest(_k, 1)"), F.expr("(_draw + 1) * _steps div greatest(_k, 1)")
+    key = F.concat_ws("#", "question_id", "label", "class_source", "_to.label", "_to.class_source", "_draw")
+    step = F.when(F.col("_draw") == F.col("_k"), F.expr("n div 2")).otherwise(
+        F.col("_inside").cast("int") + low + F.pmod(seeded_number(key, seed), F.greatest(high - low, F.lit(1)))
+    )
+    inside_rows = F.col("n") * F.col("_k") + F.when(F.col("_half"), F.expr("n div 2")).otherwise(F.lit(0))
+    weight = F.when(F.col("_inside"), F.col("n") * (F.col("n") - 1) / 2 / inside_rows).otherwise(F.col("m") / F.col("_k"))
+    copies = lambda size: F.floor(F.col("_all") / (F.col(size) * ASKERS_PER_KEY)) + 1
+    wanted = drawn.select(
+        "question_id", F.col("_to.label").alias("label"), F.col("_to.class_source").alias("class_source"),
+        F.pmod(F.col("_rank") + step, F.col("m")).alias("_rank"), F.pmod(F.xxhash64("candidate_id", "_draw"), copies("m")).alias("_copy"),
+        F.struct("pos", "candidate_id", "class_source", "label").alias("x"), weight.alias("n_pairs"),
+    )
+    members = met.select(
+        *own, "_rank", F.explode(F.sequence(F.lit(0).cast("long"), copies("_own.n") - 1)).alias("_copy"),
+        F.struct("pos", "candidate_id", "class_source", "label").alias("y"),
+    )
+    pairs = wanted.join(members, [*own, "_rank", "_copy"]).select("question_id", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "n_pairs")
+    return pairs.select(
+        "question_id", *[F.col(f"{s}.candidate_id").alias(f"candidate_{s}") for s in "ab"], *[F.col(f"{s}.pos").alias(f"pos_{s}") for s in "ab"],
+        *[F.col(f"{s}.class_source").alias(f"source_{s}") for s in "ab"], *[F.col(f"{s}.label").alias(f"label_{s}") for s in "ab"],
+        "n_pairs", winner_of(F.col("a.label"), F.col("b.label")).alias("winner"),
+    )
+
+
 def with_context(pairs: DataFrame, contexts: DataFrame) -> DataFrame:
     """Pairs with the question and a compact context: at most 30 columns, 10 joins and 10 rules."""
     compact = contexts.select(

@@ -109,6 +109,23 @@ def preference_pairs(spark, sf_dir):
     )
 
 
+@query("preference_rows", f"""WITH {LABELED}, ranked AS (SELECT question_id, candidate_id, pos, label, source, row_number() OVER (PARTITION BY question_id, label, source ORDER BY pos) - 1 AS r,
+ count(*) OVER (PARTITION BY question_id, label, source) AS n FROM labeled),
+sized AS (SELECT a.*, b.label AS tl, b.source AS ts, b.n AS m, a.label = b.label AND a.source = b.source AS own, CASE WHEN a.label = b.label AND a.source = b.source THEN (a.n - 1) // 2 ELSE b.n END AS h
+ FROM ranked a JOIN (SELECT DISTINCT question_id, label, source, n FROM ranked) b ON a.question_id = b.question_id AND (b.n < a.n OR b.n = a.n AND (b.label < a.label OR b.label = a.label AND b.source <= a.source))),
+drawn AS (SELECT *, least(2, h) AS c, own AND n % 2 = 0 AND h < 2 AS half FROM sized),
+draws AS (SELECT *, unnest(range(0, c + CASE WHEN half AND r < n // 2 THEN 1 ELSE 0 END)) AS j FROM drawn),
+steps AS (SELECT *, CASE WHEN j = c THEN n // 2 ELSE own::INT + j * h // c + CAST('0x' || substr(md5(question_id || '#' || label || '#' || source || '#' || tl || '#' || ts || '#' || j || '#0'), 1, 8) AS BIGINT)
+ % ((j + 1) * h // c - j * h // c) END AS step FROM draws)
+SELECT s.question_id, CASE WHEN s.pos < p.pos THEN s.candidate_id ELSE p.candidate_id END AS candidate_a, CASE WHEN s.pos < p.pos THEN p.candidate_id ELSE s.candidate_id END AS candidate_b,
+ round(CASE WHEN own THEN s.n * (s.n - 1) / 2 / (s.n * c + CASE WHEN half THEN s.n // 2 ELSE 0 END) ELSE m / c END, 6) AS n_pairs,
+ CASE WHEN s.label = p.label THEN 'tie' WHEN (s.label > p.label) = (s.pos < p.pos) THEN 'A' ELSE 'B' END AS winner
+FROM steps s JOIN ranked p ON p.question_id = s.question_id AND p.label = tl AND p.source = ts AND p.r = (s.r + step) % m""")
+def preference_rows(spark, sf_dir):
+    rows = training_sets.preference_rows(_labeled(spark, sf_dir))
+    return rows.select("question_id", "candidate_a", "candidate_b", F.round("n_pairs", 6).alias("n_pairs"), "winner")
+
+
 @query("preference_model")
 def preference_model(spark, sf_dir):
     fields = ["candidate_id", "source", "success", "row_count", "column_count", "num_repairs"]

@@ -213,3 +213,22 @@ def test_variants_differ_by_judge_and_refinement(spark):
     assert got["A8_prm_no_evidence"] == 2 and got["wo_repair"] == 2  # without repair, s has no candidate
     assert got["A9_prm_no_matched_values"] is None and got["A5_prm_llm_tiebreaker"] is None
     assert got["A0_majority_voting"] == 3 and got["A1_execution_grouping"] == 2
+
+
+def test_preference_rows_have_every_candidate(spark):
+    rows = [("q", f"c{i}", i, f"s{i % 4}" if i % 2 else "icl_generator", i % 3) for i in range(30)]
+    rows += [("two", "a", 0, "x", 1), ("two", "b", 1, "y", 1), ("one", "a", 0, "x", 1)]
+    rows += [("hot", f"h{i}", i, "icl_generator", 2 if i == 7 else 0) for i in range(5000)]
+    labeled = spark.createDataFrame(rows, "question_id string, candidate_id string, pos int, source string, label int")
+    found = training_sets.preference_rows(labeled).collect()
+    of = lambda q: [r for r in found if r.question_id == q]
+    assert not of("one") and [(r.candidate_a, r.candidate_b, r.n_pairs) for r in of("two")] == [("a", "b", 1.0)]
+    for q, n in (("q", 30), ("hot", 5000)):
+        pairs = [(r.candidate_a, r.candidate_b) for r in of(q)]
+        assert len(set(pairs)) == len(pairs) and all(r.pos_a < r.pos_b for r in of(q))
+        assert len({c for p in pairs for c in p}) == n
+        assert abs(sum(r.n_pairs for r in of(q)) - n * (n - 1) / 2) < 1e-3
+    assert len(of("hot")) == 4999 + 2 * 4999  # linear
+    family = {r[1]: (r[4], r[3] if r[3] == "icl_generator" else "other") for r in rows[:30]}
+    met = {c: {family[d] for r in of("q") for d in (r.candidate_a, r.candidate_b) if c in (r.candidate_a, r.candidate_b) and d != c} for c in family}
+    assert all(met[c] >= set(family.values()) - {family[c]} for c in family)
