@@ -190,7 +190,7 @@ def judged_tournament(representatives: DataFrame, comparisons: DataFrame) -> Dat
 def final_selection(candidates: DataFrame, groups: DataFrame, ranked: DataFrame) -> DataFrame:
     """One record per question: the winner, its SQL, the runners-up's margin and the counts.
 
-    ``ranked`` keeps the full ranking in long form; the record carries the first three.
+    ``ranked`` keeps the full ranking in long form; the record carries the first three. See :func:`select_ranked`.
     """
     podium = ranked.filter(F.col("rank") <= 3).groupBy("question_id").agg(
         F.max(F.when(F.col("rank") == 1, F.col("candidate_id"))).alias("best_candidate_id"),
@@ -212,11 +212,17 @@ def final_selection(candidates: DataFrame, groups: DataFrame, ranked: DataFrame)
     return record
 
 
-def select_final(candidates: DataFrame, level: Column | None = None) -> DataFrame:
-    """Group by result, rank by the level judge, keep the winner.
+def select_ranked(candidates: DataFrame, level: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The record of :func:`final_selection`, and the whole ranking: (question_id, rank, candidate_id, score).
 
-    The groups are far fewer than the candidates and are read by several steps: they are
-    materialized, so that the candidates are scanned once.
+    Groups by result, ranks by the level judge, keeps the winner. The groups are far fewer than the candidates and are
+    read by several steps: they are materialized, so that the candidates are scanned once.
     """
     groups = stable(execution_groups(candidates))
-    return final_selection(candidates, groups, level_tournament(groups, level))
+    ranked = level_tournament(groups, level)
+    return final_selection(candidates, groups, ranked), ranked.select("question_id", "rank", "candidate_id", "score")
+
+
+def select_final(candidates: DataFrame, level: Column | None = None) -> DataFrame:
+    """The record alone, of :func:`select_ranked`."""
+    return select_ranked(candidates, level)[0]

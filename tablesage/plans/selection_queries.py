@@ -136,6 +136,12 @@ def final_selection(spark, sf_dir):
     )
 
 
+@query("final_ranking", f"WITH {SCORES} SELECT question_id, rank, candidate_id, CAST(score AS DOUBLE) AS score FROM ranked")
+def final_ranking(spark, sf_dir):
+    _, ranking = selection.select_ranked(candidates(spark, sf_dir).withColumn("sql", F.expr(SQL_TEXT)))
+    return ranking.withColumn("score", F.col("score").cast("double"))
+
+
 @query("hard_cases", f"""WITH {FINAL}, texts AS (SELECT question_id, candidate_id AS best_candidate_id, {SQL_TEXT} AS final_sql FROM cand)
 SELECT question_id, coalesce(reason, '') AS reason, reason IS NOT NULL AS hard_case FROM (SELECT question_id, CASE WHEN num_representatives < 2 THEN NULL WHEN best_score - second_score < 0.5 THEN 'low_margin'
  WHEN all_top_empty THEN 'all_empty' WHEN NOT contains(final_sql, CAST(question_id % 4 AS VARCHAR)) THEN 'constraint_not_covered' END AS reason FROM final JOIN texts USING (question_id, best_candidate_id))""")

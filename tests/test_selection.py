@@ -232,3 +232,12 @@ def test_preference_rows_have_every_candidate(spark):
     family = {r[1]: (r[4], r[3] if r[3] == "icl_generator" else "other") for r in rows[:30]}
     met = {c: {family[d] for r in of("q") for d in (r.candidate_a, r.candidate_b) if c in (r.candidate_a, r.candidate_b) and d != c} for c in family}
     assert all(met[c] >= set(family.values()) - {family[c]} for c in family)
+
+
+def test_final_record_has_the_whole_ranking_beside_it(spark):
+    rows = frame(spark, [cand("q", i, f"k{i}", "icl_generator" if i == 4 else "simple_generator") for i in range(6)])
+    record, ranking = selection.select_ranked(rows)
+    ranked = ranking.orderBy("rank").collect()
+    assert [(r["rank"], r.candidate_id) for r in ranked] == [(1, "q_4"), (2, "q_0"), (3, "q_1"), (4, "q_2"), (5, "q_3"), (6, "q_5")]
+    kept = record.first()
+    assert kept.best_candidate_id == "q_4" and [(x.id, x.score) for x in kept.ranked] == [(r.candidate_id, r.score) for r in ranked[:3]]
