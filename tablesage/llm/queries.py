@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablesage.functions.binding import let
 from tablesage.llm.byte_bpe import encode_and_decode
 from tablesage.llm.common import lower_ascii, stage_path, table
 from tablesage.llm.embedding_dedup import near_vectors
@@ -16,6 +17,8 @@ from tablesage.llm.exact_dedup import exact_dedup
 from tablesage.llm.language_id import fit_languages
 from tablesage.llm.ngram_join import ngram_jaccard
 from tablesage.llm.packing import pack, token_pieces
+from tablesage.llm.periodic_runs import periodic_runs
+from tablesage.llm.quality_rules import COUNTS, quality_rules
 from tablesage.llm.secret_scan import KINDS, joined, secret_scan
 from tablesage.llm.token_counts import token_counts
 from tablesage.llm.token_files import ids_digest, read_tokens, write_tokens
@@ -156,3 +159,39 @@ GROUP BY e.vec_id
 """)
 def op8_embedding_dedup(spark, sf_dir):
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """Documents of which a tenth, by their ids, go on from some word with the same words over and over."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def again(w):
+        n = F.size(w)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        words = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")))
+        return F.when(n > 0, F.array_join(words, " ")).otherwise("")
+
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    return docs.withColumn("text", F.when((h % 10 == 0) & F.col("text").isNotNull(), let(words, again)).otherwise(F.col("text")))
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark, sf_dir):
+    docs = with_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic_runs(docs).select("doc_id", "runs", "collapsed")
+    steeper = lambda best, r: F.when(r["length"] * best["period"] > best["length"] * r["period"], r).otherwise(best)
+    best = F.col("best")
+    listed = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.withColumn("best", F.reduce("runs", F.get("runs", F.lit(0)), steeper)).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
+        best["period"].alias("period"), F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join(listed, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op13_quality_rules")
+def op13_quality_rules(spark, sf_dir):
+    return quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *COUNTS, "base_failed", "kept")
