@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from tablesage.functions.binding import let
 from tablesage.llm.byte_bpe import encode_and_decode
-from tablesage.llm.common import lower_ascii, stage_path, table
+from tablesage.llm.common import lower_ascii, materialize, stage_path, table
 from tablesage.llm.embedding_dedup import near_vectors
 from tablesage.llm.exact_dedup import exact_dedup
 from tablesage.llm.language_id import fit_languages
 from tablesage.llm.ngram_join import ngram_jaccard
 from tablesage.llm.packing import pack, token_pieces
 from tablesage.llm.periodic_runs import periodic_runs
+from tablesage.llm.prefix_trie import in_order, prefix_trie
 from tablesage.llm.quality_rules import COUNTS, quality_rules
 from tablesage.llm.secret_scan import KINDS, joined, secret_scan
 from tablesage.llm.token_counts import token_counts
@@ -195,3 +196,53 @@ def op11_periodic_runs(spark, sf_dir):
 @query("op13_quality_rules")
 def op13_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *COUNTS, "base_failed", "kept")
+
+
+#: CRC-32 of a decimal number in SQL.
+CRC = """xor(4294967295, list_reduce(list_transform(range(1, len(CAST({0} AS VARCHAR)) + 1), lambda i: ascii(CAST({0} AS VARCHAR)[i])::BIGINT),
+    lambda acc, byte: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, xor(acc, byte)), 4294967295))"""
+
+
+def rebuilt(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(turns, ids): each conversation c with the first turns of conversation c - c % 100, crc32(c) % 6 of them, before its own later ones."""
+    head = F.crc32(F.col("conv_id").cast("string")) % 6
+    own = in_order(conversations.select("conv_id", "turn", *[F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")]).where("conv_id IS NOT NULL"))
+    ids = own.where("d = 1").select("conv_id", head.alias("head"), (F.col("conv_id") - F.col("conv_id") % 100).alias("base"))
+    first = own.where("d <= 5").groupBy(F.col("conv_id").alias("base")).agg(F.array_sort(F.collect_list(F.struct("d", "role", "text"))).alias("turns"))  # five at most
+    heads = ids.join(first, "base").select("conv_id", F.explode(F.expr("slice(turns, 1, cast(head AS int))")).alias("t"))
+    later = own.where(F.col("d") > head).select("conv_id", F.col("d").alias("turn"), "role", "text")
+    return heads.select("conv_id", F.col("t.d").alias("turn"), "t.role", "t.text").unionByName(later), ids.select("conv_id")
+
+
+@query("op12_prefix_trie", f"""
+WITH own AS (
+    SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS t
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), ids AS (
+    SELECT conv_id, t, {CRC.format('conv_id')} % 6 AS h FROM own
+), built AS (
+    SELECT c.conv_id, list_concat(coalesce(b.t, [])[1:c.h], c.t[c.h + 1:]) AS t FROM ids c LEFT JOIN ids b ON b.conv_id = c.conv_id - c.conv_id % 100
+), members AS (
+    SELECT conv_id, len(t) AS n, t, unnest(range(0, len(t) + 1)) AS depth FROM built
+), placed AS (
+    SELECT conv_id, n, depth, t[1:depth] AS path, CASE WHEN depth > 0 THEN t[1:depth - 1] END AS above FROM members
+), nodes AS (
+    SELECT path, any_value(above) AS above, min(conv_id) AS conv_id, any_value(depth) AS depth, count(*) AS n_convs,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+    FROM placed GROUP BY path
+), families AS (
+    SELECT above AS path, count(*) AS n_children FROM nodes WHERE above IS NOT NULL GROUP BY above
+), valued AS (
+    SELECT n.*, coalesce(f.n_children, 0) AS n_children,
+        CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(n.path[-1].text) END AS saved
+    FROM nodes n LEFT JOIN families f ON f.path = n.path
+), sums AS (
+    SELECT a.path, count(*) FILTER (v.n_children = 0) AS n_leaves, sum(v.saved) AS saved_tokens
+    FROM valued v JOIN placed a ON a.conv_id = v.conv_id AND a.depth <= v.depth GROUP BY a.path
+)
+SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, s.n_leaves, s.saved_tokens::BIGINT AS saved_tokens, v.ends_sha256
+FROM valued v JOIN sums s ON s.path = v.path LEFT JOIN nodes p ON p.path = v.above
+""")
+def op12_prefix_trie(spark, sf_dir):
+    turns, ids = rebuilt(table(spark, sf_dir, "conversations"))
+    return prefix_trie(materialize(turns, "rebuilt"), members=ids)
