@@ -1,15 +1,14 @@
-"""Column profiles, all derived from one (table, column, value) frequency table."""
+"""Column profiles: counts and extremes from one wide aggregate per table, values from mergeable states."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablesage.functions.binding import let
 from tablesage.operators.numbering import top_per_group
+from tablesage.operators.value_states import ValueStates, unite
 from tablesage.sources.catalog import column_metadata
 
 # Fixed values of the value-shape rules.
@@ -22,84 +21,52 @@ SHAPE_SHARE = 0.8
 KEYS = ["table_name", "column_name"]
 
 
-def _kind(data_type: T.DataType) -> str:
-    """How values of a type are ordered: as integers, as reals, or as text."""
-    if isinstance(data_type, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return "integer"
-    return "real" if isinstance(data_type, T.NumericType) else "text"
-
-
 def _long_form(table: str, df: DataFrame) -> DataFrame:
-    """(table, column, kind, value as text), one row per cell. A map-side generator: no shuffle."""
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(f.name).alias("column_name"), F.lit(_kind(f.dataType)).alias("kind"),
-                F.col(f"`{f.name}`").cast("string").alias("value"),
-            )
-            for f in df.schema.fields
-        ]
-    )
+    """(table, column, value as text), one row per cell. A map-side generator: no shuffle."""
+    cells = F.array(*[F.struct(F.lit(f.name).alias("column_name"), F.col(f"`{f.name}`").cast("string").alias("value")) for f in df.schema.fields])
     return df.select(F.lit(table).alias("table_name"), F.inline(cells))
 
 
-def _union(frames) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
-
+def _ordered(field: T.StructField) -> Column:
+    """The column as its extremes are taken: in its own type, or as text where the type has no order."""
+    column = F.col(f"`{field.name}`")
+    return column if isinstance(field.dataType, (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)) else column.cast("string")
 
-def value_frequencies(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table_name, column_name, kind, value, count): the one scan and the one shuffle of all profiling.
-
-    Hot values collapse on the map side before the shuffle.
-    """
-    cells = _union([_long_form(t, df) for t, df in tables.items()])
-    return cells.groupBy(*KEYS, "kind", "value").agg(F.count(F.lit(1)).alias("count"))
 
+def column_measures(tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows, nulls and extremes of every column: one aggregate of one row per table and task, so no value is shuffled."""
+    parts = []
+    for table, df in tables.items():
+        fields = df.schema.fields
+        measures = [m for i, f in enumerate(fields) for m in (F.count(F.col(f"`{f.name}`")).alias(f"n_{i}"), F.min(_ordered(f)).alias(f"lo_{i}"), F.max(_ordered(f)).alias(f"hi_{i}"))]
+        wide = df.agg(F.count(F.lit(1)).alias("rows"), *measures)
 
-def _seen(column: str) -> Column:
-    """A grouping column behind its count, for filters.
-
-    A filter on the bare column would be pushed below the aggregation, which then differs
-    from the one the other measures use: the scan and the shuffle would run again for it.
-    """
-    return F.when(F.col("count") > 0, F.col(column))
+        def entry(i: int, name: str) -> Column:
+            nulls = F.col("rows") - F.col(f"n_{i}")
+            return F.struct(
+                F.lit(name).alias("column_name"), F.col("rows").alias("total_rows"), nulls.alias("null_count"),
+                F.coalesce(F.try_divide(nulls, F.col("rows")), F.lit(0.0)).alias("null_ratio"),
+                F.col(f"lo_{i}").cast("string").alias("min_value"), F.col(f"hi_{i}").cast("string").alias("max_value"),
+            )
 
+        parts.append(wide.select(F.lit(table).alias("table_name"), F.inline(F.array(*[entry(i, f.name) for i, f in enumerate(fields)]))))
+    return unite(parts)
 
-def column_counts(frequencies: DataFrame) -> DataFrame:
-    """Row, null and distinct counts and the extremes of every column, from the frequency table.
 
-    Numbers and counts are aggregated in fixed-width buffers (a hash aggregate); only text
-    columns take the aggregate that needs sorting.
-    """
-    rows = F.sum("count")
-    nulls = F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("count"))), F.lit(0))
-    whole = F.when(F.col("kind") == "integer", F.col("value").try_cast("bigint"))
-    real = F.when(F.col("kind") == "real", F.col("value").try_cast("double"))
-    counts = frequencies.groupBy(*KEYS).agg(
-        rows.alias("total_rows"),
-        nulls.alias("null_count"),
-        F.when(rows > 0, nulls / rows).otherwise(F.lit(0.0)).alias("null_ratio"),
-        F.count("value").alias("distinct_count"),
-        F.coalesce(F.min(whole).cast("string"), F.min(real).cast("string")).alias("min_number"),
-        F.coalesce(F.max(whole).cast("string"), F.max(real).cast("string")).alias("max_number"),
-    )
-    texts = frequencies.filter(_seen("kind") == "text").groupBy(*KEYS).agg(
-        F.min("value").alias("min_text"), F.max("value").alias("max_text")
-    )
-    return counts.join(texts, KEYS, "left").withColumns(
-        {"min_value": F.coalesce("min_number", "min_text"), "max_value": F.coalesce("max_number", "max_text")}
-    ).drop("min_number", "max_number", "min_text", "max_text")
+def column_counts(states: ValueStates) -> DataFrame:
+    """Row, null and distinct counts and the extremes of every column."""
+    distinct = states.names(states.distinct_counts())
+    return column_measures(states.tables).join(distinct, KEYS, "left").withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)))
 
 
-def top_values(frequencies: DataFrame, k: int = 20) -> DataFrame:
+def top_values(states: ValueStates, k: int = 20) -> DataFrame:
     """The ``k`` most frequent values per column in order, ties broken by the value."""
-    ranked = top_per_group(
-        frequencies.filter(_seen("value").isNotNull()), KEYS, [F.col("count").desc(), F.col("value")], k
-    )
+    ranked = top_per_group(states.top(k), ["column_no"], [F.col("count").desc(), F.col("value")], k)
     entries = F.array_sort(F.collect_list(F.struct("rank", "value", "count")))
-    return ranked.groupBy(*KEYS).agg(
+    listed = ranked.groupBy("column_no").agg(
         F.transform(entries, lambda e: F.struct(e["value"].alias("value"), e["count"].alias("count"))).alias("top_values")
     )
+    return states.names(listed)
 
 
 def value_shape(values: Column) -> Column:
@@ -131,22 +98,20 @@ def _equals(name: str):
 
 
 def profile_tables(
-    tables: dict[str, DataFrame], db_id: str, k: int = 20, exact: bool = True, frequencies: DataFrame | None = None
+    tables: dict[str, DataFrame], db_id: str, k: int = 20, exact: bool = True, states: ValueStates | None = None
 ) -> DataFrame:
     """One profile row per column of every table.
 
-    A caller that also needs the values passes the ``frequencies`` it has materialized.
-
-    ``exact=False`` replaces the frequency table by sketches in one wide aggregate per
-    table, for columns with so many distinct values that shuffling them is not worth it.
+    The states are gathered when this is called; a caller that needs the values too passes its own. ``exact=False`` takes
+    sketches in one wide aggregate per table instead, with approximate distinct and value counts.
     """
     spark = next(iter(tables.values())).sparkSession
     columns = column_metadata(spark, tables, db_id).drop("not_null", "primary_key")
     if exact:
-        frequencies = value_frequencies(tables) if frequencies is None else frequencies
-        measured = column_counts(frequencies).join(top_values(frequencies, k), KEYS, "left")
+        states = ValueStates(tables) if states is None else states
+        measured = column_counts(states).join(top_values(states, k), KEYS, "left")
     else:
-        measured = _union([_sketched(t, df, k) for t, df in tables.items()])
+        measured = unite([_sketched(t, df, k) for t, df in tables.items()])
     values = F.coalesce(F.col("top_values"), F.array().cast("array<struct<value:string,count:bigint>>"))
     return (
         columns.join(measured, KEYS, "left")
@@ -230,6 +195,6 @@ def values_exist(probes: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     for are deduplicated.
     """
     keys = [*KEYS, "value"]
-    cells = _union([_long_form(t, df).drop("kind") for t, df in tables.items()])
+    cells = unite([_long_form(t, df) for t, df in tables.items()])
     found = cells.join(probes.select(*keys).distinct(), keys, "left_semi").distinct().withColumn("value_exists", F.lit(True))
     return probes.join(found, keys, "left").withColumn("value_exists", F.coalesce("value_exists", F.lit(False)))

@@ -9,6 +9,7 @@ from tablesage.functions.text import phrases, word_overlap
 from tablesage.functions.vectors import cosine, hash_levels, scaled_to_unit
 from tablesage.operators import column_ranking, context, literals, profiling, query_logs, value_links
 from tablesage.operators.numbering import top_per_group
+from tablesage.operators.value_states import ValueStates
 from tablesage.plans.inputs import (
     DB, INTENT, LINKED, QLOG, QST, cells_sql, columns_sql, intents, linked_tables, query_log, questions, given, select, spread_table,
 )
@@ -30,8 +31,8 @@ def link_phrases(spark, sf_dir):
     return q.select("question_id", F.explode(phrases(F.col("question"), F.col("evidence"))).alias("phrase"))
 
 
-def _values(frequencies: DataFrame) -> DataFrame:
-    return frequencies.filter(F.col("value").isNotNull()).select(F.lit(DB).alias("db_id"), "table_name", "column_name", "value")
+def _values(states: ValueStates) -> DataFrame:
+    return states.distinct_values().withColumn("db_id", F.lit(DB))
 
 
 @query("link_values", f"""WITH {PHRASES}, vals AS (SELECT DISTINCT table_name, column_name, ordinal, value FROM ({cells_sql(LINKED)})),
@@ -45,10 +46,31 @@ FROM ranked WHERE rank <= 10""")
 def link_values(spark, sf_dir):
     tables = linked_tables(spark, sf_dir)
     columns = profiling.column_metadata(spark, tables, DB)
-    values = _values(profiling.value_frequencies(tables))
+    values = _values(ValueStates(tables))
     return value_links.link_values(questions(spark, sf_dir), values, columns).drop("db_id")
 
 
+# Letters beyond ASCII are blanks in these questions: SQL engines differ in where words end beside them.
+BENCH_QST = "SELECT CAST(item_id AS STRING) AS question_id, 'corpus' AS db_id, regexp_replace(text, '[^ -~]', ' '{}) AS question, '' AS evidence FROM benchmark"
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query("link_documents", f"""WITH {PHRASES.replace(QST, BENCH_QST.format(", 'g'"))},
+found AS (SELECT needle, min(text) AS value FROM (SELECT DISTINCT {LOWER.format('phrase')} AS needle FROM asked) p
+ JOIN documents d ON contains({LOWER.format('d.text')}, p.needle) GROUP BY needle),
+once AS (SELECT *, row_number() OVER (PARTITION BY question_id, value ORDER BY phrase) AS n FROM asked JOIN found ON needle = {LOWER.format('phrase')}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY phrase, value) AS rank FROM once WHERE n = 1)
+SELECT question_id, phrase, CAST(rank AS INT) AS rank, sha256(value) AS value_sha256 FROM ranked WHERE rank <= 10""")
+def link_documents(spark, sf_dir):
+    """Which passages of the corpus do the benchmark's items mention? Whole documents are the values."""
+    q = select(spark, sf_dir, BENCH_QST.format(""), ["benchmark"])
+    where = [F.lit("corpus").alias("db_id"), F.lit("documents").alias("table_name"), F.lit("text").alias("column_name")]
+    values = spread_table(spark, sf_dir, "documents").select(*where, F.col("text").alias("value"))
+    columns = values.limit(1).select("db_id", "table_name", "column_name", F.lit(0).alias("ordinal"))
+    links = value_links.link_values(q, values, columns)
+    return links.select("question_id", "phrase", "rank", F.sha2("value", 256).alias("value_sha256"))
+
+
 TYPO_LITERALS = """SELECT CAST(p_partkey AS STRING) AS question_id, 'tpch' AS db_id, concat(substr(p_name, 1, 2), 'x', substr(p_name, 4)) AS literal FROM part
 UNION ALL SELECT concat('c', CAST(c_custkey AS STRING)), 'tpch', lower(c_mktsegment) FROM customer"""
 
@@ -70,7 +92,7 @@ TOP_VALUES = f"""top AS (SELECT table_name, column_name, value FROM (SELECT *, r
 @query("link_literals_exact", f"""WITH {TOP_VALUES}
 SELECT question_id, literal, table_name, column_name, value AS matched_value FROM ({TYPO_LITERALS}) JOIN top ON lower(literal) = lower(value)""")
 def link_literals_exact(spark, sf_dir):
-    top = profiling.top_values(profiling.value_frequencies(linked_tables(spark, sf_dir)))
+    top = profiling.top_values(ValueStates(linked_tables(spark, sf_dir)))
     values = literals.frequent_values(top.withColumn("db_id", F.lit(DB)))
     matches = literals.exact_literal_matches(_typo_literals(spark, sf_dir), values)
     return matches.select("question_id", "literal", "table_name", "column_name", "matched_value")
@@ -131,12 +153,12 @@ def _matches(spark, sf_dir, profiles):
 def _features(spark, sf_dir):
     tables = linked_tables(spark, sf_dir)
     # Profiles are made once and used by several steps.
-    frequencies = stable(profiling.value_frequencies(tables))
-    profiles = stable(profiling.profile_tables(tables, DB, frequencies=frequencies))
+    states = ValueStates(tables)
+    profiles = stable(profiling.profile_tables(tables, DB, states=states))
     retrieved = column_ranking.retrieve_columns(intents(spark, sf_dir), profiles, similarity=word_overlap)
     columns = profiling.column_metadata(spark, tables, DB).select("table_name", "column_name")
     support = query_logs.column_log_support(columns, query_log(spark, sf_dir))
-    return column_ranking.column_features(retrieved, _matches(spark, sf_dir, profiles), support), profiles, frequencies
+    return column_ranking.column_features(retrieved, _matches(spark, sf_dir, profiles), support), profiles, states
 
 
 @query("column_features", f"""WITH {FEATURES} SELECT question_id, table_name, column_name, round(semantic_score, 6) AS semantic_score, literal_match,
@@ -189,10 +211,10 @@ SELECT q.question_id, q.db_id, q.question, q.evidence, top_columns, top_tables,
  round(1.0::DOUBLE / (coalesce(n, 0) + 1), 6) AS evidence_parsing
 FROM ({QST}) q JOIN lists USING (question_id) JOIN tabs USING (question_id) LEFT JOIN hints USING (question_id)""")
 def context_package(spark, sf_dir):
-    features, profiles, frequencies = _features(spark, sf_dir)
+    features, profiles, states = _features(spark, sf_dir)
     features = stable(features)
     q = questions(spark, sf_dir)
-    links = value_links.link_values(q, _values(frequencies), profiles)
+    links = value_links.link_values(q, _values(states), profiles)
     # The evidence of these questions states one mapping each; it is taken as parsed with full confidence.
     parsed = q.select(
         "question_id",
@@ -267,9 +289,9 @@ hints AS (SELECT question_id, table_name, count(*) AS value_hints FROM (SELECT *
 SELECT question_id, table_name, CAST(position AS INT) AS position, round(score, 6) AS score, coalesce(value_hints, 0) AS value_hints FROM tabs LEFT JOIN hints USING (question_id, table_name)""")
 def question_tables(spark, sf_dir):
     """The flagship: which tables does each question need, and how many of its words are values in them?"""
-    features, profiles, frequencies = _features(spark, sf_dir)
+    features, profiles, states = _features(spark, sf_dir)
     tables = context.context_tables(column_ranking.rank_by_rule(features))
-    links = value_links.link_values(questions(spark, sf_dir), _values(frequencies), profiles)
+    links = value_links.link_values(questions(spark, sf_dir), _values(states), profiles)
     hints = links.groupBy("question_id", "table_name").agg(F.count(F.lit(1)).alias("value_hints"))
     return tables.join(hints, ["question_id", "table_name"], "left").select(
         "question_id", "table_name", "position", F.round("score", 6).alias("score"), F.coalesce("value_hints", F.lit(0)).alias("value_hints")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablesage.operators import profiling
+from tablesage.operators.value_states import ValueStates
 from tablesage.plans.inputs import COLUMNS, DB, STAR, cells_sql, columns_sql, select, star_tables
 from tablesage.plans.registry import query
 
@@ -33,14 +34,12 @@ FROM (SELECT table_name, column_name, count(*) AS total_rows, count(*) - count(v
  CAST(count(*) - count(value) AS DOUBLE) / count(*) AS null_ratio, count(DISTINCT value) AS distinct_count
  FROM ({cells_sql(STAR)}) GROUP BY table_name, column_name) c JOIN ({EXTREMES}) e USING (table_name, column_name)""")
 def profile_table(spark, sf_dir):
-    return profiling.profile_tables(star_tables(spark, sf_dir), DB).select(
-        "table_name", "column_name", "total_rows", "null_count", "null_ratio", "distinct_count", "min_value", "max_value"
-    )
+    return profiling.column_counts(ValueStates(star_tables(spark, sf_dir)))
 
 
 @query("profile_topk", f"WITH {RANKED} SELECT table_name, column_name, CAST(rank AS INT) AS rank, value, cnt FROM top")
 def profile_topk(spark, sf_dir):
-    top = profiling.top_values(profiling.value_frequencies(star_tables(spark, sf_dir)))
+    top = profiling.top_values(ValueStates(star_tables(spark, sf_dir)))
     return top.select("table_name", "column_name", F.posexplode("top_values").alias("at", "e")).select(
         "table_name", "column_name", (F.col("at") + 1).alias("rank"), "e.value", F.col("e.count").alias("cnt")
     )
@@ -48,7 +47,7 @@ def profile_topk(spark, sf_dir):
 
 @query("profile_value_shape", f"WITH {RANKED}, {SHAPE}")
 def profile_value_shape(spark, sf_dir):
-    top = profiling.top_values(profiling.value_frequencies(star_tables(spark, sf_dir)))
+    top = profiling.top_values(ValueStates(star_tables(spark, sf_dir)))
     return top.select("table_name", "column_name", profiling.value_shape(F.col("top_values.value")).alias("value_shape"))
 
 

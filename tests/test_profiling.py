@@ -1,6 +1,12 @@
+import random
+from collections import Counter
+from decimal import Decimal
+
+import pytest
 from pyspark.sql import functions as F
 
 from tablesage.operators import profiling
+from tablesage.operators.value_states import ValueStates
 from tablesage.sources import catalog
 
 
@@ -70,12 +76,46 @@ def test_catalog(spark):
     assert (meta.column_name, meta.data_type, meta.primary_key) == ("a", "int", None)
 
 
-def test_scans_and_shuffles_are_shared(spark, sf_dir):
-    """All measures come from one aggregation: the plan reads each table once and reuses the exchange."""
+def test_decimals_keep_every_digit(spark):
+    rows = [(Decimal("12345678901234567890.12"),), (Decimal("12345678901234567891.13"),), (None,)]
+    p = profiles(spark, rows, "d decimal(30,2)")["d"]
+    assert (p.min_value, p.max_value) == ("12345678901234567890.12", "12345678901234567891.13")
+    assert (p.distinct_count, p.null_count) == (2, 1)
+
+
+def test_counts_and_extremes_shuffle_no_values(spark, sf_dir):
+    """One row per table and task is exchanged; each table is read once."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    df = profiling.profile_tables({"part": part}, "db")
-    df.collect()
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    final = plan.split("== Initial Plan ==")[0]
-    assert final.count("FileScan parquet") == 1 and "ReusedExchange" in final
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    plan = profiling.column_measures({"part": part})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and plan.count("Exchange SinglePartition") == 1 and "hashpartitioning" not in plan
+
+
+def columns_of(draw, n):
+    """Columns of every sort: few values, one value most of the time, flat, all different, many ties above one, text and reals."""
+    few = [draw.choice("abc") if draw.random() < 0.9 else None for _ in range(n)]
+    head = [0 if draw.random() < 0.5 else draw.randrange(10**6) for _ in range(n)]
+    flat = [f"w{draw.randrange(n // 2 + 1)}" for _ in range(n)]
+    keys = draw.sample(range(10**9), n)
+    twice = [float(i // 2) for i in range(n)]
+    odd = [draw.choice(["", "é", " ", "x" * 300]) if draw.random() < 0.4 else str(i) for i in range(n)]
+    return list(zip(few, head, flat, keys, twice, odd, strict=True))
+
+
+@pytest.mark.parametrize("n,capacity,rows_at_once,ties", [(300, 8192, 10**6, 1000), (400, 12, 40, 1000), (400, 12, 40, 3), (300, 4, 25, 0), (0, 4, 25, 0)])
+def test_states_against_plain_counts(spark, n, capacity, rows_at_once, ties):
+    rows = columns_of(random.Random(n + capacity + ties), n)
+    df = spark.createDataFrame(rows, "few string, head int, flat string, keyed long, twice double, odd string").repartition(3)
+    states = ValueStates({"t": df, "u": df.select("flat")}, capacity=capacity, rows_at_once=rows_at_once, ties=ties)
+    top = {(r.table_name, r.column_name): [tuple(v) for v in r.top_values] for r in profiling.top_values(states, 20).collect()}
+    distinct = {(r.table_name, r.column_name): r.distinct_count for r in profiling.column_counts(states).collect()}
+    values = {}
+    for r in states.distinct_values().collect():
+        values.setdefault((r.table_name, r.column_name), set()).add(r.value)
+    for i, name in enumerate(df.columns):
+        plain = Counter(str(r[i]) for r in rows if r[i] is not None)
+        for table in ["t", "u"] if name == "flat" else ["t"]:
+            assert top.get((table, name), []) == sorted(plain.items(), key=lambda x: (-x[1], x[0].encode()))[:20], name
+            assert distinct[(table, name)] == len(plain)
+            assert values.get((table, name), set()) == set(plain)
+    if n and capacity < 20:
+        assert states.slack and len(states.slack) < 7  # both ways were taken
