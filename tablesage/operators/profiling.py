@@ -1,10 +1,9 @@
-"""Column profiles: counts and extremes from one wide aggregate per table, values from mergeable states."""
+"""Column profiles from mergeable states of the columns' values."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tablesage.functions.binding import let
 from tablesage.operators.numbering import top_per_group
@@ -27,36 +26,13 @@ def _long_form(table: str, df: DataFrame) -> DataFrame:
     return df.select(F.lit(table).alias("table_name"), F.inline(cells))
 
 
-def _ordered(field: T.StructField) -> Column:
-    """The column as its extremes are taken: in its own type, or as text where the type has no order."""
-    column = F.col(f"`{field.name}`")
-    return column if isinstance(field.dataType, (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)) else column.cast("string")
-
-
-def column_measures(tables: dict[str, DataFrame]) -> DataFrame:
-    """Rows, nulls and extremes of every column: one aggregate of one row per table and task, so no value is shuffled."""
-    parts = []
-    for table, df in tables.items():
-        fields = df.schema.fields
-        measures = [m for i, f in enumerate(fields) for m in (F.count(F.col(f"`{f.name}`")).alias(f"n_{i}"), F.min(_ordered(f)).alias(f"lo_{i}"), F.max(_ordered(f)).alias(f"hi_{i}"))]
-        wide = df.agg(F.count(F.lit(1)).alias("rows"), *measures)
-
-        def entry(i: int, name: str) -> Column:
-            nulls = F.col("rows") - F.col(f"n_{i}")
-            return F.struct(
-                F.lit(name).alias("column_name"), F.col("rows").alias("total_rows"), nulls.alias("null_count"),
-                F.coalesce(F.try_divide(nulls, F.col("rows")), F.lit(0.0)).alias("null_ratio"),
-                F.col(f"lo_{i}").cast("string").alias("min_value"), F.col(f"hi_{i}").cast("string").alias("max_value"),
-            )
-
-        parts.append(wide.select(F.lit(table).alias("table_name"), F.inline(F.array(*[entry(i, f.name) for i, f in enumerate(fields)]))))
-    return unite(parts)
-
-
 def column_counts(states: ValueStates) -> DataFrame:
     """Row, null and distinct counts and the extremes of every column."""
-    distinct = states.names(states.distinct_counts())
-    return column_measures(states.tables).join(distinct, KEYS, "left").withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)))
+    spark = next(iter(states.tables.values())).sparkSession
+    every = spark.range(len(states.columns)).select(F.col("id").cast("int").alias("column_no"))  # tables without rows have no states
+    counts = states.names(every.join(states.measures(), "column_no", "left").join(states.distinct_counts(), "column_no", "left"))
+    known = counts.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("total_rows", "null_count", "distinct_count")})
+    return known.withColumn("null_ratio", F.coalesce(F.try_divide(F.col("null_count"), F.col("total_rows")), F.lit(0.0)))
 
 
 def top_values(states: ValueStates, k: int = 20) -> DataFrame:

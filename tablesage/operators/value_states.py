@@ -19,20 +19,21 @@ from functools import cached_property, reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablesage.operators.numbering import top_per_group
 from tablesage.session import stable
 
-#: Values that a state holds of a column, and rows that are added to it at a time.
-CAPACITY, ROWS_AT_ONCE = 8192, 200_000
+#: Values that a state holds of a column, values that one with slack hands on, and rows that are added at a time.
+CAPACITY, HANDED_ON, ROWS_AT_ONCE = 131_072, 8192, 200_000
 #: So many values of equal count at most are fetched by fingerprint; beyond, the smallest are found by their order.
 TIES = 1000
 
 INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-STATE = "column_no int, whole long, real double, text string, count long, slack long"
+SUMS = ["count", "slack", "nulls"]
+STATE = "column_no int, whole long, real double, text string, count long, slack long, nulls long"
 
 
 def unite(frames: list[DataFrame]) -> DataFrame:
@@ -63,32 +64,46 @@ def fingerprint(kind: str, value: Column) -> tuple[Column, Column]:
     return tuple(F.when(value.isNotNull(), F.xxhash64(F.lit(seed), value)) for seed in (1, 2))
 
 
+def extremes_of(table: DataFrame, wanted: list[tuple[int, T.StructField]], first: int) -> DataFrame:
+    """(column_no, total_rows, null_count, min_value, max_value) of some columns, in their own types, from one wide aggregate."""
+    column = lambda f: F.col(f"`{f.name.replace('`', '``')}`")
+    wide = table.agg(F.count(F.lit(1)).alias("rows"), *[m for i, f in wanted for m in (F.count(column(f)).alias(f"n_{i}"), F.min(column(f)).alias(f"lo_{i}"), F.max(column(f)).alias(f"hi_{i}"))])
+    entries = [F.struct(
+        F.lit(first + i).alias("column_no"), F.col("rows").alias("total_rows"), (F.col("rows") - F.col(f"n_{i}")).alias("null_count"),
+        F.col(f"lo_{i}").cast("string").alias("min_value"), F.col(f"hi_{i}").cast("string").alias("max_value"),
+    ) for i, _ in wanted]
+    return wide.select(F.inline(F.array(*entries)))
+
+
+def shrunk(state: pa.Table, capacity: int) -> tuple[pa.Table, int]:
+    """At most ``capacity`` values of a state (value, count), and what had to be taken off every count."""
+    if state.num_rows <= capacity:
+        return state, 0
+    counts = state["count"].to_numpy()
+    off = int(np.partition(counts, len(counts) - capacity - 1)[len(counts) - capacity - 1])
+    left = state.set_column(1, "count", pc.subtract(state["count"], pa.scalar(off, pa.int64())))
+    return left.filter(pc.greater(left["count"], 0)), off
+
+
 def fold(held: pa.Table | None, values: pa.Array, capacity: int) -> tuple[pa.Table, int]:
-    """Add ``values`` to a state (value, count); returns it with what had to be taken off every count."""
+    """Add ``values`` to a state; returns it with what had to be taken off every count."""
     counted = values.drop_null().value_counts()
-    fresh = pa.table({"value": counted.field(0), "count": counted.field(1)})
-    if held is None:
-        merged = fresh
-    else:
-        both = pa.concat_tables([held, fresh]).group_by("value").aggregate([("count", "sum")])
+    merged = pa.table({"value": counted.field(0), "count": counted.field(1)})
+    if held is not None:
+        both = pa.concat_tables([held, merged]).group_by("value").aggregate([("count", "sum")])
         merged = pa.table({"value": both["value"], "count": both["count_sum"]})
-    if merged.num_rows <= capacity:
-        return merged, 0
-    counts = merged["count"].to_numpy()
-    off = int(np.partition(counts, len(counts) - capacity - 1)[len(counts) - capacity - 1])
-    left = merged.set_column(1, "count", pc.subtract(merged["count"], pa.scalar(off, pa.int64())))
-    return left.filter(pc.greater(left["count"], 0)), off
+    return shrunk(merged, capacity)
 
 
 def _states(table: DataFrame, first: int, capacity: int, rows_at_once: int) -> DataFrame:
-    """The states of one table's columns, a row for each value held in a task and one for the slack."""
+    """The states of one table's columns, a row for each value held in a task and one for the slack and the nulls."""
     fields = table.schema.fields
     kinds = [kind_of(f.dataType) for f in fields]
     plain = table.select(*[carried(f).alias(f"c{i}") for i, f in enumerate(fields)])
 
     def collect(batches):
         held: list[pa.Table | None] = [None] * len(kinds)
-        slack = [0] * len(kinds)
+        slack, nulls = [0] * len(kinds), [0] * len(kinds)
         waiting: list[pa.RecordBatch] = []
 
         def add():
@@ -96,6 +111,7 @@ def _states(table: DataFrame, first: int, capacity: int, rows_at_once: int) -> D
                 column = pa.chunked_array([b.column(i) for b in waiting]).combine_chunks()
                 held[i], off = fold(held[i], column, capacity)
                 slack[i] += off
+                nulls[i] += column.null_count
             waiting.clear()
 
         for batch in batches:
@@ -106,6 +122,9 @@ def _states(table: DataFrame, first: int, capacity: int, rows_at_once: int) -> D
             add()
         for i, kind in enumerate(kinds):
             state = held[i]
+            if slack[i]:
+                state, off = shrunk(state, min(capacity, HANDED_ON))
+                slack[i] += off
             n = 0 if state is None else state.num_rows
             columns = {k: pa.nulls(n + 1, t) for k, t in (("whole", pa.int64()), ("real", pa.float64()), ("text", pa.string()))}
             if n:
@@ -114,7 +133,7 @@ def _states(table: DataFrame, first: int, capacity: int, rows_at_once: int) -> D
             counts = [] if state is None else state["count"].to_pylist()
             yield pa.record_batch({
                 "column_no": pa.array([first + i] * (n + 1), pa.int32()), **columns, "count": pa.array([*counts, 0], pa.int64()),
-                "slack": pa.array([0] * n + [slack[i]], pa.int64()),
+                "slack": pa.array([0] * n + [slack[i]], pa.int64()), "nulls": pa.array([0] * n + [nulls[i]], pa.int64()),
             })
 
     return plain.mapInArrow(collect, STATE)
@@ -135,12 +154,12 @@ class ValueStates:
 
     @cached_property
     def counted(self) -> DataFrame:
-        """(column_no, whole, real, text, count, slack): sums of the states, written once; the slack is in the row without a value."""
+        """(column_no, whole, real, text, count, slack, nulls): sums of the states, written once; slack and nulls are in the row without a value."""
         parts, first = [], 0
         for df in self.tables.values():
             parts.append(_states(df, first, self.capacity, self.rows_at_once))
             first += len(df.schema.fields)
-        return stable(unite(parts).groupBy("column_no", "whole", "real", "text").agg(F.sum("count").alias("count"), F.sum("slack").alias("slack")))
+        return stable(unite(parts).groupBy("column_no", "whole", "real", "text").agg(*[F.sum(c).alias(c) for c in SUMS]))
 
     @cached_property
     def slack(self) -> dict[int, int]:
@@ -185,6 +204,26 @@ class ValueStates:
             return exact
         return exact.unionByName(self.flat.groupBy("column_no").agg(F.count(F.lit(1)).alias("distinct_count")))
 
+    def measures(self) -> DataFrame:
+        """(column_no, total_rows, null_count, min_value, max_value).
+
+        Extremes come from the states where these are exact and ordered as the column is; only the other columns are scanned
+        again, for one row a table and task.
+        """
+        again = [i for i, (_, f) in enumerate(self.columns) if i in self.slack or isinstance(f.dataType, (T.DecimalType, T.FloatType))]
+        sums = self.counted.groupBy("column_no").agg((F.sum("count") + F.sum("nulls")).alias("seen"), F.sum("nulls").alias("null_count"),
+            *[g(k).alias(f"{n}_{k}") for k in ("whole", "real") for n, g in (("lo", F.min), ("hi", F.max))])
+        texts = self.counted.where("text IS NOT NULL").groupBy("column_no").agg(F.min("text").alias("lo_text"), F.max("text").alias("hi_text"))
+        extremes = [F.coalesce(f"{n}_text", F.col(f"{n}_whole").cast("string"), F.col(f"{n}_real").cast("string")).alias(a) for n, a in (("lo", "min_value"), ("hi", "max_value"))]
+        known = sums.where(~F.col("column_no").isin(again)).join(texts, "column_no", "left").select("column_no", F.col("seen").alias("total_rows"), "null_count", *extremes)
+        parts, first = [known], 0
+        for df in self.tables.values():
+            wanted = [(i, f) for i, f in enumerate(df.schema.fields) if first + i in again]
+            if wanted:
+                parts.append(extremes_of(df, wanted, first))
+            first += len(df.schema.fields)
+        return unite(parts)
+
     def distinct_values(self) -> DataFrame:
         """(table_name, column_name, value) of all values; those of columns with slack come as often as the table has them."""
         exact = self.held().where(~F.col("column_no").isin(list(self.slack))).select("column_no", as_text().alias("value"))
@@ -220,9 +259,11 @@ class ValueStates:
         that count if they are few. Else the smallest are taken: of a column whose other values all occur once by a bounded sort
         in each task, else among the cells that have such a count."""
         counts = self.flat.where(F.col("column_no").isin(flat))
-        kth = {r.column_no: r.c for r in top_per_group(counts, ["column_no"], [F.col("count").desc()], k).groupBy("column_no").agg(F.min("count").alias("c")).collect()}
+        downward = Window.partitionBy("column_no").orderBy(F.col("count").desc())  # of counts, not of values
+        levels = counts.groupBy("column_no", "count").agg(F.count(F.lit(1)).alias("ties")).withColumn("above", F.sum("ties").over(downward) - F.col("ties"))
+        told = {r.column_no: r.kth for r in levels.where(F.col("above") < k).groupBy("column_no").agg(F.min(F.struct("count", "above", "ties")).alias("kth")).collect()}
+        kth = {c: r["count"] for c, r in told.items()}
         bound = F.element_at(F.create_map(*[F.lit(x) for pair in kth.items() for x in pair]), F.col("column_no"))
-        told = {r.column_no: r for r in counts.groupBy("column_no").agg(F.count_if(F.col("count") > bound).alias("above"), F.count_if(F.col("count") == bound).alias("ties")).collect()}
         many = [c for c in kth if told[c].ties > self.ties]
         reaching = (F.col("count") > bound) | ((F.col("count") == bound) & ~F.col("column_no").isin(many))
         fetched = [c for c in kth if c not in many or told[c].above]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablesage.operators import profiling
-from tablesage.operators.value_states import ValueStates
+from tablesage.operators.value_states import ValueStates, extremes_of
 from tablesage.sources import catalog
 
 
@@ -83,11 +83,17 @@ def test_decimals_keep_every_digit(spark):
     assert (p.distinct_count, p.null_count) == (2, 1)
 
 
-def test_counts_and_extremes_shuffle_no_values(spark, sf_dir):
-    """One row per table and task is exchanged; each table is read once."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    plan = profiling.column_measures({"part": part})._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("FileScan parquet") == 1 and plan.count("Exchange SinglePartition") == 1 and "hashpartitioning" not in plan
+def test_only_fingerprints_of_flat_columns_are_shuffled(spark):
+    """Extremes exchange one row a task; distinct counts of flat columns exchange two numbers a value, no text."""
+    df = spark.range(3000).selectExpr("concat('name of ', id) AS name", "id % 3 AS few").repartition(2)
+    states = ValueStates({"t": df}, capacity=50, rows_at_once=500)
+    assert set(states.slack) == {0}
+    wide = extremes_of(df, [(0, df.schema["name"])], 0)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange SinglePartition" in wide and "hashpartitioning" not in wide
+    assert states.flat.columns == ["column_no", "h1", "h2", "count"]
+    assert {r.column_name: (r.min_value, r.max_value, r.distinct_count) for r in profiling.column_counts(states).collect()} == {
+        "name": ("name of 0", "name of 999", 3000), "few": ("0", "2", 3),
+    }
 
 
 def columns_of(draw, n):
@@ -107,11 +113,17 @@ def test_states_against_plain_counts(spark, n, capacity, rows_at_once, ties):
     df = spark.createDataFrame(rows, "few string, head int, flat string, keyed long, twice double, odd string").repartition(3)
     states = ValueStates({"t": df, "u": df.select("flat")}, capacity=capacity, rows_at_once=rows_at_once, ties=ties)
     top = {(r.table_name, r.column_name): [tuple(v) for v in r.top_values] for r in profiling.top_values(states, 20).collect()}
-    distinct = {(r.table_name, r.column_name): r.distinct_count for r in profiling.column_counts(states).collect()}
+    counted = profiling.column_counts(states).collect()
+    distinct = {(r.table_name, r.column_name): r.distinct_count for r in counted}
     values = {}
     for r in states.distinct_values().collect():
         values.setdefault((r.table_name, r.column_name), set()).add(r.value)
     for i, name in enumerate(df.columns):
+        measured = {r.column_name: r for r in counted if r.table_name == "t"}[name]
+        given = [r[i] for r in rows if r[i] is not None]
+        order = (lambda v: v.encode()) if name in ("few", "flat", "odd") else None
+        assert (measured.total_rows, measured.null_count) == (n, n - len(given))
+        assert (measured.min_value, measured.max_value) == ((str(min(given, key=order)), str(max(given, key=order))) if given else (None, None))
         plain = Counter(str(r[i]) for r in rows if r[i] is not None)
         for table in ["t", "u"] if name == "flat" else ["t"]:
             assert top.get((table, name), []) == sorted(plain.items(), key=lambda x: (-x[1], x[0].encode()))[:20], name
