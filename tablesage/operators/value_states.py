@@ -25,11 +25,14 @@ from pyspark.sql import types as T
 
 from tablesage.operators.numbering import top_per_group
 from tablesage.session import stable
+from tablesage.sources.catalog import spread
 
 #: Values that a state holds of a column, values that one with slack hands on, and rows that are added at a time.
 CAPACITY, HANDED_ON, ROWS_AT_ONCE = 131_072, 8192, 200_000
 #: So many values of equal count at most are fetched by fingerprint; beyond, the smallest are found by their order.
 TIES = 1000
+#: Bytes from which a table in fewer splits than there are cores is spread.
+SPREAD_FROM = 1 << 20
 
 INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 SUMS = ["count", "slack", "nulls"]
@@ -40,6 +43,11 @@ def unite(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def scanned_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of what is read."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def kind_of(data_type: T.DataType) -> str:
     """How values are carried: as integers, as doubles, or as text."""
     if isinstance(data_type, INTEGERS):
@@ -157,7 +165,7 @@ class ValueStates:
         """(column_no, whole, real, text, count, slack, nulls): sums of the states, written once; slack and nulls are in the row without a value."""
         parts, first = [], 0
         for df in self.tables.values():
-            parts.append(_states(df, first, self.capacity, self.rows_at_once))
+            parts.append(_states(spread(df) if scanned_bytes(df) >= SPREAD_FROM else df, first, self.capacity, self.rows_at_once))
             first += len(df.schema.fields)
         return stable(unite(parts).groupBy("column_no", "whole", "real", "text").agg(*[F.sum(c).alias(c) for c in SUMS]))
 

@@ -11,7 +11,7 @@ from tablesage.operators import column_ranking, context, literals, profiling, qu
 from tablesage.operators.numbering import top_per_group
 from tablesage.operators.value_states import ValueStates
 from tablesage.plans.inputs import (
-    DB, INTENT, LINKED, QLOG, QST, cells_sql, columns_sql, intents, linked_tables, query_log, questions, given, select, spread_table,
+    DB, INTENT, LINKED, QLOG, QST, cells_sql, columns_sql, intents, linked_tables, query_log, questions, given, select, spread_table, tables_of,
 )
 from tablesage.plans.registry import query
 from tablesage.session import stable
@@ -44,7 +44,7 @@ SELECT question_id, table_name, column_name, phrase, value, CAST(rank AS INT) AS
  'Value ''' || phrase || ''' matches value ''' || value || ''' in table ''' || table_name || ''', column ''' || column_name || '''' AS hint
 FROM ranked WHERE rank <= 10""")
 def link_values(spark, sf_dir):
-    tables = linked_tables(spark, sf_dir)
+    tables = tables_of(spark, sf_dir, LINKED)
     columns = profiling.column_metadata(spark, tables, DB)
     values = _values(ValueStates(tables))
     return value_links.link_values(questions(spark, sf_dir), values, columns).drop("db_id")
@@ -81,7 +81,7 @@ def _typo_literals(spark, sf_dir):
 
 @query("link_literals_fuzzy")
 def link_literals_fuzzy(spark, sf_dir):
-    profiles = profiling.profile_tables(linked_tables(spark, sf_dir), DB)
+    profiles = profiling.profile_tables(tables_of(spark, sf_dir, LINKED), DB)
     return literals.fuzzy_literal_matches(_typo_literals(spark, sf_dir), literals.frequent_values(profiles))
 
 
@@ -92,7 +92,7 @@ TOP_VALUES = f"""top AS (SELECT table_name, column_name, value FROM (SELECT *, r
 @query("link_literals_exact", f"""WITH {TOP_VALUES}
 SELECT question_id, literal, table_name, column_name, value AS matched_value FROM ({TYPO_LITERALS}) JOIN top ON lower(literal) = lower(value)""")
 def link_literals_exact(spark, sf_dir):
-    top = profiling.top_values(ValueStates(linked_tables(spark, sf_dir)))
+    top = profiling.top_values(ValueStates(tables_of(spark, sf_dir, LINKED)))
     values = literals.frequent_values(top.withColumn("db_id", F.lit(DB)))
     matches = literals.exact_literal_matches(_typo_literals(spark, sf_dir), values)
     return matches.select("question_id", "literal", "table_name", "column_name", "matched_value")
@@ -100,7 +100,7 @@ def link_literals_exact(spark, sf_dir):
 
 @query("retrieve_columns")
 def retrieve_columns(spark, sf_dir):
-    profiles = profiling.profile_tables(linked_tables(spark, sf_dir), DB)
+    profiles = profiling.profile_tables(tables_of(spark, sf_dir, LINKED), DB)
     found = column_ranking.retrieve_columns(intents(spark, sf_dir), profiles)
     return found.select("question_id", "table_name", "column_name", F.round("semantic_score", 6).alias("semantic_score"))
 
@@ -151,7 +151,7 @@ def _matches(spark, sf_dir, profiles):
 
 
 def _features(spark, sf_dir):
-    tables = linked_tables(spark, sf_dir)
+    tables = tables_of(spark, sf_dir, LINKED)
     # Profiles are made once and used by several steps.
     states = ValueStates(tables)
     profiles = stable(profiling.profile_tables(tables, DB, states=states))

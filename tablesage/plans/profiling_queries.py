@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tablesage.operators import profiling
 from tablesage.operators.value_states import ValueStates
-from tablesage.plans.inputs import COLUMNS, DB, STAR, cells_sql, columns_sql, select, star_tables
+from tablesage.plans.inputs import COLUMNS, DB, STAR, cells_sql, columns_sql, select, star_tables, tables_of
 from tablesage.plans.registry import query
 
 EXTREMES = "\nUNION ALL ".join(
@@ -34,12 +34,12 @@ FROM (SELECT table_name, column_name, count(*) AS total_rows, count(*) - count(v
  CAST(count(*) - count(value) AS DOUBLE) / count(*) AS null_ratio, count(DISTINCT value) AS distinct_count
  FROM ({cells_sql(STAR)}) GROUP BY table_name, column_name) c JOIN ({EXTREMES}) e USING (table_name, column_name)""")
 def profile_table(spark, sf_dir):
-    return profiling.column_counts(ValueStates(star_tables(spark, sf_dir)))
+    return profiling.column_counts(ValueStates(tables_of(spark, sf_dir, STAR)))
 
 
 @query("profile_topk", f"WITH {RANKED} SELECT table_name, column_name, CAST(rank AS INT) AS rank, value, cnt FROM top")
 def profile_topk(spark, sf_dir):
-    top = profiling.top_values(ValueStates(star_tables(spark, sf_dir)))
+    top = profiling.top_values(ValueStates(tables_of(spark, sf_dir, STAR)))
     return top.select("table_name", "column_name", F.posexplode("top_values").alias("at", "e")).select(
         "table_name", "column_name", (F.col("at") + 1).alias("rank"), "e.value", F.col("e.count").alias("cnt")
     )
@@ -47,7 +47,7 @@ def profile_topk(spark, sf_dir):
 
 @query("profile_value_shape", f"WITH {RANKED}, {SHAPE}")
 def profile_value_shape(spark, sf_dir):
-    top = profiling.top_values(ValueStates(star_tables(spark, sf_dir)))
+    top = profiling.top_values(ValueStates(tables_of(spark, sf_dir, STAR)))
     return top.select("table_name", "column_name", profiling.value_shape(F.col("top_values.value")).alias("value_shape"))
 
 
@@ -65,7 +65,7 @@ SELECT 'tpch' AS db_id, table_name, 'CREATE TABLE `' || table_name || '` (' || c
  string_agg('  `' || column_name || '` ' || data_type || coalesce(' /* Samples: ' || samples || ' */', ''), ',' || chr(10) ORDER BY ordinal)
  || chr(10) || ');' AS ddl FROM ({columns_sql(STAR)}) LEFT JOIN shown USING (table_name, column_name) GROUP BY table_name""")
 def schema_ddl(spark, sf_dir):
-    return profiling.schema_text(profiling.profile_tables(star_tables(spark, sf_dir), DB))
+    return profiling.schema_text(profiling.profile_tables(tables_of(spark, sf_dir, STAR), DB))
 
 
 PROBES = """SELECT 'nation' AS table_name, 'n_name' AS column_name, c_name AS value FROM customer
