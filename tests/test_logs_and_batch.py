@@ -259,3 +259,63 @@ def test_dataset_run(spark, sf_dir):
     rows = QUERIES["dataset_run_rule_based"](spark, sf_dir).collect()
     assert len(rows) == 150 and all(r.predicted_sql.startswith("SELECT") for r in rows)
     assert all(r.num_original_candidates >= 15 for r in rows)
+
+
+def test_run_starts_again_where_it_stopped(spark, sf_dir, tmp_path):
+    """A run that is lost after its second stage is started again: no prompt of the first is asked once more."""
+    import json
+    import uuid
+
+    from tablesage.operators.inference import JUDGE_TASK
+    from tablesage.plans.dataset_run import RunConfig, run_dataset
+    from tablesage.plans.evaluation_queries import workload_model
+    from tablesage.plans.inputs import DB, questions, tables_of
+
+    log = tmp_path / "asked"
+    log.mkdir()
+
+    def model(texts, temperatures):
+        (log / uuid.uuid4().hex).write_text(json.dumps([f"{t}#{x}" for t, x in zip(texts, temperatures)]))
+        return ["A" if text.startswith(JUDGE_TASK) else answer for text, answer in zip(texts, workload_model(texts, temperatures))]
+
+    def asked():
+        return [p for f in log.iterdir() for p in json.loads(f.read_text())]
+
+    def lost(queries):
+        raise RuntimeError("the driver is lost")
+
+    tables = tables_of(spark, sf_dir, ["part", "customer"])
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+    settings = dict(config=RunConfig(selector="model", limit=4), record=str(tmp_path / "record"))
+    with pytest.raises(RuntimeError, match="lost"):
+        run_dataset(questions(spark, sf_dir), tables, DB, model, run=lost, **settings)
+    before = asked()
+    assert len(before) == 4 + 4 + 4 * 15  # intents, constraints, candidates
+    first = sorted(map(tuple, run_dataset(questions(spark, sf_dir), tables, DB, model, **settings).collect()))
+    after = asked()
+    assert len(after) > len(before) and not set(before) & set(after[len(before):]) - set(before)
+    assert sum(p in set(before) for p in after) == len(before)
+    assert any(p.startswith(JUDGE_TASK) for p in after)
+    second = sorted(map(tuple, run_dataset(questions(spark, sf_dir), tables, DB, model, **settings).collect()))
+    assert second == first and len(asked()) == len(after)
+
+
+def test_recorded_answers(spark, tmp_path):
+    from tablesage.operators.inference import RecordedModel
+
+    def model(texts, temperatures):
+        if any("bad" in t for t in texts):
+            raise ValueError("no")
+        return [t.upper() for t in texts]
+
+    def ask(rows, waves=3):
+        df = spark.createDataFrame(rows, "k int, prompt string, temperature double")
+        return {r.k: (r.answer, r.answer_error) for r in answer_prompts(df, RecordedModel(model, str(tmp_path / "a"), waves), ["k"], stage="s").collect()}
+
+    assert ask([(1, "x", 0.1), (2, "bad", 0.1), (3, "x", 0.1)]) == {1: ("X", None), 2: (None, "ValueError: no"), 3: ("X", None)}
+
+    def model(texts, temperatures):  # noqa: F811
+        return [t + "!" for t in texts]
+
+    assert ask([(1, "x", 0.1), (2, "bad", 0.1), (3, "y", 0.1), (4, "x", 0.1), (1, "x", 0.1)]) == {1: ("X", None), 2: ("bad!", None), 3: ("y!", None), 4: ("x!", None)}
