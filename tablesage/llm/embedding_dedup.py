@@ -99,7 +99,7 @@ def placed(vectors: DataFrame, threshold: float) -> DataFrame:
                 for at in range(0, (part := table.filter(pa.array(dimensions == d))).num_rows, 2000):
                     yield from place(part.slice(at, 2000)).to_batches()
 
-    return vectors.mapInArrow(each, "label string, dimension int, rep long, copies long, vector array<float>, cell long, home boolean")
+    return vectors.mapInArrow(each, "label string, dimension int, rep long, copies long, vector array<double>, cell long, home boolean")
 
 
 def compare(table: pa.Table, threshold: float) -> pa.Table:
@@ -145,16 +145,18 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     number of links of each vector and a link to the smallest one it is joined with.
 
     Vectors that are null, zero, or hold null or non-finite numbers, and rows with a null label or id, link with nothing;
-    their component is their own id. Rows that repeat an id and vector count as further copies. An empty table gives an
-    empty one; extra columns are left out.
+    their component is their own id. Rows are counted and joined by their own label and vector, not by their id: rows that
+    repeat all three count as further copies, and of an id with two labels or vectors each row has its own links and component.
+    An empty table gives an empty one; extra columns are left out.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(quoted(id_col).cast("long").alias("vec_id"), quoted(vector_col).cast("array<float>").alias("vector"), quoted(label_col).cast("string").alias("label"))
+    rows = vectors.select(quoted(id_col).cast("long").alias("vec_id"), quoted(vector_col).cast("array<double>").alias("vector"), quoted(label_col).cast("string").alias("label"))
     finite = F.forall("vector", lambda v: v.isNotNull() & (F.abs(v) < F.lit(float("inf"))) & ~F.isnan(v)) & F.exists("vector", lambda v: v != 0)
     usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite, F.lit(False))
     valid = rows.where(usable)
     unique = materialize(
-        valid.groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")).withColumn("dimension", F.size("vector")), "vectors"
+        valid.groupBy("label", "vector").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+        .withColumns({"dimension": F.size("vector"), "rep": F.monotonically_increasing_id()}), "vectors"
     )
     sizes = unique.groupBy("label", "dimension").agg(F.count(F.lit(1)).alias("n"))
     bits = F.least(F.greatest(F.floor(F.log2(F.col("n") / CELL)), F.lit(0)), F.col("dimension"), F.lit(CELL_BITS)).cast("int")
@@ -173,9 +175,11 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     found = materialize(tasks.applyInArrow(lambda table: compare(table, threshold), "rep long, links long, root long"), "vector-links")
     classes = components(found.where("rep != root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counted = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    joined = unique.select("rep", "first_id").join(classes.withColumnRenamed("node", "rep"), "rep")
+    smallest = joined.join(joined.groupBy("component").agg(F.min("first_id").alias("component_id")), "component").select("rep", "component_id")
     groups = materialize(
-        unique.join(counted, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")),
+        unique.join(counted, "rep", "left").join(smallest, "rep", "left")
+        .select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "first_id").alias("component_id")),
         "vector-groups",
     )
     linked = valid.join(groups.hint("merge"), ["label", "vector"]).select("vec_id", "n_links", "component_id")

@@ -166,3 +166,18 @@ def test_lowest_estimate_is_a_bound():
     cosine, near = (x * y).sum(1), (x * y).sum(1) >= 0.98
     assert near.any() and (estimate[near] >= embedding_dedup.lowest_estimate(factors, 0.98)[near] - embedding_dedup.SLACK).all()
     assert abs((estimate - cosine).mean()) < 0.01  # unbiased
+
+
+def test_near_vectors_of_one_id_in_two_labels(spark):
+    """Rows have the links of their own vector and label; doubles are compared as doubles."""
+    same, other = [1.0, 2.0, 3.0], [3.0, -1.0, 0.5]
+    rows = [(1, "a", same), (2, "a", same), (1, "b", other), (3, "b", other), (1, "a", other), (7, "c", [1.0, 1e-9]), (8, "c", [1.0, 1.1e-9])]
+    found = near_vectors(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in found) == [
+        (1, 0, 1, True), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (7, 1, 7, True), (8, 1, 7, False),
+    ]
+    edge = 0.98
+    x, y = [1.0, 0.0], [edge, float(np.sqrt(1 - edge**2)) * (1 + 1e-9)]
+    pair = spark.createDataFrame([(1, "a", x), (2, "a", y)], "vec_id long, label string, embedding array<double>")
+    cosine = np.dot(x, y) / (np.linalg.norm(x) * np.linalg.norm(y))
+    assert [r.n_links for r in near_vectors(pair).collect()] == [int(cosine >= edge)] * 2
