@@ -25,7 +25,7 @@ SCRIPTS = sorted({script for _, script in RANGES})
 SCRIPT_OF = np.array([SCRIPTS.index(script) for _, script in RANGES])
 #: Labelled rows that are learned from at most; buckets of the byte n-grams; n-gram lengths.
 SAMPLE, BUCKETS, LENGTHS = 8_000, 1 << 16, (1, 2, 3, 4)
-#: Cost in log units of changing the language between words, and of a script that the language was not seen in.
+#: Cost in log units of changing the language between words; how far languages not seen in a word's script stand behind the last that is.
 SWITCH, FOREIGN_SCRIPT = 12.0, 25.0
 #: A script is a language's when so large a share of its words has it.
 SCRIPT_SHARE = 0.01
@@ -88,13 +88,15 @@ class WordScores(dict):
         if not self.fresh:
             return
         buckets, owners = grams(self.fresh)
-        scores = np.empty((len(self.fresh), self.weights.shape[1]), np.float32)
-        for k in range(self.weights.shape[1]):
-            scores[:, k] = np.bincount(owners, self.weights[buckets, k], len(self.fresh))
         script = script_numbers(self.fresh)
         known = self.scripts[script]
         known[~known.any(axis=1)] = True  # a script of no language speaks against none
-        scores -= np.where(known, 0, FOREIGN_SCRIPT).astype(np.float32)
+        scores = np.full(known.shape, np.inf, np.float32)
+        for k in range(known.shape[1]):  # a language is scored for the words in its scripts alone
+            own = known[owners, k]
+            scores[known[:, k], k] = np.bincount(owners[own], self.weights[buckets[own], k], len(self.fresh))[known[:, k]]
+        if known.shape[1]:
+            scores = np.where(known, scores, scores.min(1, keepdims=True) - np.float32(FOREIGN_SCRIPT))
         scores[script < 0] = 0
         self.table = np.concatenate([self.table, scores])
         self.letters = np.concatenate([self.letters, script >= 0])
@@ -103,24 +105,25 @@ class WordScores(dict):
 
 def viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """The best language of each word: texts advance together, one word a step; ``scores`` has a row per word."""
-    labels = np.zeros(len(scores), np.int8)
+    number = np.int8 if scores.shape[1] <= 127 else np.int32
+    labels = np.zeros(len(scores), np.int32)
     order = np.argsort(-lengths, kind="stable")
     starts, lengths = starts[order], lengths[order]
-    back = np.zeros(scores.shape, np.int8)
+    back = np.zeros(scores.shape, number)
     steps = int(lengths[0]) if len(lengths) else 0
     active = np.searchsorted(-lengths, -np.arange(1, steps + 1), "right")  # texts longer than the step
-    best = np.zeros((len(lengths), scores.shape[1]), np.float32)
-    own = np.arange(scores.shape[1], dtype=np.int8)
+    best = np.zeros((len(lengths), scores.shape[1]))
+    own = np.arange(scores.shape[1], dtype=number)
     for step in range(steps):
         n = active[step]
         at, now = starts[:n] + step, best[:n]
         if step:
             top = now.argmax(1)
-            other = now[np.arange(n), top][:, None] - np.float32(switch)
-            back[at] = np.where(now >= other, own, top[:, None].astype(np.int8))
+            other = now[np.arange(n), top][:, None] - switch
+            back[at] = np.where(now >= other, own, top[:, None].astype(number))
             now = np.maximum(now, other)
         best[:n] = now + scores[at]
-    last = best.argmax(1).astype(np.int8)
+    last = best.argmax(1).astype(np.int32)
     for step in range(steps - 1, -1, -1):
         n = active[step]
         at = starts[:n] + step
@@ -152,7 +155,7 @@ class LanguageModel:
 
         def label(batches):
             known = WordScores(weights, scripts)
-            for batch in slices(batches, 4000, TOGETHER):
+            for batch in slices(batches, 4000, TOGETHER * 8 // max(8, len(languages))):
                 if len(known) >= REMEMBERED:
                     known = WordScores(weights, scripts)
                 numbers, sizes, lengths = [], [], []
@@ -166,7 +169,7 @@ class LanguageModel:
                 starts = np.cumsum(lengths) - lengths
                 number = np.concatenate(numbers) if numbers else np.zeros(0, np.int32)
                 size = np.where(known.letters[number], np.concatenate(sizes), 0) if len(number) else np.zeros(0)
-                labels = viterbi(known.table[number], starts, lengths) if languages else np.zeros(len(number), np.int8)
+                labels = viterbi(known.table[number], starts, lengths) if languages else np.zeros(len(number), np.int32)
                 owner = np.repeat(np.arange(len(lengths)), lengths)
                 share = np.zeros((len(lengths), max(1, len(languages))))
                 for k in range(share.shape[1]):

@@ -164,3 +164,21 @@ def test_stretches_against_all_cuts():
         scores = rng.uniform(-3, 3, rng.integers(0, 10))
         got = [(s[0][0], s[-1][1]) for s in stretches([(i, i + 1, x) for i, x in enumerate(scores)])]
         assert got == best_first(scores, 0, len(scores))
+
+
+def test_many_languages_and_scripts():
+    """Labels beyond 127 keep their numbers, and a word is scored for the languages of its script alone."""
+    from tablesage.llm.language_id import FOREIGN_SCRIPT, SCRIPTS, WordScores, viterbi
+
+    scores = np.zeros((3, 200), np.float32)
+    scores[:, 150] = 5
+    assert viterbi(scores, np.array([0]), np.array([3])).tolist() == [150] * 3
+    weights = np.random.default_rng(1).normal(size=(1 << 16, 3)).astype(np.float32)
+    scripts = np.zeros((len(SCRIPTS), 3), bool)
+    scripts[SCRIPTS.index("latin"), :2] = scripts[SCRIPTS.index("greek"), 2] = True
+    known = WordScores(weights, scripts)
+    assert [known[w] for w in ("word", "λέξη", "слово", "12")] == [0, 1, 2, 3]
+    known.learn()
+    latin, greek, cyrillic, digits = known.table
+    assert np.isclose(latin[2], latin[:2].min() - FOREIGN_SCRIPT) and (greek[:2] == greek[2] - np.float32(FOREIGN_SCRIPT)).all()
+    assert np.isfinite(cyrillic).all() and (digits == 0).all()
