@@ -21,31 +21,58 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 MASK = "[SECRET]"
 
 
+class Aside:
+    """A table whose columns are set aside under names that no result column has."""
+
+    def __init__(self, docs: DataFrame):
+        self.names = {name: f"_column{i}" for i, name in enumerate(docs.columns)}
+        self.id, self.text = self.names["doc_id"], self.names["text"]
+        self.docs = docs.select(*[quoted(c).alias(n) for c, n in self.names.items()])
+
+    def back(self, rows: DataFrame) -> DataFrame:
+        return rows.select(*[F.col(n).alias(c) for c, n in self.names.items()])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go. It learns from the labels that no test holds out."""
+    """Documents that the toxicity model rejects go. It learns from the labels that no test holds out. Columns of any name stay as they are."""
     ship_package(spark)
     model = fit_toxicity(docs, table(spark, sf_dir, "labels").where(~held_out(5, 0)))
-    return model.transform(docs).where("predicted = 0").select(*map(quoted, docs.columns))
+    aside = Aside(docs)
+    return aside.back(model.transform(aside.docs, aside.text).where("predicted = 0"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id stays."""
+    """Of equal texts, the document with the largest id stays. Columns of any name stay as they are."""
     ship_package(spark)
-    return exact_dedup(docs).where("kept").select(*map(quoted, docs.columns))
+    aside = Aside(docs)
+    return aside.back(exact_dedup(aside.docs, aside.id, aside.text).where("kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked documents, the one with the smallest id stays. Ids may be null; such documents stay."""
+    """Of linked documents, one with the smallest id stays (null counts as larger than any).
+
+    Documents are told apart by a 64-bit hash of id and text, so ids may repeat or be null: which document goes is decided by
+    its own links. Rows equal in both are one document here and stay or go together; exact copies are the stage before's.
+    """
     ship_package(spark)
-    linked = ngram_jaccard(docs).where("doc_id != component_id").select("doc_id")
-    return docs.join(linked, "doc_id", "left_anti").select(*map(quoted, docs.columns))
+    key = F.xxhash64("doc_id", "text").alias("_document")
+    rows = docs.select(key, "doc_id", "text")
+    linked = ngram_jaccard(rows, id_col="_document").select(F.col("doc_id").alias("_document"), "component_id").distinct()
+    in_groups = materialize(linked.join(linked.where("_document != component_id").select("component_id").distinct(), "component_id"), "near-copies")
+    ids = rows.select("_document", "doc_id").join(in_groups, "_document")
+    stays = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_document"))["_document"].alias("stays"))
+    goes = in_groups.join(stays, "component_id").where("_document != stays").select("_document")
+    aside = Aside(docs)
+    named = aside.docs.withColumn("_document", F.xxhash64(aside.id, aside.text))
+    return aside.back(named.join(goes, "_document", "left_anti"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; secrets in its text give way to a mask."""
+    """Every document stays; secrets in its text give way to a mask, and ``n_chars``, where there is one, counts anew."""
     ship_package(spark)
-    masked = secret_scan(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, mask=MASK)
-    return masked.withColumn("n_chars", F.length("text").cast("long")).select(*map(quoted, docs.columns))
+    aside = Aside(docs)
+    masked = aside.back(secret_scan(aside.docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, text_col=aside.text, mask=MASK))
+    return masked.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else masked
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,3 +34,21 @@ def test_names_and_empty(spark, sf_dir):
     for name, stage in corpus_pipeline.STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)
         assert docs.count() == 0
+
+
+def test_clashing_columns_and_repeated_ids(spark, sf_dir):
+    """Columns named as results stay as they are, and a row goes for its own text, not for one that shares its id."""
+    base = " ".join(f"word{i} other{i}" for i in range(60))
+    clean = " ".join(f"unrelated{i} thing{i}" for i in range(60))
+    near = base.replace("word30", "changed")
+    rows = [(1, base), (2, near), (2, clean), (None, near.replace("word40", "again")), (None, "a text of its own"), (3, "password=hunter2222 it is")]
+    docs = spark.createDataFrame([(*r, f"s{i}", f"k{i}", [f"x{i}"], i, i, i) for i, r in enumerate(rows)],
+                                 "doc_id long, text string, score string, kept string, secret_spans array<string>, predicted int, keep_id int, group_size int")
+    own = {r.score: tuple(r)[2:] for r in docs.collect()}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), "clashes")
+    found = docs.collect()
+    assert sorted(r.score for r in found) == ["s0", "s2", "s4", "s5"]
+    assert all(tuple(r)[2:] == own[r.score] for r in found)
+    assert {r.score: r.text for r in found}["s5"] == "[SECRET] it is"
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == 4
