@@ -147,22 +147,38 @@ def level_tournament(groups: DataFrame, level: Column | None = None) -> DataFram
     return numbered(scored, ["question_id"], along, [F.col("first_pos")], "rank", start=1).drop("same", "below", "rivals")
 
 
-def judged_pairs(representatives: DataFrame, payload: list[str]) -> DataFrame:
-    """The pairs a pairwise judge has to look at: (question_id, a_*, b_*), a before b.
+def judge_schedule(representatives: DataFrame) -> DataFrame:
+    """(question_id, round, a_candidate_id, b_candidate_id): a round robin of each question's representatives, a before b.
 
-    For judges that read both candidates (a model, a learned preference), where each pair is
-    a judgement of its own. Takes representatives of distinct results, never raw candidates.
-    Each row asks for its predecessors by number and is joined on (question, number), so a
-    question with many results is spread over all tasks.
+    Made by arithmetic on their numbers (the circle method): with m the least odd number that is no smaller than the count
+    less one, numbers i < j meet in round (i + j) mod m, and the last of an even count meets i in round 2i mod m. Nobody
+    plays twice in a round. Takes representatives of distinct results, never raw candidates; rows hold ids alone, and the
+    partners are fetched by an equi-join on (question, number).
     """
     along = [Along(F.floor(F.col("first_pos") / POSITIONS_PER_CHUNK))]
-    lined = numbered(representatives, ["question_id"], along, [F.col("first_pos")], "_at")
-    later = lined.filter(F.col("_at") > 0).select(
-        "question_id", *[F.col(c).alias(f"b_{c}") for c in payload],
-        F.explode(F.sequence(F.lit(0), F.col("_at").cast("int") - 1)).alias("_partner"),
+    lined = numbered(representatives.select("question_id", "candidate_id", "first_pos"), ["question_id"], along, [F.col("first_pos")], "_at")
+    lined = lined.join(representatives.groupBy("question_id").agg(F.count(F.lit(1)).alias("_n")), "question_id")
+    cycle = F.col("_n") - 1 + F.col("_n") % 2
+    first = F.col("_partner")
+    number = F.when((F.col("_at") == F.col("_n") - 1) & (F.col("_n") % 2 == 0), 2 * first % cycle).otherwise((first + F.col("_at")) % cycle)
+    later = lined.filter(F.col("_at") > 0).withColumn("_partner", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_at").cast("long") - 1))).select(
+        "question_id", "_partner", number.cast("long").alias("round"), F.col("candidate_id").alias("b_candidate_id")
     )
-    earlier = lined.select("question_id", F.col("_at").cast("int").alias("_partner"), *[F.col(c).alias(f"a_{c}") for c in payload])
-    return later.join(earlier, ["question_id", "_partner"]).drop("_partner")
+    earlier = lined.select("question_id", F.col("_at").cast("long").alias("_partner"), F.col("candidate_id").alias("a_candidate_id"))
+    return later.join(earlier, ["question_id", "_partner"]).select("question_id", "round", "a_candidate_id", "b_candidate_id")
+
+
+def with_payload(pairs: DataFrame, candidates: DataFrame, payload: list[str]) -> DataFrame:
+    """Pairs of ids with what a judge reads, as a_* and b_*: fetched by key, where the judge is asked."""
+    for side in ("a", "b"):
+        rows = candidates.select("question_id", F.col("candidate_id").alias(f"{side}_candidate_id"), *[F.col(c).alias(f"{side}_{c}") for c in payload if c != "candidate_id"])
+        pairs = pairs.join(rows, ["question_id", f"{side}_candidate_id"])
+    return pairs
+
+
+def comparison_log(judged: DataFrame) -> DataFrame:
+    """What is kept of judged pairs: (question_id, round, a_candidate_id, b_candidate_id, winner, confidence)."""
+    return judged.select("question_id", "round", "a_candidate_id", "b_candidate_id", "winner", F.col("confidence").cast("double").alias("confidence"))
 
 
 def judged_tournament(representatives: DataFrame, comparisons: DataFrame) -> DataFrame:
@@ -190,7 +206,8 @@ def judged_tournament(representatives: DataFrame, comparisons: DataFrame) -> Dat
 def final_selection(candidates: DataFrame, groups: DataFrame, ranked: DataFrame) -> DataFrame:
     """One record per question: the winner, its SQL, the runners-up's margin and the counts.
 
-    ``ranked`` keeps the full ranking in long form; the record carries the first three. See :func:`select_ranked`.
+    ``ranked`` keeps the full ranking in long form; the record carries the first three, and in ``num_comparisons`` how many
+    rows of the comparison log are its question's. See :func:`select_ranked`.
     """
     podium = ranked.filter(F.col("rank") <= 3).groupBy("question_id").agg(
         F.max(F.when(F.col("rank") == 1, F.col("candidate_id"))).alias("best_candidate_id"),
@@ -202,6 +219,8 @@ def final_selection(candidates: DataFrame, groups: DataFrame, ranked: DataFrame)
         ).alias("ranked"),
         F.bool_and(F.coalesce("is_empty", F.lit(False))).alias("all_top_empty"),
     )
+    judged = ranked.groupBy("question_id").agg((F.sum("comparisons") / 2).cast("long").alias("num_comparisons"))
+    podium = podium.join(judged, "question_id")
     counts = groups.groupBy("question_id").agg(
         F.sum("group_size").alias("num_original_candidates"), F.count(F.lit(1)).alias("num_representatives")
     )

@@ -116,6 +116,38 @@ def tournament_scores(spark, sf_dir):
     return ranked.select("question_id", "candidate_id", F.col("score").cast("double").alias("score"), "rank")
 
 
+# A stand-in judge that reads the ids of a pair.
+SAID = "substr(md5('judge#' || a_candidate_id || '#' || b_candidate_id), 1, 1)"
+JUDGED = f"""{REPS}, lined AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY first_pos) - 1 AS at, count(*) OVER (PARTITION BY question_id) AS rivals FROM reps),
+met AS (SELECT a.question_id, a.candidate_id AS a_candidate_id, b.candidate_id AS b_candidate_id,
+ CASE WHEN b.at = b.rivals - 1 AND b.rivals % 2 = 0 THEN 2 * a.at % (b.rivals - 1) ELSE (a.at + b.at) % (b.rivals - 1 + b.rivals % 2) END AS round
+ FROM lined a JOIN lined b ON a.question_id = b.question_id AND a.at < b.at),
+log AS (SELECT *, CASE WHEN {SAID} < '6' THEN 'A' WHEN {SAID} < 'c' THEN 'B' ELSE 'tie' END AS winner, CASE WHEN {SAID} < 'c' THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END AS confidence FROM met)"""
+
+
+def _judged_log(spark, sf_dir):
+    groups = stable(selection.execution_groups(candidates(spark, sf_dir)))
+    said = F.substring(F.md5(F.concat_ws("#", F.lit("judge"), "a_candidate_id", "b_candidate_id")), 1, 1)
+    winner = F.when(said < "6", F.lit("A")).when(said < "c", F.lit("B")).otherwise(F.lit("tie"))
+    pairs = selection.judge_schedule(groups).withColumn("winner", winner)
+    sure = F.when(F.col("winner") == "tie", selection.TIE_CONFIDENCE).otherwise(selection.WIN_CONFIDENCE)
+    return groups, selection.comparison_log(pairs.withColumn("confidence", sure))
+
+
+@query("comparison_log", f"WITH {JUDGED} SELECT question_id, round, a_candidate_id, b_candidate_id, winner, confidence FROM log")
+def comparison_log(spark, sf_dir):
+    return _judged_log(spark, sf_dir)[1]
+
+
+@query("judged_ranking", f"""WITH {JUDGED}, won AS (SELECT question_id, a_candidate_id AS candidate_id, CASE winner WHEN 'A' THEN 0.8 WHEN 'B' THEN 0 ELSE 0.25 END AS w FROM log
+ UNION ALL SELECT question_id, b_candidate_id, CASE winner WHEN 'B' THEN 0.8 WHEN 'A' THEN 0 ELSE 0.25 END FROM log),
+scored AS (SELECT r.question_id, r.candidate_id, r.first_pos, coalesce(sum(w), 0) AS score, count(w) AS comparisons FROM reps r LEFT JOIN won USING (question_id, candidate_id) GROUP BY ALL)
+SELECT question_id, candidate_id, CAST(score AS DOUBLE) AS score, comparisons, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, first_pos) AS rank FROM scored""")
+def judged_ranking(spark, sf_dir):
+    ranked = selection.judged_tournament(*_judged_log(spark, sf_dir))
+    return ranked.select("question_id", "candidate_id", F.col("score").cast("double").alias("score"), "comparisons", "rank")
+
+
 FINAL = f"""{SCORES}, final AS (SELECT question_id, max(CASE WHEN rank = 1 THEN candidate_id END) AS best_candidate_id, max(CASE WHEN rank = 1 THEN score END) AS best_score,
  max(CASE WHEN rank = 2 THEN score END) AS second_score, bool_and(coalesce(is_empty, false)) FILTER (rank <= 3) AS all_top_empty, count(*) AS num_representatives FROM ranked GROUP BY question_id)"""
 SQL_TEXT = "concat('SELECT ', source, ' FROM t WHERE k = ', coalesce(cast(row_count as string), 'NULL'))"

@@ -73,7 +73,9 @@ def test_level_tournament_equals_pairs(spark):
     order = sorted(range(20), key=lambda i: (-round(wanted[i], 6), i))
     assert [got[i].rank for i in order] == list(range(1, 21))
     # The same scores come out of judged pairs.
-    pairs = selection.judged_pairs(ranked, ["candidate_id", "level"])
+    schedule = selection.judge_schedule(ranked)
+    assert schedule.columns == ["question_id", "round", "a_candidate_id", "b_candidate_id"]
+    pairs = selection.with_payload(schedule, ranked, ["level"])
     winner = training_sets.winner_of(F.col("a_level"), F.col("b_level"))
     judged = pairs.withColumn("winner", winner).withColumn("confidence", F.when(F.col("winner") == "tie", 0.5).otherwise(0.8))
     assert judged.count() == 190
@@ -81,6 +83,18 @@ def test_level_tournament_equals_pairs(spark):
     assert again == {i: (float(got[i].score), got[i].rank) for i in range(20)}
 
 
+def test_nobody_plays_twice_in_a_round(spark):
+    rows = [(f"q{n}", f"q{n}_{i}", 3 * i) for n in (1, 2, 3, 6, 7, 12) for i in range(n)]
+    schedule = selection.judge_schedule(spark.createDataFrame(rows, "question_id string, candidate_id string, first_pos long")).collect()
+    for n in (1, 2, 3, 6, 7, 12):
+        own = [r for r in schedule if r.question_id == f"q{n}"]
+        assert {(r.a_candidate_id, r.b_candidate_id) for r in own} == set(itertools.combinations([f"q{n}_{i}" for i in range(n)], 2))
+        assert len(own) == n * (n - 1) // 2 and {r.round for r in own} <= set(range(n - 1 + n % 2))
+        for number in {r.round for r in own}:
+            players = [p for r in own if r.round == number for p in (r.a_candidate_id, r.b_candidate_id)]
+            assert len(players) == len(set(players))
+
+
 def test_numbering_survives_one_big_group(spark):
     rows = spark.range(1000).select(F.when(F.col("id") < 900, 0).otherwise(F.col("id")).alias("g"), "id")
     got = numbered(rows, ["g"], [Along(F.floor(F.col("id") / 64))], [F.col("id")], "at")
