@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablesage.functions.binding import let
 from tablesage.operators.numbering import top_per_group
 from tablesage.operators.value_states import ValueStates, unite
+from tablesage.session import stable
 from tablesage.sources.catalog import column_metadata
 
 # Fixed values of the value-shape rules.
@@ -18,12 +20,8 @@ CODE_LENGTH = 6
 SHAPE_SHARE = 0.8
 
 KEYS = ["table_name", "column_name"]
-
-
-def _long_form(table: str, df: DataFrame) -> DataFrame:
-    """(table, column, value as text), one row per cell. A map-side generator: no shuffle."""
-    cells = F.array(*[F.struct(F.lit(f.name).alias("column_name"), F.col(f"`{f.name}`").cast("string").alias("value")) for f in df.schema.fields])
-    return df.select(F.lit(table).alias("table_name"), F.inline(cells))
+#: Values of a column that are asked for by a filter of its scan.
+FEW = 1000
 
 
 def column_counts(states: ValueStates) -> DataFrame:
@@ -164,13 +162,36 @@ def database_schema_text(table_texts: DataFrame, between: str = "\n\n") -> DataF
     return table_texts.groupBy("db_id").agg(F.array_join(F.transform(texts, lambda e: e["ddl"]), between).alias("ddl"))
 
 
-def values_exist(probes: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-    """Add ``value_exists`` to (table_name, column_name, value) probes.
+def values_exist(probes: DataFrame, tables: dict[str, DataFrame], few: int = FEW) -> DataFrame:
+    """Add ``value_exists`` to (table_name, column_name, value) probes: is there a cell with this text?
 
-    The cells are semi-joined with the probes first, so only cells that some probe asks
-    for are deduplicated.
+    Only columns that some probe asks for are scanned, each by itself. Where at most ``few`` different values are asked, the
+    scan is filtered by them in the column's own type, which reaches the file's statistics; where there are more, its cells are
+    semi-joined with the probes. Which way is decided when this is called, from one count for each asked column.
     """
     keys = [*KEYS, "value"]
-    cells = unite([_long_form(t, df) for t, df in tables.items()])
-    found = cells.join(probes.select(*keys).distinct(), keys, "left_semi").distinct().withColumn("value_exists", F.lit(True))
-    return probes.join(found, keys, "left").withColumn("value_exists", F.coalesce("value_exists", F.lit(False)))
+    asked = stable(probes.where("value IS NOT NULL").select(*keys).distinct())
+    columns = [(table, field) for table, df in tables.items() for field in df.schema.fields]
+    known = asked.sparkSession.createDataFrame([(t, f.name) for t, f in columns], "table_name string, column_name string")
+    counts = {(r.table_name, r.column_name): r["count"] for r in asked.join(known, KEYS, "left_semi").groupBy(*KEYS).count().collect()}
+    found = []
+    for table, field in columns:
+        n = counts.get((table, field.name), 0)
+        if n:
+            wanted = asked.where((F.col("table_name") == table) & (F.col("column_name") == field.name)).select("value")
+            found.append(_cells_among(tables[table], field, wanted, n <= few).select(F.lit(table).alias("table_name"), F.lit(field.name).alias("column_name"), "value"))
+    if not found:
+        return probes.withColumn("value_exists", F.lit(False))
+    met = unite(found).withColumn("value_exists", F.lit(True))
+    return probes.join(met, keys, "left").withColumn("value_exists", F.coalesce("value_exists", F.lit(False)))
+
+
+def _cells_among(table: DataFrame, field: T.StructField, wanted: DataFrame, few: bool) -> DataFrame:
+    """(value): the different texts of a column's cells that are among ``wanted`` (value)."""
+    column = F.col(f"`{field.name.replace('`', '``')}`")
+    plain = isinstance(field.dataType, (T.StringType, T.IntegralType, T.DecimalType, T.DateType))
+    if few and plain:  # texts that are no value of the type, or are written in another way than the type's, are in no cell
+        typed = wanted.select(F.col("value").try_cast(field.dataType).alias("typed")).where("typed IS NOT NULL")
+        listed = [r.typed for r in typed.collect()]
+        table = table.where(column.isin(listed)) if listed else table.limit(0)
+    return table.select(column.cast("string").alias("value")).join(wanted, "value", "left_semi").distinct()

@@ -9,6 +9,7 @@ from tablesage.functions.similarity import best_ratio
 from tablesage.functions.text import split_words
 from tablesage.operators.catalog_join import join_catalog
 from tablesage.operators.numbering import Along, listed, numbered
+from tablesage.operators.ordering import positions
 from tablesage.operators.selection import POSITIONS_PER_CHUNK, SOURCE_PRIORITY
 from tablesage.session import stable
 
@@ -349,11 +350,8 @@ def hash_split(rows: DataFrame, key: str = "question_id", dev_share: float = 0.1
     return rows.withColumn("split", F.when(dev, F.lit("dev")).otherwise(F.lit("train")))
 
 
-def positional_split(rows: DataFrame, chunk: Column, order: list[Column], train_share: float = 0.9) -> DataFrame:
-    """Add ``split``: the first share of the rows in ``order`` trains, the rest is held out.
-
-    ``chunk`` is a coarse key that rises with ``order``; see :func:`numbered`.
-    """
-    placed = numbered(rows, [], [Along(chunk)], order, "_at")
-    border = int(rows.count() * train_share)
-    return placed.withColumn("split", F.when(F.col("_at") < border, F.lit("train")).otherwise(F.lit("dev"))).drop("_at")
+def positional_split(rows: DataFrame, order: list[Along], train_share: float = 0.9) -> DataFrame:
+    """Add ``split``: the first share of the rows in ``order`` trains, the rest is held out."""
+    placed = positions(rows, [], order, "_at", total="_total")
+    first = F.col("_at") < F.floor(F.col("_total") * F.lit(train_share))
+    return placed.withColumn("split", F.when(first, F.lit("train")).otherwise(F.lit("dev"))).drop("_at", "_total")

@@ -76,5 +76,5 @@ UNION ALL SELECT 'customer', 'c_mktsegment', c_mktsegment FROM customer UNION AL
 SELECT p.table_name, p.column_name, p.value, c.value IS NOT NULL AS value_exists
 FROM probes p LEFT JOIN cells c USING (table_name, column_name, value)""")
 def value_exists(spark, sf_dir):
-    tables = star_tables(spark, sf_dir)
+    tables = tables_of(spark, sf_dir, STAR)
     return profiling.values_exist(select(spark, sf_dir, PROBES, ["customer"]).distinct(), tables)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablesage.operators import profiling, query_logs, training_sets
+from tablesage.operators.numbering import Along
 from tablesage.operators.preference import PreferenceModel
 from tablesage.plans.inputs import (
     CAND, COLUMNS, DB, LINKED, QLOG, QST, candidates, cells_sql, columns_sql, given, linked_tables, query_log, questions,
@@ -141,8 +142,7 @@ def preference_model(spark, sf_dir):
 def train_dev_split(spark, sf_dir):
     rows = unnumbered_candidates(spark, sf_dir).select("question_id", "candidate_id")
     by_question = training_sets.hash_split(rows).withColumnRenamed("split", "question_split")
-    chunk = F.floor(F.col("candidate_id") / 65536)
-    return training_sets.positional_split(by_question, chunk, [F.col("candidate_id")])
+    return training_sets.positional_split(by_question, [Along(F.col("candidate_id"))])
 
 
 RANKER_SQL = rf"""WITH top AS (SELECT table_name, column_name, lower(value) AS v FROM (SELECT *, row_number() OVER (PARTITION BY table_name, column_name ORDER BY cnt DESC, value) AS n

@@ -131,3 +131,18 @@ def test_states_against_plain_counts(spark, n, capacity, rows_at_once, ties):
             assert values.get((table, name), set()) == set(plain)
     if n and capacity < 20:
         assert states.slack and len(states.slack) < 7  # both ways were taken
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_values_exist(spark, tmp_path, few):
+    cells = [("a", 5, Decimal("1.50"), 0.5), ("b ", None, Decimal("2.00"), 1e10), (None, 7, None, None)]
+    spark.createDataFrame(cells, "s string, n int, d decimal(9,2), x double").write.parquet(str(tmp_path / "t"))
+    tables = {"t": spark.read.parquet(str(tmp_path / "t")), "u": spark.createDataFrame([], "s string")}
+    asked = [("t", "s", "a", True), ("t", "s", "b", False), ("t", "n", "5", True), ("t", "n", "05", False), ("t", "n", "x", False), ("t", "d", "1.50", True),
+             ("t", "d", "1.5", False), ("t", "x", "0.5", True), ("t", "x", "1.0E10", True), ("t", "none", "a", False), ("v", "s", "a", False), ("u", "s", "a", False),
+             ("t", "s", None, False), ("t", "s", "a", True)]
+    found = profiling.values_exist(spark.createDataFrame([r[:3] for r in asked], "table_name string, column_name string, value string"), tables, few)
+    assert sorted(map(str, found.collect())) == sorted(f"Row(table_name={t!r}, column_name={c!r}, value={v!r}, value_exists={e})" for t, c, v, e in asked)
+    plan = profiling.values_exist(spark.createDataFrame([("t", "n", "5")], "table_name string, column_name string, value string"), tables, few)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<n:int>" in plan and "ReadSchema: struct<s" not in plan
+    assert ("EqualTo(n,5)" in plan or "In(n, [5])" in plan) == (few > 0)

@@ -1,9 +1,12 @@
 import itertools
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tablesage.operators import hard_cases, metrics, selection, training_sets
 from tablesage.operators.numbering import Along, numbered
+from tablesage.operators.ordering import positions
 from tablesage.operators.preference import PreferenceModel
 from tablesage.operators.prompts import judge_winner
 
@@ -83,6 +86,33 @@ def test_level_tournament_equals_pairs(spark):
     assert again == {i: (float(got[i].score), got[i].rank) for i in range(20)}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_positions_and_ranks_in_any_order(spark, seed):
+    """Most rows share one value; ranges are many, so runs of equals go on over several borders."""
+    draw = random.Random(seed)
+    rows = [(i, draw.choice("abbbbbb"), None if draw.random() < 0.02 else 7.0 if draw.random() < 0.9 else draw.choice([-1e9, 0.5, 8.0, 9.0, 1e300])) for i in range(600)]
+    df = spark.createDataFrame(rows, "i int, g string, v double")
+    old = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for by, descending in (([], True), (["g"], True), (["g"], False)):
+            order = [Along(F.col("v"), descending=descending)]
+            level = lambda v: ((v is None, -(v or 0)) if descending else (v is not None, v or 0))
+            ranked = {r.i: r.place for r in positions(df, by, order, "place", start=1, ties=True).collect()}
+            placed = positions(df, by, order, "at", total="n").collect()
+            for i, g, v in rows:
+                rivals = [r for r in rows if not by or r[1] == g]
+                assert ranked[i] == 1 + sum(level(r[2]) < level(v) for r in rivals)
+            for group in "ab" if by else "x":
+                own = sorted((r.at, level(r.v)) for r in placed if not by or r.g == group)
+                assert [at for at, _ in own] == list(range(len(own))) and [x for _, x in own] == sorted(x for _, x in own)
+            assert {r.n for r in placed} == {600}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old[1])
+
+
 def test_nobody_plays_twice_in_a_round(spark):
     rows = [(f"q{n}", f"q{n}_{i}", 3 * i) for n in (1, 2, 3, 6, 7, 12) for i in range(n)]
     schedule = selection.judge_schedule(spark.createDataFrame(rows, "question_id string, candidate_id string, first_pos long")).collect()
