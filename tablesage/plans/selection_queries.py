@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tablesage.functions.digest import result_summary
 from tablesage.operators import batch, compare, hard_cases, selection
-from tablesage.plans.inputs import CAND, STAR, candidates, given, tables_of
+from tablesage.operators.value_states import unite
+from tablesage.plans.inputs import CAND, COLUMNS, STAR, candidates, given, tables_of
 from tablesage.plans.registry import query
 from tablesage.session import stable
 
@@ -52,31 +53,55 @@ def run_batch(spark, sf_dir):
     ).withColumn("diagnosis", F.when(F.col("success"), "").otherwise(F.col("diagnosis")))
 
 
-@query("result_digest", """SELECT 'orders' AS name, count(*) AS row_count, (SELECT count(*) FROM (SELECT DISTINCT o_custkey, o_orderstatus FROM orders)) AS distinct_rows FROM orders
-UNION ALL SELECT 'lineitem', count(*), (SELECT count(*) FROM (SELECT DISTINCT l_quantity, l_discount, l_shipdate FROM lineitem)) FROM lineitem""")
+DIGESTS = "\nUNION ALL ".join(
+    f"SELECT '{t}' AS name, count(*) AS row_count, (SELECT count(*) FROM (SELECT DISTINCT {names} FROM {t})) AS distinct_rows FROM {t}"
+    for table in STAR for t, names in [(table, ", ".join(c for c, _ in COLUMNS[table]))]
+)
+
+
+@query("result_digest", f"""{DIGESTS}
+UNION ALL SELECT 'order_status', count(*), (SELECT count(*) FROM (SELECT DISTINCT o_custkey, o_orderstatus FROM orders)) FROM orders
+UNION ALL SELECT 'shipments', count(*), (SELECT count(*) FROM (SELECT DISTINCT l_quantity, l_discount, l_shipdate FROM lineitem)) FROM lineitem""")
 def result_digest(spark, sf_dir):
     t = given(spark, sf_dir)
-    parts = [("orders", ["o_custkey", "o_orderstatus"]), ("lineitem", ["l_quantity", "l_discount", "l_shipdate"])]
-    found = [result_summary(t[n].select(*c)).select(F.lit(n).alias("name"), "row_count", "distinct_rows") for n, c in parts]
-    return found[0].unionByName(found[1])
+    parts = [(n, n, [c for c, _ in COLUMNS[n]]) for n in STAR]  # whole rows, and some with repeats
+    parts += [("order_status", "orders", ["o_custkey", "o_orderstatus"]), ("shipments", "lineitem", ["l_quantity", "l_discount", "l_shipdate"])]
+    found = [result_summary(t[table].select(*names)).select(F.lit(name).alias("name"), "row_count", "distinct_rows") for name, table, names in parts]
+    return unite(found)
+
+
+def _same(a: str, b: str) -> str:
+    return f"NOT EXISTS (({a} EXCEPT {b}) UNION ALL ({b} EXCEPT {a}))"
+
+
+ORDER_COLUMNS = ", ".join(c for c, _ in COLUMNS["orders"])
+ORDERS, DEAR = f"SELECT {ORDER_COLUMNS} FROM orders", "o_totalprice > (SELECT avg(o_totalprice) FROM orders)"
+TEXTS = ", ".join(f"CAST({c} AS VARCHAR)" for c in ("o_orderkey", "o_custkey", "o_orderstatus"))
 
 
-@query("results_equal", """SELECT * FROM (VALUES ('same_set', true), ('int_and_real', true), ('other_rows', false), ('text_typed', false), ('text_as_string', true)) AS v(name, equal)""")
+@query("results_equal", f"""SELECT 'same_set' AS name, {_same(ORDERS, f"(SELECT DISTINCT {ORDER_COLUMNS} FROM orders ORDER BY o_custkey)")} AS equal
+UNION ALL SELECT 'int_and_real', {_same("SELECT CAST(o_orderkey AS DOUBLE), CAST(o_custkey AS DOUBLE) FROM orders", "SELECT o_orderkey, o_custkey FROM orders")}
+UNION ALL SELECT 'other_rows', {_same(ORDERS, f"{ORDERS} WHERE {DEAR}")}
+UNION ALL SELECT 'customers', {_same("SELECT o_custkey FROM orders", f"SELECT o_custkey FROM orders WHERE {DEAR}")}
+UNION ALL SELECT 'repeats', {_same(ORDERS, f"({ORDERS} UNION ALL {ORDERS} WHERE {DEAR})")}
+UNION ALL SELECT 'text_typed', NOT EXISTS (SELECT 1 FROM orders)
+UNION ALL SELECT 'text_as_string', {_same(f"SELECT {TEXTS} FROM orders", "SELECT CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus FROM orders")}""")
 def results_equal(spark, sf_dir):
-    o = given(spark, sf_dir)["orders"]
-    keys = o.select("o_custkey")
+    o = given(spark, sf_dir)["orders"].select(*[c for c, _ in COLUMNS["orders"]])
+    keys = o.select("o_orderkey", "o_custkey", "o_orderstatus")
+    texts = keys.select(*[F.col(c).cast("string").alias(c) for c in keys.columns])
+    numbers = o.select("o_orderkey", "o_custkey")
+    dear = o.join(o.agg(F.avg("o_totalprice").alias("mean")), F.col("o_totalprice") > F.col("mean")).drop("mean")
     cases = [
-        ("same_set", keys, keys.distinct().orderBy("o_custkey"), "typed"),
-        ("int_and_real", keys, keys.select(F.col("o_custkey").cast("double")), "typed"),
-        ("other_rows", keys, keys.filter(F.col("o_custkey") > 5), "typed"),
-        ("text_typed", keys, keys.select(F.col("o_custkey").cast("string")), "typed"),
-        ("text_as_string", keys, keys.select(F.col("o_custkey").cast("string")), "string"),
+        ("same_set", o, o.distinct().orderBy("o_custkey"), "typed"),
+        ("int_and_real", numbers.select(*[F.col(c).cast("double") for c in numbers.columns]), numbers, "typed"),
+        ("other_rows", o, dear, "typed"),
+        ("customers", o.select("o_custkey"), dear.select("o_custkey"), "typed"),
+        ("repeats", o, o.unionByName(dear), "typed"),
+        ("text_typed", keys, texts, "typed"),
+        ("text_as_string", texts, keys, "string"),
     ]
-    frames = [compare.results_equal(a, b, mode).select(F.lit(n).alias("name"), "equal") for n, a, b, mode in cases]
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return out
+    return unite([compare.results_equal(a, b, mode).select(F.lit(n).alias("name"), "equal") for n, a, b, mode in cases])
 
 
 PRIORITY = "CASE source WHEN 'metadata_constrained_generator' THEN 5 WHEN 'evidence_focused_generator' THEN 5 WHEN 'reasoning_generator' THEN 4 WHEN 'join_focused_generator' THEN 4 WHEN 'icl_generator' THEN 3 WHEN 'simple_generator' THEN 2 ELSE 0 END"
