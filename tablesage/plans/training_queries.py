@@ -8,10 +8,10 @@ from tablesage.operators import profiling, query_logs, training_sets
 from tablesage.operators.numbering import Along
 from tablesage.operators.preference import PreferenceModel
 from tablesage.plans.inputs import (
-    CAND, COLUMNS, DB, LINKED, QLOG, QST, candidates, cells_sql, columns_sql, given, linked_tables, query_log, questions,
+    CAND, COLUMNS, DB, LINKED, QLOG, QST, candidates, cells_sql, columns_sql, given, linked_tables, query_log, questions, select,
     unnumbered_candidates,
 )
-from tablesage.plans.registry import query
+from tablesage.plans.registry import ORACLES, query
 from tablesage.session import stable
 
 SCORE_SQL = "CASE WHEN is_correct THEN 2.0::DOUBLE + greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1.0::DOUBLE - runtime_sec / 10.0::DOUBLE)) WHEN success AND row_count > 0 THEN 1.5::DOUBLE WHEN success THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
@@ -127,6 +127,29 @@ def preference_rows(spark, sf_dir):
     return rows.select("question_id", "candidate_a", "candidate_b", F.round("n_pairs", 6).alias("n_pairs"), "winner")
 
 
+# Contexts of the candidates' questions, longer than the compact form allows.
+CONTEXTS = """SELECT CAST(c_custkey AS BIGINT) AS question_id, 'tpch' AS db_id, concat('What does ', c_name, ' owe?') AS question, concat('segment ', c_mktsegment) AS evidence,
+ c_nationkey AS extra FROM customer"""
+
+
+@query("preference_contexts", f"""SELECT p.*, db_id, question, evidence,
+ array_to_string(list_transform(range(1, least(20 + extra, 30) + 1), lambda i: 't.c' || i), ',') AS top_columns, 'name -> ' || question AS matched,
+ array_to_string(list_transform(range(1, least(1 + extra, 10) + 1), lambda i: 'a.k' || i || ' = b.k' || i), ',') AS top_joins,
+ array_to_string(list_transform(range(1, least(extra % 12, 10) + 1), lambda i: 'rule ' || i), ',') AS business_rules
+FROM ({ORACLES['preference_rows']}) p JOIN ({CONTEXTS}) c USING (question_id)""")
+def preference_contexts(spark, sf_dir):
+    """Training pairs with the question and its compact context."""
+    numbered_texts = lambda n, text: F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: F.replace(F.lit(text), F.lit("#"), i.cast("string")))
+    extra = F.col("extra").cast("int")
+    contexts = select(spark, sf_dir, CONTEXTS, ["customer"]).select(
+        "question_id", "db_id", "question", "evidence", numbered_texts(20 + extra, "t.c#").alias("columns"), F.array(F.concat(F.lit("name -> "), "question")).alias("matched"),
+        F.array().cast("array<string>").alias("constraints"), numbered_texts(1 + extra, "a.k# = b.k#").alias("joins"), numbered_texts(extra % 12, "rule #").alias("rules"),
+    )
+    rows = training_sets.with_context(training_sets.preference_rows(_labeled(spark, sf_dir)), contexts)
+    lists = [F.array_join(f"context.{c}", ",").alias(c) for c in ("top_columns", "matched", "top_joins", "business_rules")]
+    return rows.select("question_id", "candidate_a", "candidate_b", F.round("n_pairs", 6).alias("n_pairs"), "winner", "db_id", "question", "evidence", *lists)
+
+
 @query("preference_model")
 def preference_model(spark, sf_dir):
     fields = ["candidate_id", "source", "success", "row_count", "column_count", "num_repairs"]
