@@ -3,16 +3,28 @@
 from __future__ import annotations
 
 import os
+import sys
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
-#: Words a worker remembers before it starts anew: bounds its memory, not what it encodes.
+#: Words that a worker remembers, in two generations of half as many: bounds its memory, not what it encodes.
 REMEMBERED = 500_000
 #: Below this character, letters are letters, and lower-cased one by one, in every Unicode version; beyond it the library decides.
 PLAIN = "İ"
 
 
+def plain(word: str) -> bool:
+    return word.isascii() or max(word) < PLAIN
+
+
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    numbers = array("I", ids)
+    if sys.byteorder == "big":
+        numbers.byteswap()
+    return numbers.tobytes()
+
+
 class _Irregular(Exception):
     """White space that a token may span: the whole text goes through the library at once."""
 
@@ -39,27 +51,34 @@ class WordEncoder(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.kind, self.remembered = kind, remembered
+        self.kind, self.remembered = kind, max(1, remembered // 2)
+        self.older: dict[str, bytes] = {}
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.letters = _byte_letters()
+        self.space = self.letters[32]
         self.newline = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return packed(self.library.encode(text, add_special_tokens=False).ids)
 
     def _word(self, word: str, space: str) -> bytes:
         """A piece that is one word of letters is one step of the model; anything else takes the library's way."""
-        if word.isalpha() and max(word) < PLAIN:
-            shown = (space + word).encode().decode("latin1").translate(self.letters)
-            return np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+        if word.isalpha() and plain(word):
+            shown = self.space + word if space else word
+            if not word.isascii():
+                shown = (space + word).encode().decode("latin1").translate(self.letters)
+            return packed([t.id for t in self.model.tokenize(shown)])
         return self.whole(space + word)
 
     def __missing__(self, piece: str) -> bytes:
+        if (known := self.older.get(piece)) is not None:
+            self[piece] = known
+            return known
         if self.kind == "word":
             if len(piece) > 1 and piece[-1] in ",." and piece[-2].isalpha() and piece[-2] < PLAIN:
                 ids = self[piece[:-1]] + self[piece[-1]]
-            elif piece.isalpha() and max(piece) < PLAIN and not piece.islower():
+            elif not piece.islower() and piece.isalpha() and plain(piece):
                 ids = self[piece.lower()] if piece.lower().islower() else self.whole(piece)
             else:
                 ids = self._word(piece, "")
@@ -74,6 +93,7 @@ class WordEncoder(dict):
             else:
                 ids = self._word(word, "" if mark else " ")
         if len(self) >= self.remembered:
+            self.older = dict(self)
             self.clear()
         self[piece] = ids
         return ids
