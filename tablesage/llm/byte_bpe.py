@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 from tablesage.functions.binding import let
 from tablesage.llm.common import quoted, slices, texts_of
 
-#: No rank: the pair does not merge.
-NEVER = 2**31 - 1
+#: No rank, and no token: a pair of this rank does not merge, and a pair with this token has this rank.
+NEVER = 65_535
 #: Two primes; a pair of ids below 65,536 is known by its remainders, since their product exceeds 2^32.
 SPREAD, SLOTS = 65_521, 524_287
 #: Longer than any array.
 ALL = 1 << 30
+#: Bytes of a chunk of a long word, and tokens of a long list whose pieces are joined at a time.
+CHUNK, JOINED = 48, 1024
 #: Pieces a task remembers before it starts anew: bounds memory, changes no result.
 REMEMBERED = 500_000
 
@@ -30,17 +32,36 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, file)}
 
 
+def orderly(ranks: dict[bytes, int]) -> bool:
+    """Whether ranks never fall while a text is merged.
+
+    What happens inside the bytes of a token does not depend on what is around them, so it is enough to merge each word
+    of the vocabulary.
+    """
+    for word in ranks:
+        parts, last = [word[i : i + 1] for i in range(len(word))], -1
+        while len(parts) > 1:
+            rank, at = min((ranks.get(a + b, NEVER), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+            if rank < last:
+                return False
+            if rank == NEVER:
+                break
+            parts[at : at + 2], last = [parts[at] + parts[at + 1]], rank
+    return True
+
+
 @lru_cache(maxsize=2)
 def rank_table(path: str) -> dict[str, list]:
-    """The ranks of pairs of ids whose bytes make a word, as arrays of which two are looked at.
+    """The ranks of pairs of ids whose bytes make a word, as arrays of which two are looked at for a pair.
 
     A pair's slot is (key mod SLOTS + moves[key mod SPREAD]) mod SLOTS with key = left * 65536 + right; the slot holds
-    key * 65536 + rank, so one look tells whether the pair merges. Besides, ``byte_ids`` has the id of each byte,
-    ``byte_pairs`` the rank of each pair of bytes, and ``words`` the bytes of each id. The vocabulary bounds all sizes.
+    key * 65536 + rank, so one look tells whether the pair merges. Besides, ``first`` has rank * 2^32 + id for each byte
+    and the byte behind it (256: none), ``words`` the bytes of each id, ``lengths`` their number, and ``orderly`` tells
+    whether long words may be merged in chunks. The vocabulary bounds all sizes.
     """
     ranks = read_ranks(path)
-    if max(ranks.values()) >= 1 << 16:
-        raise ValueError("vocabularies of up to 65,536 words are supported")
+    if max(ranks.values()) >= NEVER:
+        raise ValueError("vocabularies of up to 65,535 words are supported")
     pairs = {
         (ranks[word[:k]] << 16) + ranks[word[k:]]: rank
         for word, rank in ranks.items() for k in range(1, len(word)) if word[:k] in ranks and word[k:] in ranks
@@ -59,16 +80,14 @@ def rank_table(path: str) -> dict[str, list]:
     words = [b""] * (max(ranks.values()) + 1)
     for word, rank in ranks.items():
         words[rank] = word
-    return {
-        "moves": moves, "slots": slots, "words": words, "byte_ids": [ranks[bytes([b])] for b in range(256)],
-        "byte_pairs": [ranks.get(bytes([a, b]), NEVER) for a in range(256) for b in range(256)],
-    }
+    first = [((ranks.get(bytes([a, b]), NEVER) if b < 256 else NEVER) << 32) + ranks[bytes([a])] for a in range(256) for b in range(257)]
+    return {"moves": moves, "slots": slots, "words": words, "first": first, "lengths": list(map(len, words)), "orderly": [orderly(ranks)]}
 
 
 def rank_map(spark: SparkSession, path: str) -> Column:
     """The rank table as one constant struct, read once and sent with the tasks; its size is the vocabulary's."""
     known = rank_table(path)
-    kinds = {"words": pa.binary(), "slots": pa.int64()}
+    kinds = {"words": pa.binary(), "slots": pa.int64(), "first": pa.int64(), "orderly": pa.bool_()}
     columns = {name: pa.array([x], pa.list_(kinds.get(name, pa.int32()))) for name, x in known.items()}
     return spark.createDataFrame(pa.table(columns)).select(F.struct(*columns)).scalar()
 
@@ -76,49 +95,86 @@ def rank_map(spark: SparkSession, path: str) -> Column:
 def encode_words(words: Column, ranks: Column) -> Column:
     """Token ids of each word, given as an array of its bytes: the lowest-ranked pair, leftmost first, merges until none can.
 
-    The fold's state is the tokens, behind a stand-in for the start, and the rank of each token with the next. A merge
-    changes one token and two pairs, so a step looks up two ranks; there are fewer steps than bytes. The arrays of the
-    rank map are bound once for all words.
+    The fold's state is one number for each token, ``rank * 2^32 + id`` with the rank of the token and the next one,
+    between two stand-ins for the ends. A merge changes two of these, so a step looks up two ranks.
+
+    Merging costs the square of the length, so the bytes of a long word are read by chunks: the last tokens read and the
+    next chunk are merged anew, and if the first of these tokens comes out again, what is before it stays (tokens are an
+    encoding if each two neighbours are; needs ``orderly``). Otherwise more of the last tokens are taken, all in the end.
+    The arrays of the rank map are bound once for all words.
     """
 
-    def with_map(moves: Column, slots: Column, byte_ids: Column, byte_pairs: Column) -> Column:
-        def rank(left: Column, right: Column) -> Column:
-            def found(key: Column) -> Column:
-                slot = F.get(slots, ((key % SLOTS + F.get(moves, (key % SPREAD).cast("int"))) % SLOTS).cast("int"))
-                return let(slot, lambda s: F.when(F.shiftright(s, 16) == key, s.bitwiseAND(65535).cast("int")).otherwise(NEVER))
+    def with_map(moves: Column, slots: Column, first: Column, lengths: Column, orderly: Column) -> Column:
+        def looked_up(key: Column) -> Column:
+            slot = F.get(slots, ((key % SLOTS + F.get(moves, (key % SPREAD).cast("int"))) % SLOTS).cast("int"))
+            # Without its key a slot holds a rank; another key leaves a number above all ranks once its sign is gone.
+            rank = F.least((slot - F.shiftleft(key, 16)).bitwiseAND(2**63 - 1), F.lit(NEVER).cast("long"))
+            return F.shiftleft(rank, 32) + F.shiftright(key, 16)
 
-            return let(left * F.lit(65536).cast("long") + right, found)
+        def token(state: Column, index: Column) -> Column:
+            return F.get(state, index).bitwiseAND(65535)
 
         def merge(state: Column, _step: Column) -> Column:
-            tokens, pairs = state["tokens"], state["pairs"]
-            lowest = F.array_min(pairs)
+            # array_position would throw and catch to leave its loop at each find, which costs more than all the rest.
+            places = F.transform(state, lambda x, i: x - x.bitwiseAND(65535) + i)
+
+            def at(lowest: Column) -> Column:
+                new, place = F.shiftright(lowest, 32), lowest.bitwiseAND(2**31 - 1).cast("int")
+                keys = F.array(F.shiftleft(token(state, place - 1), 16) + new, F.shiftleft(new, 16) + token(state, place + 2))
+                return F.concat(F.slice(state, 1, place - 1), F.transform(keys, looked_up), F.slice(state, place + 3, ALL))
+
+            return F.when(F.array_min(state) >= NEVER << 32, state).otherwise(let(F.array_min(places), at))
 
-            def at(place: Column) -> Column:
-                new = F.get(pairs, place - 1)
-                return F.struct(
-                    F.concat(F.slice(tokens, 1, place - 1), F.array(new), F.slice(tokens, place + 2, ALL)).alias("tokens"),
-                    F.concat(
-                        F.slice(pairs, 1, place - 2), F.array(rank(F.get(tokens, place - 2), new), rank(new, F.get(tokens, place + 1))), F.slice(pairs, place + 2, ALL)
-                    ).alias("pairs"),
-                )
+        def fold(data: Column) -> Column:
+            end = F.array(F.lit((NEVER << 32) + NEVER).cast("long"))
+            start = F.transform(data, lambda b, i: F.get(first, b * 257 + F.coalesce(F.get(data, i + 1), F.lit(256))))
+            return F.aggregate(data, F.concat(end, start, end), merge, lambda s: F.transform(F.slice(s, 2, F.size(s) - 2), lambda x: x.bitwiseAND(65535).cast("int")))
 
-            return F.when(lowest == NEVER, state).otherwise(let(F.array_position(pairs, lowest).cast("int"), at))
+        def read_on(data: Column, state: Column, chunk: Column, number: Column) -> Column:
+            """The state after the next chunk if merging it with the last ``number`` tokens leaves the tokens before as they are."""
+            inside = F.size(state["tail"]) > number
+            done = F.when(inside, state["done"]).otherwise(F.array().cast("array<array<int>>"))
+            tokens = F.when(inside, state["tail"]).otherwise(F.concat(F.flatten(state["done"]), state["tail"]))
 
-        def encode(data: Column) -> Column:
-            start = F.concat(F.array(F.lit(None).cast("int")), F.transform(data, lambda b: F.get(byte_ids, b)))
-            first = F.transform(data, lambda b, i: F.coalesce(F.get(byte_pairs, b * 256 + F.get(data, i + 1)), F.lit(NEVER)))
-            state = F.struct(start.alias("tokens"), F.concat(F.array(F.lit(NEVER)), first).alias("pairs"))
-            return F.aggregate(F.slice(data, 2, ALL), state, merge, lambda s: F.slice(s["tokens"], 2, ALL))
+            def with_tail(tail: Column) -> Column:
+                kept = F.greatest(F.size(tail) - number, F.lit(0))
+                behind = F.aggregate(F.slice(tail, kept + 1, ALL), F.lit(0), lambda n, t: n + F.get(lengths, t))
+                result = lambda new: F.struct(F.concat(done, F.array(F.slice(tail, 1, kept))).alias("done"), new.alias("tail"))
+                window = let(behind, lambda n: F.slice(data, chunk * CHUNK - n + 1, n + CHUNK))
+                return let(let(window, fold), lambda new: F.when((kept == 0) | (F.get(new, F.lit(0)) == F.get(tail, kept)), result(new)))
 
-        return F.transform(words, encode)
+            return let(tokens, with_tail)
 
-    names = ("moves", "slots", "byte_ids", "byte_pairs")
-    return let(ranks[names[0]], lambda a: let(ranks[names[1]], lambda b: let(ranks[names[2]], lambda c: let(ranks[names[3]], lambda d: with_map(a, b, c, d)))))
+        def read(data: Column) -> Column:
+            empty = F.struct(F.array().cast("array<array<int>>").alias("done"), F.array().cast("array<int>").alias("tail"))
+            numbers = F.transform(F.sequence(F.lit(3), F.lit(30)), lambda e: F.pow(F.lit(2), e).cast("int"))
+
+            def step(state: Column, chunk: Column) -> Column:
+                return F.aggregate(numbers, F.when(F.lit(False), state), lambda known, n: F.when(known.isNotNull(), known).otherwise(read_on(data, state, chunk, n)))
+
+            chunks = F.sequence(F.lit(0), ((F.size(data) - 1) / CHUNK).cast("int"))
+            return F.aggregate(chunks, empty, step, lambda s: F.concat(F.flatten(s["done"]), s["tail"]))
+
+        return F.transform(words, lambda data: F.when((F.size(data) > 2 * CHUNK) & orderly, read(data)).otherwise(fold(data)))
+
+    names = ("moves", "slots", "first", "lengths")
+    return let(ranks[names[0]], lambda a: let(ranks[names[1]], lambda b: let(ranks[names[2]], lambda c: let(ranks[names[3]], lambda d: with_map(a, b, c, d, F.get(ranks["orderly"], F.lit(0)))))))
 
 
 def decode_ids(ids: Column, ranks: Column) -> Column:
-    """The bytes of each list of token ids, joined."""
-    return let(ranks["words"], lambda words: F.transform(ids, lambda one: F.aggregate(one, F.lit(b""), lambda done, i: F.concat(done, F.get(words, i)))))
+    """The bytes of each list of token ids, joined; long lists by parts, as each join copies what it has."""
+
+    def with_words(words: Column) -> Column:
+        def joined(some: Column) -> Column:
+            return F.aggregate(some, F.lit(b""), lambda done, i: F.concat(done, F.get(words, i)))
+
+        def by_parts(some: Column) -> Column:
+            starts = F.sequence(F.lit(0), ((F.size(some) - 1) / JOINED).cast("int"))
+            return F.aggregate(starts, F.lit(b""), lambda done, j: F.concat(done, joined(F.slice(some, j * JOINED + 1, JOINED))))
+
+        return F.transform(ids, lambda one: F.when(F.size(one) <= JOINED, joined(one)).otherwise(by_parts(one)))
+
+    return let(ranks["words"], with_words)
 
 
 def encode_and_decode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -127,7 +183,8 @@ def encode_and_decode(docs: DataFrame, vocabulary: str, pattern: str, id_col: st
     Three steps within one stage, so nothing is shuffled: the first cuts texts into words by ``pattern`` and passes on,
     once for a task, the bytes of each word it has not met; higher-order functions encode and decode these; the last puts
     the documents' words together. A null or empty text has no ids. Repeated rows stay; extra columns are left out; an
-    empty table gives an empty one.
+    empty table gives an empty one. Very long unbroken words are merged by chunks, in time linear in their length, if
+    the vocabulary is ``orderly``; with another one it grows with the square.
     """
     rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text"))
 

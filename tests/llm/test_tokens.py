@@ -15,7 +15,7 @@ import sentencepiece
 import tiktoken
 from tokenizers import Tokenizer
 
-from tablesage.llm.byte_bpe import encode_and_decode
+from tablesage.llm.byte_bpe import encode_and_decode, orderly, read_ranks
 from tablesage.llm.common import table
 from tablesage.llm.packing import best_fit_runs, pack, sequences, token_pieces
 from tablesage.llm.token_counts import Transducer, token_counts
@@ -119,6 +119,24 @@ def test_byte_bpe_is_tiktoken(spark, docs):
     assert encode_and_decode(docs.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_byte_bpe_of_long_words_is_tiktoken(spark, tmp_path):
+    falling = tmp_path / "falling.tiktoken"
+    words = [*[bytes([b]) for b in range(256)], b"abc", b"ab", b"bc", b"ca", b"abca"]
+    falling.write_bytes(b"\n".join(base64.b64encode(word) + b" %d" % rank for rank, word in enumerate(words)))
+    draw = random.Random(8)
+    texts = ["".join(draw.choice(letters) for _ in range(draw.randint(1, 400))) for letters in ("ab", "abc", "-=", "etaoin", "éa日") for _ in range(6)]
+    texts += ["x" + "a" * n for n in (47, 48, 49, 50, 701)] + ["-" * 1000, "b" + "ha" * 401, "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9000))]
+    for path, some in ((RANKS, texts), (str(falling), [t[:300] for t in texts])):
+        ranks = read_ranks(path)
+        assert orderly(ranks) == (path == RANKS)
+        library = tiktoken.Encoding("test", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        rows = [(i, t) for i, t in enumerate(some)] * 2  # repeated rows stay
+        got = encode_and_decode(spark.createDataFrame(rows, "doc_id long, text string"), path, public_tokenizers.PATTERN, with_ids=True).collect()
+        assert len(got) == len(rows)
+        for row in got:
+            assert row.ids == library.encode_ordinary(some[row.doc_id]) and bytes(row.decoded).decode() == some[row.doc_id]
+
+
 def test_transducer_is_the_library():
     library, compiled = sentencepiece.SentencePieceProcessor(model_file=PIECES), Transducer(PIECES)
     draw = random.Random(6)
