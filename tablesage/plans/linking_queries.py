@@ -155,7 +155,7 @@ def _features(spark, sf_dir):
     # Profiles are made once and used by several steps.
     states = ValueStates(tables)
     profiles = stable(profiling.profile_tables(tables, DB, states=states))
-    retrieved = column_ranking.retrieve_columns(intents(spark, sf_dir), profiles, similarity=word_overlap)
+    retrieved = column_ranking.retrieve_columns(intents(spark, sf_dir), profiles, similarity=column_ranking.WORDS)
     columns = profiling.column_metadata(spark, tables, DB).select("table_name", "column_name")
     support = query_logs.column_log_support(columns, query_log(spark, sf_dir))
     return column_ranking.column_features(retrieved, _matches(spark, sf_dir, profiles), support), profiles, states
