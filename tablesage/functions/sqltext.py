@@ -171,7 +171,7 @@ def _top_level(text: Column, pattern: str) -> Column:
 def clause(text: Column, opening: str) -> Column:
     """The query's own text after ``opening`` up to its next clause, or NULL. Subqueries' clauses are not looked at."""
     body = _top_level(text, rf"(?is)\b{opening}\s+(.+?){CLAUSE_END}")
-    return F.when(body != "", body)
+    return let(body, lambda found: F.when(found != "", found))
 
 
 def select_list(text: Column) -> Column:
@@ -187,10 +187,13 @@ def literals(text: Column) -> Column:
     return F.transform(_all(text, ANY_LITERAL, 0), lambda v: F.regexp_replace(v, "^'|'$", ""))
 
 
-def read(sql: Column, names: Column, fields: Callable[[Column, Column], dict[str, Column]]) -> Column:
-    """One struct of features per text: ``fields`` gets the normalized text and its blanked form, each made once."""
+Fields = Callable[[Column, Column, Column], dict[str, Column]]
+
+
+def read(sql: Column, names: Column, fields: Fields) -> Column:
+    """One struct of features per text: ``fields`` gets the normalized text, its blanked form and whether that is good, each made once."""
     def made(text: Column) -> Column:
-        return let(joined_lists(blanked(text)), lambda bare: F.struct(*[c.alias(n) for n, c in fields(text, bare).items()]))
+        return let(joined_lists(blanked(text)), lambda bare: let(~parse_error(bare), lambda good: F.struct(*[c.alias(n) for n, c in fields(text, bare, good).items()])))
 
     return let(normalized(sql, names), made)
 
@@ -211,7 +214,7 @@ def _put_back(value: Column, name: str, kind: T.DataType, names: Column) -> Colu
     return value
 
 
-def with_features(rows: DataFrame, sql: str, fields: Callable[[Column, Column], dict[str, Column]], marked: bool = False) -> DataFrame:
+def with_features(rows: DataFrame, sql: str, fields: Fields, marked: bool = False) -> DataFrame:
     """Rows with the features of ``sql`` as columns. The generator keeps the struct from being built once per field.
 
     With ``marked`` quoted names stay words, for further patterns, and the column ``quoted_names`` restores them.

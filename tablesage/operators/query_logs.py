@@ -10,12 +10,12 @@ from tablesage.functions.binding import let
 from tablesage.functions.text import clean_sql
 from tablesage.operators.numbering import top_per_group
 from tablesage.operators.value_links import contained_in
+from tablesage.session import stable
 
 
 def log_features(log: DataFrame, sql: str = "sql") -> DataFrame:
     """Add tables, columns, joins, where, group_by and parse_error to every log row."""
-    def fields(text: Column, bare: Column) -> dict[str, Column]:
-        good = ~sqltext.parse_error(bare)
+    def fields(text: Column, bare: Column, good: Column) -> dict[str, Column]:
         found = {
             "tables": sqltext.table_names(bare),
             "columns": sqltext.column_names(bare),
@@ -34,7 +34,7 @@ def clause_roles(log: DataFrame, sql: str = "sql") -> DataFrame:
     Names are qualified by table where an alias says which one, as in ``orders.o_custkey``.
     Rows that fail the lexical check get NULLs and ``parse_error`` true, to be routed aside.
     """
-    def fields(text: Column, bare: Column) -> dict[str, Column]:
+    def fields(text: Column, bare: Column, good: Column) -> dict[str, Column]:
         def qualified(refs: Column, aliases: Column) -> Column:
             def name(ref: Column) -> Column:
                 owner = F.substring_index(ref, ".", 1)
@@ -62,7 +62,6 @@ def clause_roles(log: DataFrame, sql: str = "sql") -> DataFrame:
                 ),
             )
 
-        good = ~sqltext.parse_error(bare)
         found = {
             "tables_used": sqltext.table_names(bare),
             "by_clause": let(sqltext.given_names(bare), by_clause),
@@ -84,8 +83,8 @@ def join_edges(log: DataFrame, sql: str = "sql", by: list[str] = ()) -> DataFram
     """(left_column, right_column, uses): how often the log joins two columns, as table.column names in order."""
     equality = r"(\w+)\.(\w+)\s*=\s*(\w+)\.(\w+)"
 
-    def fields(text: Column, bare: Column) -> dict[str, Column]:
-        predicates = F.when(~sqltext.parse_error(bare), F.array_join(sqltext.join_predicates(text), "\n"))
+    def fields(text: Column, bare: Column, good: Column) -> dict[str, Column]:
+        predicates = F.when(good, F.array_join(sqltext.join_predicates(text), "\n"))
         return {
             "edges": F.regexp_extract_all(predicates, F.lit(equality), F.lit(0)),
             "aliases": sqltext.alias_map(bare),
@@ -107,12 +106,12 @@ def join_edges(log: DataFrame, sql: str = "sql", by: list[str] = ()) -> DataFram
 
 def item_frequencies(log: DataFrame, sql: str = "sql") -> DataFrame:
     """(kind, name, uses): how many log rows use each table and column."""
-    def fields(text: Column, bare: Column) -> dict[str, Column]:
+    def fields(text: Column, bare: Column, good: Column) -> dict[str, Column]:
         named = F.concat(
             F.transform(sqltext.table_names(bare), lambda n: F.struct(F.lit("table").alias("kind"), n.alias("name"))),
             F.transform(sqltext.column_names(bare), lambda n: F.struct(F.lit("column").alias("kind"), n.alias("name"))),
         )
-        return {"items": F.when(~sqltext.parse_error(bare), named)}
+        return {"items": F.when(good, named)}
 
     texts = sqltext.with_features(distinct_texts(log, sql), "sql", fields)
     return texts.select("uses", F.inline("items")).groupBy("kind", "name").agg(F.sum("uses").alias("uses"))
@@ -132,12 +131,12 @@ def column_log_support(columns: DataFrame, log: DataFrame, sql: str = "sql") ->
     decides. The log is collapsed to distinct texts, and those to distinct lists of columns,
     before names are looked up in them.
     """
-    def fields(text: Column, bare: Column) -> dict[str, Column]:
-        names = F.when(~sqltext.parse_error(bare), F.array_join(sqltext.column_names(bare), " "))
+    def fields(text: Column, bare: Column, good: Column) -> dict[str, Column]:
+        names = F.when(good, F.array_join(sqltext.column_names(bare), " "))
         return {"hay": F.lower(F.coalesce(names, F.lit("")))}
 
     read = sqltext.with_features(distinct_texts(log, sql), "sql", fields)
-    lists = read.groupBy("hay").agg(F.sum("uses").alias("uses")).withColumn("hay_id", F.col("hay"))
+    lists = stable(read.groupBy("hay").agg(F.sum("uses").alias("uses")).withColumn("hay_id", F.col("hay")))
     log_rows = log.agg(F.count(F.lit(1))).scalar()
     needles = columns.select(F.lower("column_name").alias("needle")).distinct()
     used = contained_in(needles, lists, [], {"uses": F.sum("uses")})

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tablesage.functions.text import clean_json, clean_sql, token_estimate
 from tablesage.operators import compare, mutations, prompts, query_logs
-from tablesage.plans.inputs import CAND, QLOG, QST, candidates, given, query_log, select
+from tablesage.plans.inputs import CAND, QLOG, QST, candidates, given, query_log, query_log_by_row, select
 from tablesage.plans.registry import query
 
 
@@ -25,7 +25,7 @@ ONS_SQL = r"regexp_extract_all(sql, '\w\.\w+ = \w\.\w+_\w*key\b')"
  regexp_extract(sql, '(GROUP BY .+?)(?: ORDER BY|$)', 1) AS group_by, false AS parse_error FROM ({QLOG})""".replace("\\\\", "\\"))
 def qlog_features(spark, sf_dir):
     shown = _joined("tables", "columns", "joins") | {c: F.coalesce(c, F.lit("")) for c in ("where", "group_by")}
-    return query_logs.log_features(query_log(spark, sf_dir)).withColumns(shown).drop("sql")
+    return query_logs.log_features(query_log_by_row(spark, sf_dir)).withColumns(shown).drop("sql")
 
 
 @query("qlog_join_edges", f"""WITH e AS (SELECT unnest(regexp_extract_all(sql, '(\\w\\.\\w+ = \\w\\.\\w+)')) AS e FROM ({QLOG}) WHERE contains(sql, ' JOIN ')),
@@ -63,7 +63,7 @@ REF = r"\b[a-z]\.[a-z]_\w+"
 FROM ({QLOG})""".replace("\\\\", "\\"))
 def qlog_clause_roles(spark, sf_dir):
     names = ["tables_used", "columns_used", "selected_columns", "where_columns", "group_by_columns", "order_by_columns", "aggregation_functions", "literals_used"]
-    return query_logs.clause_roles(query_log(spark, sf_dir)).withColumns(_joined(*names)).select("question_id", *names)
+    return query_logs.clause_roles(query_log_by_row(spark, sf_dir)).withColumns(_joined(*names)).select("question_id", *names)
 
 
 def _pick_sql(options: str, seed: int) -> str:
