@@ -4,9 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablesage.functions.compat import int_div, loose_real, ratio
-from tablesage.operators import batch, compare, mutations, prompts, query_logs
+from tablesage.operators import batch, compare, mutations, prompts, query_logs, training_sets
 from tablesage.operators.inference import answer_prompts, constant_model
 from tablesage.operators.rounds import repair
+from tablesage.plans import inputs
+from tablesage.plans.registered import QUERIES
 from tablesage.sources import jsonio
 
 
@@ -87,6 +89,27 @@ def equal(a, b, mode="typed"):
     return found if isinstance(found, bool) else found.first()[0]
 
 
+def test_logs_read_by_row_come_in_bounded_parts(spark, tmp_path, monkeypatch):
+    rows = spark.range(900).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey", "'O' AS o_orderstatus")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(inputs, "LOG_ROWS", 100)
+    roles = QUERIES["qlog_clause_roles"](spark, str(tmp_path))
+    assert roles.rdd.getNumPartitions() == 9 and roles.count() == 900
+    spark.catalog.dropTempView("orders")
+
+
+def test_columns_of_ranker_rows_are_read_once(spark):
+    """What a column says by itself is not made again for every query it meets, and a small catalog is not dealt."""
+    log = spark.createDataFrame([("q1", "d", "SELECT t.a_size FROM t WHERE t.a_size = 'X'"), ("q2", "d", "SELECT (1 FROM t")], "question_id string, db_id string, question string")
+    entry = "db_id string, table_name string, column_name string, data_type string, top_values array<struct<value:string,count:long>>"
+    profiles = spark.createDataFrame([("d", "t", "a_size", "string", [("x", 2)]), ("d", "t", "b", "int", [("1", 1)]), ("d", "u", "c", "int", []), ("e", "t", "b", "int", [])], entry)
+    rows = training_sets.ranker_rows(query_logs.clause_roles(log.withColumnRenamed("question", "sql")), log, profiles)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" not in plan and "split(lower(column_name" not in plan
+    found = {r.candidate: (r.name_overlap, r.literal_exact_match, r.profile_type_match, r.label, r.semantic_sim_question_column, r.literal_fuzzy_match) for r in rows.collect()}
+    assert found == {"t.a_size": (0.0, 1, 1, 2, 0.8571, 1.0), "t.b": (0.0, 0, 0, 1, 0.0, 0.0), "u.c": (0.0, 0, 0, 0, 0.2857, 0.0)}
+
+
 def test_results_equal(spark):
     def df(values, kind):
         return spark.createDataFrame([(v,) for v in values], f"x {kind}")
