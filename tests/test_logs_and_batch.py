@@ -347,3 +347,37 @@ def test_recorded_answers(spark, tmp_path):
         return [t + "!" for t in texts]
 
     assert ask([(1, "x", 0.1), (2, "bad", 0.1), (3, "y", 0.1), (4, "x", 0.1), (1, "x", 0.1)]) == {1: ("X", None), 2: ("bad!", None), 3: ("y!", None), 4: ("x!", None)}
+
+
+def test_texts_of_one_database_leave_rows_where_they_are(spark):
+    """All rows have one database: they are not gathered in one task to meet its schema."""
+    from tablesage.operators.catalog_join import join_texts
+    from tablesage.session import stable
+
+    texts = stable(spark.createDataFrame([("db", "CREATE TABLE t (a int);"), (None, "x")], "db_id string, ddl string"))
+    rows = spark.range(40, numPartitions=4).select(F.col("id").alias("question_id"), F.when(F.col("id") % 10 > 0, "db").alias("db_id"))
+    met = join_texts(rows, texts, "ddl", ["question_id"]).withColumn("task", F.spark_partition_id())
+    assert met.select("task").distinct().count() == 4
+    assert met.where("ddl IS NULL").count() == 4 and met.count() == 40
+
+
+def test_prompts_are_left_out_where_nobody_reads_them(spark, tmp_path):
+    from tablesage.operators.inference import RecordedModel
+
+    asked = spark.createDataFrame([(i, f"p{i}", 0.1) for i in range(5)], "i int, prompt string, temperature double")
+    model = lambda prompts, temperatures: [p + "!" for p in prompts]
+    for asker in (model, RecordedModel(model, str(tmp_path / "answers"))):
+        found = answer_prompts(asked, asker, ["i"], with_prompt=False)
+        assert "prompt" not in found.columns and {(r.i, r.answer) for r in found.collect()} == {(i, f"p{i}!") for i in range(5)}
+
+
+def test_repair_prompt_tokens(spark):
+    """The estimate from the parts is the whole prompt's, odd white space and nulls included."""
+    from tablesage.functions.text import token_estimate, word_count
+
+    texts = ["", " ", "a", "SELECT  1\n", " a   b", "\tx "]
+    rows = [(s, e, d) for s in [*texts, None] for e in texts for d in texts]
+    df = spark.createDataFrame(rows, "s string, e string, d string")
+    whole = token_estimate(prompts.repair_prompt(F.col("s"), F.col("e"), F.col("d")))
+    parts = prompts.repair_prompt_tokens(F.col("s"), F.col("e"), word_count(F.col("d")))
+    assert df.select(whole.alias("w"), parts.alias("p")).where("NOT w <=> p").isEmpty()
