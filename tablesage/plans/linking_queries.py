@@ -212,7 +212,6 @@ SELECT q.question_id, q.db_id, q.question, q.evidence, top_columns, top_tables,
 FROM ({QST}) q JOIN lists USING (question_id) JOIN tabs USING (question_id) LEFT JOIN hints USING (question_id)""")
 def context_package(spark, sf_dir):
     features, profiles, states = _features(spark, sf_dir)
-    features = stable(features)
     q = questions(spark, sf_dir)
     links = value_links.link_values(q, _values(states), profiles)
     # The evidence of these questions states one mapping each; it is taken as parsed with full confidence.
