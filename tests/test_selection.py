@@ -278,6 +278,20 @@ def test_preference_rows_have_every_candidate(spark):
     assert all(met[c] >= set(family.values()) - {family[c]} for c in family)
 
 
+def test_steps_of_pairs_and_context_lists_are_made_once(spark):
+    rows = [("q", f"c{i}", i, f"s{i % 4}" if i % 2 else "icl_generator", i % 3) for i in range(30)]
+    pairs = training_sets.preference_rows(spark.createDataFrame(rows, "question_id string, candidate_id string, pos int, source string, label int"))
+    contexts = spark.createDataFrame([("q", "db", "what?", "", [f"t.c{i}" for i in range(40)], ["a"], [], ["x = y"], ["r", "s"])],
+        "question_id string, db_id string, question string, evidence string, columns array<string>, matched array<string>, constraints array<string>, joins array<string>, rules array<string>")
+    told = training_sets.with_context(pairs, contexts, lambda x: F.array_join(x, ","))
+    first = told.first().context
+    assert first.top_columns == ",".join(f"t.c{i}" for i in range(30)) and first.business_rules == "r,s"
+    assert told.count() == pairs.count()
+    # Numbers are drawn per class, before candidates meet; sources that nobody reads do not travel with the pairs.
+    plan = pairs.select("question_id", "candidate_a", "candidate_b", "winner")._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in plan and "x_class_source" not in plan
+
+
 def test_final_record_has_the_whole_ranking_beside_it(spark):
     rows = frame(spark, [cand("q", i, f"k{i}", "icl_generator" if i == 4 else "simple_generator") for i in range(6)])
     record, ranking = selection.select_ranked(rows)
