@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablesage.llm.common import quoted, slices, texts_of
+from tablesage.llm.common import quoted, slices
 from tablesage.llm.word_encoding import word_encoder
 
 #: Ids under a dictionary (a vocabulary is one), the other columns as deltas; row groups and pages small enough that a
@@ -41,18 +41,16 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, kind: str = "byte"
 
     def encode(batches):
         part, at = TaskContext.get().partitionId(), 0
-        encoder, end = word_encoder(vocabulary, kind), np.array([end_id], "<u4").tobytes()
-        for batch in slices(batches):
-            ids = [encoder.encode(text) + end for text in texts_of(batch)]
-            lengths = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
+        encoder = word_encoder(vocabulary, kind)
+        for batch in slices(batches, 2000):
+            values, lengths = encoder.encode_batch(batch.column("text"), end_id)
             ends = np.cumsum(lengths)
-            values = np.frombuffer(b"".join(ids), "<i4")
             yield pa.record_batch({
                 "doc_id": batch.column("doc_id"),
-                "part": pa.array(np.full(len(ids), part, np.int32)),
+                "part": pa.array(np.full(len(lengths), part, np.int32)),
                 "start_in_part": pa.array(at + ends - lengths),
                 "n_tokens": pa.array(lengths),
-                "ids": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values)),
+                "ids": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values.view(np.int32))),
             })
             at += int(lengths.sum())
 

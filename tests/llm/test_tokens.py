@@ -10,6 +10,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tiktoken
@@ -52,6 +53,22 @@ def test_word_encoder_is_the_library(path, kind):
         assert encoder.encode(text) == encoder.whole(text), repr(text)
 
 
+def test_batches_are_encoded_as_by_the_library():
+    draw = random.Random(4)
+    words = ["the", "Thé", "à", "ª", "Ungö", "naïve", "İz", "日本", "it's", "x1", "a,", "of!!", "é.###", "<s>", "'", "''", "[\\]^-_`", "w" * 3000, "\xa0", "", "\0", "\t"]
+    texts = [draw.choice([" ", " ", "\n"]).join(draw.choices(words[: draw.choice([18, 18, len(words)])], k=draw.randint(0, 9))) for _ in range(1500)]
+    texts += [None, "", *odd_texts(1500, 7), *["".join(draw.choices("etaoinshrdlu", k=9)) for _ in range(900)]]
+    for path, kind in ((BYTES, "byte"), (WORDS, "word")):
+        encoder = WordEncoder(path, kind)
+        for some in (texts, texts[700:701], ["", None], []):
+            ids, sizes = encoder.encode_batch(pa.array(some, pa.string()), 2)
+            assert len(ids) == sizes.sum() and len(sizes) == len(some)
+            parts = [ids[end - size : end].tobytes() for end, size in zip(np.cumsum(sizes), sizes, strict=True)]
+            assert parts == [encoder.whole(t or "") + packed_ids([2]) for t in some]
+        if kind == "byte":  # new words are asked for together and not kept one by one
+            assert encoder.alone is not None and not any("\0" + text in encoder for text in texts[-900:])
+
+
 def test_token_files_round_trip(spark, docs, tmp_path):
     path = str(tmp_path / "tokens")
     write_tokens(docs.withColumnRenamed("doc_id", "ids").selectExpr("ids", "text", "1 AS part"), path, BYTES, id_col="ids")
