@@ -12,11 +12,12 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import regex
 import sentencepiece
 import tiktoken
 from tokenizers import Tokenizer
 
-from tablesage.llm.byte_bpe import encode_and_decode, orderly, read_ranks
+from tablesage.llm.byte_bpe import encode_and_decode, orderly, read_ranks, word_numbers
 from tablesage.llm.common import table
 from tablesage.llm.packing import best_fit_runs, pack, sequences, token_pieces
 from tablesage.llm.token_counts import Transducer, token_counts
@@ -124,6 +125,17 @@ def test_best_fit_runs_place_every_piece_once():
             assert taken == counts
 
 
+def test_words_are_numbered_as_the_pattern_finds_them():
+    draw = random.Random(9)
+    texts = ["", "a  b", " a", "a\n", "a\n\nb", "x#", "x\x1cy", "\0", *odd_texts(1500), *[f"Wörd's {draw.choice(ODD)}!!\n{draw.choice(ODD)}x, don't A'." for _ in range(200)]]
+    for pattern in (public_tokenizers.PATTERN, r"\p{Lu}?\p{Ll}+|\s+|."):  # another one is asked for each distinct piece
+        words = defaultdict()
+        words.default_factory = words.__len__
+        numbers, counts = word_numbers(pattern)(pa.array(texts), words)
+        found = [list(words)[k] for k in numbers]
+        assert [found[end - n : end] for end, n in zip(np.cumsum(counts), counts, strict=True)] == [regex.findall(pattern, t) for t in texts]
+
+
 def test_byte_bpe_is_tiktoken(spark, docs):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
     library = tiktoken.Encoding("test", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
