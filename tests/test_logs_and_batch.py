@@ -110,6 +110,36 @@ def test_columns_of_ranker_rows_are_read_once(spark):
     assert found == {"t.a_size": (0.0, 1, 1, 2, 0.8571, 1.0), "t.b": (0.0, 0, 0, 1, 0.0, 0.0), "u.c": (0.0, 0, 0, 0, 0.2857, 0.0)}
 
 
+def test_roles_that_nobody_reads_are_not_made(spark):
+    log = spark.createDataFrame([("a", "SELECT t.x FROM t AS u WHERE u.y = 'z'"), ("b", "SELECT (1")], "question_id string, sql string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    clauses = r"group\s+by\s+(.+?)"
+    roles = query_logs.clause_roles(log)
+    assert clauses in plan(roles)
+    few = plan(roles.filter(~F.col("parse_error")).select("question_id", "tables_used", "columns_used", "literals_used"))
+    assert clauses not in few and few.count("regexp_extract_all(_bare") == 3 and few.count("regexp_extract_all(coalesce(_bare") == 1  # tables, aliases, given names, columns
+    assert roles.columns == ["question_id", "sql", "tables_used", "join_predicates", "aggregation_functions", "literals_used", "parse_error",
+                             "columns_used", "selected_columns", "where_columns", "group_by_columns", "order_by_columns"]
+
+
+def test_ranker_rows_are_told_by_question(spark, monkeypatch):
+    """Words and values are compared per question; pairs only pick, with the rows that comparing each pair gives."""
+    texts = ["SELECT t.a_size FROM t WHERE t.a_size = 'Xé'", "SELECT count(*) FROM u JOIN t AS w ON w.b = u.c WHERE w.b > 12 AND u.c = 'x1'", "SELECT a size FROM t", "SELECT (1 FROM t", None, "SELECT 'B'"]
+    log = spark.createDataFrame([(f"q{i % 5}", "dezd"[i % 4] if i != 5 else None, q) for i, q in enumerate([*texts, *texts[:3]])], "question_id string, db_id string, question string")
+    entry = "db_id string, table_name string, column_name string, data_type string, top_values array<struct<value:string,count:long>>"
+    profiles = spark.createDataFrame([
+        ("d", "t", "A_size", "string", [("xÉ", 2), ("y", 1), ("", 1)]), ("d", "t", "b", "int", [("12", 1), ("1", 1)]), ("d", "u", "c", "int", []), ("d", "u", "", None, [("x1", 1)]),
+        ("e", "t", "b_size_b", "int", [("2", 1)]), ("f", "t", "b", "int", []),
+    ], entry)
+    ranked = lambda fuzzy: training_sets.ranker_rows(query_logs.clause_roles(log.withColumnRenamed("question", "sql")), log, profiles, fuzzy)
+    plan = ranked(False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" not in plan and "arrays_overlap" not in plan
+    found = {fuzzy: (ranked(fuzzy).columns, sorted(map(str, ranked(fuzzy).collect()))) for fuzzy in (False, True)}
+    monkeypatch.setattr(training_sets, "COLUMNS_AT_ONCE", 0)
+    assert found == {fuzzy: (ranked(fuzzy).columns, sorted(map(str, ranked(fuzzy).collect()))) for fuzzy in (False, True)}
+    assert len(found[True][1]) > 10
+
+
 def test_results_equal(spark):
     def df(values, kind):
         return spark.createDataFrame([(v,) for v in values], f"x {kind}")
