@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tablesage.functions.compat import int_div, loose_real, ratio
 from tablesage.operators import batch, compare, mutations, prompts, query_logs, training_sets
-from tablesage.operators.inference import answer_prompts, constant_model
+from tablesage.operators.inference import RecordedModel, answer_prompts, constant_model
 from tablesage.operators.rounds import repair
 from tablesage.plans import inputs
 from tablesage.plans.registered import QUERIES
@@ -140,6 +140,20 @@ def test_ranker_rows_are_told_by_question(spark, monkeypatch):
     assert len(found[True][1]) > 10
 
 
+def test_prompts_are_made_where_they_are_asked(spark, tmp_path):
+    """What prompts are made of travels, once a question; the prompts, one for each call, do not."""
+    contexts = spark.createDataFrame([(f"q{i}", "d", "t" * i) for i in range(9)], "question_id string, db_id string, text string")
+    calls = F.array(*[F.struct(F.lit(n).alias("pos"), F.concat(F.lit(f"{n}: "), "text").alias("prompt"), F.lit(0.1).alias("temperature")) for n in range(3)])
+    make = lambda rows: rows.select("question_id", F.inline(calls))
+    told = lambda texts, temperatures: [f"<{t}>" for t in texts]
+    ask = lambda model: answer_prompts(contexts, model, ["question_id", "pos"], keep=False, make=make, spread=["question_id"])
+    plan = ask(told)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate inline") < plan.index("RepartitionByExpression")
+    wanted = {(f"q{i}", n): f"<{n}: {'t' * i}>" for i in range(9) for n in range(3)}
+    for model in (told, RecordedModel(told, str(tmp_path / "a")), RecordedModel(told, str(tmp_path / "a"))):
+        assert {(r.question_id, r.pos): r.answer for r in ask(model).collect()} == wanted
+
+
 def test_results_equal(spark):
     def df(values, kind):
         return spark.createDataFrame([(v,) for v in values], f"x {kind}")
